@@ -1,0 +1,88 @@
+import hashlib
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallyforge.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    s = [int(c) for c in d[::-1]]
+    return sum(s[0::2]) % 10 + sum(sum(divmod(2 * x, 10)) for x in s[1::2]) % 10 in (0, 10)
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(d) <= 19 and luhn(d)):
+                continue
+            if kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="ab@.-+_% 012 459()é", max_size=40))
+def test_base_as_the_plain_patterns(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_base_on_identifiers():
+    r = random.Random(1)
+    for _ in range(300):
+        card = "".join(r.choice("0123456789") for _ in range(r.choice([15, 16, 17, 19, 20])))
+        parts = [card, card[:4] + "-" + card[4:8] + " " + card[8:], "a.b@c.d.e", "x@y", "a@b@c.d", "300.1.1.1", "1.2.3.4.5.6.7.8", "+1 (555) 010-2030", "+12", "é", "00001.2.3.4", "999999.1.2.3"]
+        text = r.choice(["", " ", ",", "x"]).join(r.sample(parts, 6))
+        assert pii.base_spans(text) == plain(text)
+
+
+def test_long_texts_stay_linear():
+    assert pii.base_spans("a" * 300_000) == [] and pii.base_spans("1" * 100_000) == []
+    assert pii.base_spans("@" * 100_000) == [] and len(pii.base_spans("a@b.c " * 50_000)) == 50_000
+
+
+def test_bootstrapping(spark):
+    rows = [(i, f"write to member u{i}@mail{i}.org now", "x") for i in range(60)]
+    rows += [(1000 + i, f"card no {4000 + i}", "x") for i in range(5)]
+    rows += [(2000 + i, f"please write to member 77{i:05d} now", "x") for i in range(4)]
+    rows += [(3000, None, "x"), (None, "", "x"), (3000, None, "x"), (4000, "plain 99999999 text", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    ordinary = pii.find(df)
+    got = ordinary.collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, text, _ in rows:
+        r = by[i][0]
+        assert r.base == ",".join(f"{k}:{s}:{e}" for k, s, e in plain(text or ""))
+    assert all(by[2000 + i][0].spans == "id:23:30" for i in range(4))
+    assert by[4000][0].spans == "" and all(by[1000 + i][0].spans == "" for i in range(5))
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == "write to member <email> now" and clean[2001] == "please write to member <id> now" and clean[3000] is None
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_query(spark):
+    from tallyforge.llm import queries
+
+    got = {r.doc_id: r for r in queries.op5_personal_data(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    for d in docs:
+        base = ",".join(f"{k}:{s}:{e}" for k, s, e in plain(d.text or ""))
+        assert got[d.doc_id].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert got[d.doc_id].spans.startswith(base)
