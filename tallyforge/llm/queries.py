@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license, mixing, pii, tokencount
+from . import chat, decontaminate, license, mixing, pii, tokencount, toxicity
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -17,6 +17,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), TOKENIZER).select("doc_id", "n_tokens")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -51,6 +56,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_personal_data": op5_personal_data,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_license_scan": op8_license_scan,
