@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license, mixing, pii, tokencount, toxicity
+from . import chat, decontaminate, license, minhash, mixing, pii, tokencount, toxicity, vectors
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -17,6 +17,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), TOKENIZER).select("doc_id", "n_tokens")
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -56,6 +64,8 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_vector_dedup": op2_vector_dedup,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_personal_data": op5_personal_data,
     "op7_benchmark_leaks": op7_benchmark_leaks,
