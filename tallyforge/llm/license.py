@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import string
+import math
+import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +29,32 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 MOST_TEMPLATES = 10_000
+MOST_KEYS = 200
 
 
 def bigrams(text: Column) -> Column:
-    """Distinct word bigrams of the normalised text: A-Z lower-cased, all but a-z and 0-9 are gaps."""
-    words = F.split(F.trim(F.regexp_replace(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+", " ")), " ")
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    """Distinct word bigrams of the normalised text: lower-cased, all but a-z and 0-9 are gaps."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+    def pairs(w: Column) -> Column:
+        joined = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(F.size(w) > 1, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(words), pairs)[0]  # the lambda's variable holds the words, which are made once
+
+
+def keys(templates: dict[str, str], least: float) -> list[tuple[str, str]] | None:
+    """Word pairs of which a text must hold one to match any template at all; None where they are too many to look for.
+
+    A unit with a Dice coefficient of t holds at least b * t / (2 - t) of a template's b bigrams. So it holds one of any
+    choice of the template's bigrams that leaves out fewer than so many; those with the longest words are chosen.
+    """
+    found = set()
+    for text in templates.values():
+        w = re.sub("[^a-z0-9]+", " ", text.lower()).strip(" ").split(" ")
+        pairs = sorted({p for p in zip(w, w[1:])}, key=lambda p: (-max(map(len, p)), -len(p[0] + p[1]), p))
+        found |= {tuple(sorted(p, key=len, reverse=True)) for p in pairs[: len(pairs) - math.ceil(len(pairs) * least / (2 - least) - 1e-9) + 1]}
+    return sorted(found) if len(found) <= MOST_KEYS else None
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
@@ -54,11 +76,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     bounds = index.agg(F.min("b"), F.max("b")).first()
     if bounds[0] is None:
         return spark.createDataFrame([], docs.select("doc_id").schema.add("unit", "integer").add("license", "string").add("dice", "double"))
+    docs = docs.select("doc_id", "text").where("text is not null")
+    if needed := keys(templates, least):
+        by_first = {a: [y for x, y in needed if x == a] for a, _ in needed}
+        holds = lambda low: reduce(or_, (F.contains(low, F.lit(a)) & reduce(or_, (F.contains(low, F.lit(b)) for b in bs)) for a, bs in by_first.items()))
+        docs = docs.where(F.exists(F.array(F.lower("text")), holds))
     lines = F.split(F.col("text"), "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
-    unit = F.when((F.col("pos") == F.size("lines")), F.lit(-1)).otherwise(F.col("pos"))
     found = (
-        docs.where("text is not null").select("doc_id", F.size(lines).alias("n_lines"), F.posexplode(units))
+        docs.select("doc_id", F.size(lines).alias("n_lines"), F.posexplode(units))
         .select("doc_id", F.when(F.col("pos") == F.col("n_lines"), -1).otherwise(F.col("pos")).alias("unit"), bigrams(F.col("col")).alias("pairs"))
         .withColumn("a", F.size("pairs"))
         .where(F.col("a").between(bounds[0] * lo, bounds[1] * hi))
@@ -84,7 +110,7 @@ def best(scanned: DataFrame) -> DataFrame:
 
 def oracle(least: float = 0.8) -> str:
     rows = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
-    norm = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
 with t as (select license, string_split({norm.format('template')}, ' ') as w from (values {rows}) as v(license, template)),
 tb as (select license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from t),
