@@ -10,7 +10,6 @@ only for items of which a document holds enough shingles: without these, no simi
 from __future__ import annotations
 
 import itertools
-import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +24,17 @@ MOST_WORDS = 500_000
 
 
 def words(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased; none for null."""
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of a text, lower-cased; none for null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def shingles(of: Column) -> Column:
     """Hashes of all runs of five words, repeats included."""
-    return F.when(
-        F.size(of) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(of) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(of, i, SHINGLE)))
-    ).otherwise(F.array().cast("array<bigint>"))
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
+        return F.when(F.size(w) >= SHINGLE, made).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(of), runs)[0]  # the lambda's variable holds the words, which are made once
 
 
 def simhash(hashes: Column) -> Column:
@@ -88,7 +88,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
 
 def _against(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     terms = items.select("item_id", "n_words", F.size("own").alias("n_own"), F.posexplode("own").alias("item_pos", "hash"))
-    read = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingles(F.col("w")).alias("all"))
+    read = docs.select("doc_id", shingles(words(F.col("text"))).alias("all"))
     hits = (
         read.where("size(all) > 0").select("doc_id", "all", F.posexplode("all").alias("pos", "hash"))
         .join(F.broadcast(terms), "hash")
