@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license, minhash, mixing, pii, tokencount, toxicity, vectors
+from . import chat, decontaminate, license, minhash, mixing, pii, repeats, tokencount, toxicity, vectors
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,6 +35,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_personal_data": op5_personal_data,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
