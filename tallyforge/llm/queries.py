@@ -66,6 +66,12 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_vector_dedup": op2_vector_dedup,
@@ -77,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
     "op10_chat_windows": op10_chat_windows,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op8_license_scan": license.oracle(), "op9_source_mix": mixing.ORACLE}
