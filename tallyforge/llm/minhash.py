@@ -24,8 +24,8 @@ SYMBOLS, BITS, CHUNKS, RADIUS = 36, 16, 9, 17
 SIZE = SYMBOLS // CHUNKS
 # Members of a bucket compared in one go; larger buckets are cut into blocks, and every pair of blocks is compared.
 BLOCK = 2048
-# For each member, its best earlier candidates by rank are tried in these rounds, the last one without a bound; those already connected are passed over.
-ROUNDS = ((0, 1), (1, 16), (16, None))
+# Texts of a group whose sets are compared in one go, likewise in pairs of blocks.
+SET_BLOCK = 256
 # Up to so many document ids are broadcast to fetch texts again; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 _RANDOM = np.random.default_rng(7)
@@ -80,44 +80,22 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(ids)], ["key", "id"])
 
 
-def _candidates(lo: int, hi: int | None, flags: bool):
-    """Over rows sorted by (key, i, j, id): pairs of a bucket's blocks within the radius, in other components, ranked by distance for the later id."""
-
-    def of(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, blocks: np.ndarray, i: int, j: int, out: list) -> None:
-        n = len(ids)
-        if n < 2:
-            return
-        for at in range(0, n, 256):
-            part = slice(at, min(n, at + 256))
-            d = np.zeros((part.stop - at, n), np.uint8)
-            for k in range(SYMBOLS):
-                d += sigs[part, k, None] != sigs[None, :, k]
-            ok = (d <= RADIUS) & (ids[None, :] < ids[part, None])
-            if i != j:
-                ok &= blocks[part, None] != blocks[None, :]
-            rows = np.flatnonzero(ok.any(axis=1))
-            for r in rows:
-                found = np.flatnonzero(ok[r])
-                if flags:
-                    out.append((ids[at + r], ids[at + r]))
-                    out += [(ids[f], ids[f]) for f in found]
-                order = found[np.lexsort((ids[found], d[r, found]))][lo:hi]
-                out += [(ids[at + r], ids[f]) for f in order if comps[f] != comps[at + r]]
+def _by_group(work, keys: tuple[str, ...]):
+    """Hands rows sorted by ``keys`` to ``work`` group by group, across batches; ``work`` gives arrays of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
-        out: list = []
+        out: list[np.ndarray] = []
 
-        def work(t: pa.Table) -> None:
-            g = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            cuts = np.flatnonzero(np.any(g[1:] != g[:-1], axis=1)) + 1
-            ids, comps, blocks = (t.column(c).to_numpy() for c in ("id", "comp", "block"))
-            sigs = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            for a, b in zip(np.append(0, cuts), np.append(cuts, len(g))):
-                of(ids[a:b], comps[a:b], sigs[a:b], blocks[a:b], int(g[a, 1]), int(g[a, 2]), out)
+        def each(t: pa.Table) -> None:
+            g = np.stack([t.column(c).to_numpy() for c in keys], axis=1)
+            cuts = np.append(0, np.flatnonzero(np.any(g[1:] != g[:-1], axis=1)) + 1)
+            for a, b in zip(cuts, np.append(cuts[1:], len(g))):
+                if b - a > 1:
+                    out.extend(work(t.slice(a, b - a)))
 
         def flush() -> pa.RecordBatch:
-            pairs = np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0)
+            pairs = np.unique(np.concatenate(out), axis=0)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
@@ -126,22 +104,94 @@ def _candidates(lo: int, hi: int | None, flags: bool):
                 continue
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([left, t]).combine_chunks() if left is not None else t
-            last = tuple(t.column(c)[-1].as_py() for c in ("key", "i", "j"))
-            same = np.all([t.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last)], axis=0)
+            same = np.all([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in keys], axis=0)
             cut = int(np.argmax(same))
             if cut:
-                work(t.slice(0, cut))
+                each(t.slice(0, cut))
             left = t.slice(cut)
-            if len(out) > 50_000:
+            if len(out) > 20_000:
                 yield flush()
         if left is not None:
-            work(left)
+            each(left)
         if out:
             yield flush()
 
     return run
 
 
+def _distances(sigs: np.ndarray, rows: slice) -> np.ndarray:
+    """Symbols in which the rows differ from all."""
+    d = np.zeros((rows.stop - rows.start, len(sigs)), np.uint8)
+    for k in range(SYMBOLS):
+        d += sigs[rows, k, None] != sigs[None, :, k]
+    return d
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    ids, blocks = t.column("id").to_numpy(), t.column("block").to_numpy()
+    sigs = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    return ids, blocks, sigs, t.column("i")[0].as_py() != t.column("j")[0].as_py()
+
+
+def _forest(t: pa.Table) -> list[np.ndarray]:
+    """Of all candidate pairs of a bucket's two blocks only so many that they connect the same."""
+    ids, blocks, sigs, two = _columns(t)
+    label, out = np.arange(len(ids)), []
+    for at in range(0, len(ids), 256):
+        rows = slice(at, min(len(ids), at + 256))
+        near = _distances(sigs, rows) <= RADIUS
+        near &= np.arange(len(ids))[None, :] < np.arange(rows.start, rows.stop)[:, None]
+        if two:
+            near &= blocks[rows, None] != blocks[None, :]
+        for r in np.flatnonzero(near.any(axis=1)):
+            found = np.flatnonzero(near[r])
+            met, first = np.unique(label[found], return_index=True)
+            fresh = met != label[at + r]
+            if fresh.any():
+                out.append(np.stack([np.full(int(fresh.sum()), ids[at + r]), ids[found[first[fresh]]]], axis=1))
+                label[np.isin(label, met)] = label[at + r]
+    return out
+
+
+def _linked(least: int):
+    """Of all links of a group's two blocks so many that they connect the same: nearest signatures first, full sets decide."""
+
+    def work(t: pa.Table) -> list[np.ndarray]:
+        ids, blocks, sigs, two = _columns(t)
+        lists = t.column("members").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(at)
+        d = np.concatenate([_distances(sigs, slice(k, min(len(ids), k + 256))) for k in range(0, len(ids), 256)])
+        ok = (d <= RADIUS) & (np.arange(len(ids))[None, :] < np.arange(len(ids))[:, None])
+        # an intersection is at most the smaller set, a union at least the larger
+        ok &= 100 * np.minimum(size[:, None], size[None, :]) >= least * np.maximum(size[:, None], size[None, :])
+        if two:
+            ok &= blocks[:, None] != blocks[None, :]
+        a, b = np.nonzero(ok)
+        order = np.argsort(d[a, b], kind="stable")
+        a, b = a[order], b[order]
+        label, out = np.arange(len(ids)), []
+        for step in range(0, len(a), 2000):
+            for x, y in zip(a[step : step + 2000].tolist(), b[step : step + 2000].tolist()):
+                if label[x] == label[y]:
+                    continue
+                both = len(np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True))
+                if 100 * both >= least * (size[x] + size[y] - both):
+                    out.append(np.array([[ids[x], ids[y]]]))
+                    label[label == label[x]] = label[y]
+        return out
+
+    return work
+
+
+def _in_blocks(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows (key, id, g: number of blocks) to one per pair of blocks they are in, sorted by (key, i, j, id)."""
+    rows = rows.withColumn("block", F.pmod(F.hash("id"), F.col("g")))
+    spread = F.expr("transform(sequence(0, g - 1), o -> named_struct('i', least(block, o), 'j', greatest(block, o)))")
+    rows = rows.withColumn("p", F.explode(spread)).select(key, "p.i", "p.j", "id", "block", *columns)
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 80) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -151,8 +201,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 80) -> DataF
     document that has each of their texts' links. Rows without an id are linked with nothing: their component_id is
     null and they are kept. Other columns are not read. An empty table gives no rows.
 
-    Texts with equal sets are one vertex (a grouped minimum); only vertices with a candidate have their sets fetched
-    again. Verified links are few: what is already connected is not compared any more.
+    Texts with equal sets are one vertex (a grouped minimum). Candidates make groups, of which only a spanning forest is
+    ever passed on; the sets of a group's members meet once, in pairs of blocks, and there what is connected already is
+    not compared any more. So the rows between stages grow with the texts, not with the square of a group.
     """
     spark = docs.sparkSession
     texts = written(sketches(docs, shingle), "sketches")
@@ -161,28 +212,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: int = 80) -> DataF
     classes = written(usable.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     vertices = classes.select(F.xxhash64("content").alias("id"), "content", "rep", "signature")
     keyed = written(vertices.select("id", "signature").mapInArrow(_keyed, "key bigint, id bigint"), "keyed")
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = keyed.join(crowded, "key").select("key", "id", "g")
-    members = members.join(vertices.select("id", "signature"), "id").withColumn("block", F.pmod(F.hash("id"), F.col("g")))
-    members = written(members, "members")
-    found, comps, wanted = None, None, None
-    for k, (lo, hi) in enumerate(ROUNDS):
-        rows = members.withColumn("comp", F.col("id"))
-        if comps is not None:
-            rows = members.join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-            open_ = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"))
-            open_ = open_.where((F.col("x") < F.col("y")) & (F.col("n") > lo)).select("key")
-            rows = rows.join(open_, "key", "left_semi")
-        spread = F.expr("transform(sequence(0, g - 1), o -> named_struct('i', least(block, o), 'j', greatest(block, o)))")
-        rows = rows.withColumn("p", F.explode(spread)).select("key", "p.i", "p.j", "id", "comp", "block", "signature")
-        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-        pairs = written(rows.mapInArrow(_candidates(lo, hi, k == 0), "a bigint, b bigint"), "pairs").distinct()
-        if k == 0:
-            some = pairs.where("a = b").select(F.col("a").alias("id"))
-            wanted = written(_sets_of(docs, vertices.join(some, "id", "left_semi").select("id", F.col("rep").alias("doc_id")), shingle), "sets")
-        links = written(_verified(pairs.where("a <> b"), wanted, least), "links")
-        found = links if found is None else found.union(links)
-        comps = written(components(found), "components")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
+    members = keyed.join(crowded, "key").join(vertices.select("id", "signature"), "id")
+    candidates = _in_blocks(members, "key", "signature").mapInArrow(_by_group(_forest, ("key", "i", "j")), "a bigint, b bigint")
+    groups = written(components(candidates), "groups").select("id", F.col("component_id").alias("grp"))
+    wanted = vertices.join(groups, "id").select("id", "grp", "signature", F.col("rep").alias("doc_id"))
+    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("g"))
+    sets_ = _sets_of(docs, wanted, shingle).join(wanted.select("id", "grp", "signature"), "id").join(blocks, "grp")
+    links = _in_blocks(sets_, "grp", "signature", "members").mapInArrow(_by_group(_linked(least), ("grp", "i", "j")), "a bigint, b bigint")
+    found = written(links, "links")
     merged = components(
         found.join(vertices.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(vertices.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
         .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
@@ -201,7 +239,7 @@ def _sets_of(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
             digests, members = [], []
             for s in sets(*utf8(batch.column(0)), shingle):
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                members.append(s.astype(np.int64))
+                members.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(members, pa.list_(pa.int64()))], ["content", "members"])
 
     ids = reps.select("doc_id").distinct()
@@ -211,9 +249,3 @@ def _sets_of(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     made = made.select(F.xxhash64("content").alias("id"), "members")
     # a text of the class may come back more than once
     return made.join(reps.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-
-
-def _verified(pairs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    a, b = (wanted.select(F.col("id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    both = pairs.join(b, "b").join(a, "a").withColumn("n", F.size(F.array_intersect("ma", "mb")))
-    return both.where(100 * F.col("n") >= least * (F.size("ma") + F.size("mb") - F.col("n"))).select("a", "b")

@@ -52,6 +52,7 @@ def test_as_all_pairs(spark, seed):
 
 def test_large_group_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 12)
     r = random.Random(5)
     base = [f"w{r.randrange(300)}" for _ in range(150)]
     rows = []
