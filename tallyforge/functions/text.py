@@ -94,7 +94,7 @@ def org_number(raw: Column) -> Column:
     """Digits as NNNNNN-NNNN if they are ten, or twelve from 16, and pass Luhn; else null."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
     ten = F.when(F.length(digits) == 10, digits).when((F.length(digits) == 12) & digits.startswith("16"), F.right(digits, F.lit(10)))
-    return F.when(F.luhn_check(ten), F.concat(F.left(ten, F.lit(6)), F.lit("-"), F.right(ten, F.lit(4))))
+    return F.when(F.call_function("luhn_check", ten), F.concat(F.left(ten, F.lit(6)), F.lit("-"), F.right(ten, F.lit(4))))
 
 
 def citation(title: Column, locator: Column) -> Column:

@@ -1 +1,224 @@
-from .catalog import query  # noqa: F401
+"""Queries of the table store: joins, pages, folds, set and cascade operators, graph reachability, decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..operators import graph, store
+from .adapters import ore, read
+from .catalog import query
+
+
+@query("corroborated_semi", "select o_orderkey from orders o where exists (select 1 from part p where p_size = 1 and (p.p_partkey % 100 = o.o_orderkey % 100 or p.p_brand = 'Brand#' || (o.o_custkey % 25 + 1)::varchar))")
+def corroborated_semi(spark, sf):
+    """A semi join on either of two keys: one equi-join per key, united, instead of a nested loop."""
+    o, p = read(spark, sf, "orders"), read(spark, sf, "part").where("p_size = 1")
+    by_id = o.join(p.select((F.col("p_partkey") % 100).alias("m")).distinct(), F.col("o_orderkey") % 100 == F.col("m"), "left_semi")
+    by_brand = o.join(p.select("p_brand").distinct(), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")) == F.col("p_brand"), "left_semi")
+    return by_id.select("o_orderkey").union(by_brand.select("o_orderkey")).distinct()
+
+
+@query("uncovered_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F' and o_totalprice > 300000)")
+def uncovered_anti(spark, sf):
+    covered = read(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf, "customer").select("c_custkey").join(covered, "c_custkey", "left_anti")
+
+
+@query("verdict_left", "with v as (select p_name, arg_max(p_size % 2 = 0, p_partkey) as survives from part group by p_name) select l_orderkey, l_linenumber, l_partkey, l_quantity, coalesce(v.survives, true) as survives from lineitem join part p on l_partkey = p_partkey left join v on v.p_name = p.p_name")
+def verdict_left(spark, sf):
+    """The last verdict of a title wins."""
+    part = read(spark, sf, "part")
+    v = part.groupBy("p_name").agg(F.max_by(F.col("p_size") % 2 == 0, "p_partkey").alias("survives"))
+    rows = read(spark, sf, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").join(v, "p_name", "left")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.coalesce("survives", F.lit(True)).alias("survives"))
+
+
+@query("evidence_array", "select o_orderkey, coalesce(e, '') as evidence from orders left join (select l_orderkey, string_agg(l_linenumber::varchar || ':' || l_partkey::varchar, ',' order by l_linenumber, l_partkey) as e from lineitem group by 1) on o_orderkey = l_orderkey")
+def evidence_array(spark, sf):
+    """Each order with its lines in order as one string; none is empty."""
+    item = F.struct("l_linenumber", "l_partkey")
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("e"))
+    lines = lines.select("l_orderkey", F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",").alias("e"))
+    return read(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("e", F.lit("")).alias("evidence"))
+
+
+@query("versions_join", "select o_orderkey, l_linenumber, l_suppkey, cast(round(l_extendedprice * 100) as bigint) as price_ore from orders join lineitem on o_orderkey = l_orderkey where o_orderstatus = 'F'")
+def versions_join(spark, sf):
+    lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey", ore("l_extendedprice").alias("price_ore"))
+    return read(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey").join(lines, "o_orderkey")
+
+
+@query("sessions_filter_agg", "select c_custkey, count(o_orderkey) as n_orders, count(*) filter (where o_orderstatus = 'O') as n_open, max(o_orderdate) as last_date from customer left join orders on o_custkey = c_custkey group by c_custkey")
+def sessions_filter_agg(spark, sf):
+    joined = read(spark, sf, "customer").join(read(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_orders"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.max("o_orderdate").alias("last_date"))
+
+
+@query("scalar_count", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n from customer")
+def scalar_count(spark, sf):
+    n = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return read(spark, sf, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("orphans_not_exists", "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def orphans_not_exists(spark, sf):
+    return read(spark, sf, "orders").join(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("in_subquery", "select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'P')")
+def in_subquery(spark, sf):
+    keys = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return read(spark, sf, "lineitem").join(keys, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query("pending_older_than", "select o_orderkey, c_mktsegment from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P' and o_orderdate < timestamp '1998-06-01' - interval 30 days order by o_orderdate, o_orderkey limit 50")
+def pending_older_than(spark, sf):
+    late = read(spark, sf, "orders").where("o_orderstatus = 'P' and o_orderdate < timestamp_ntz '1998-06-01' - interval 30 days")
+    joined = late.join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.orderBy("o_orderdate", "o_orderkey").limit(50).select("o_orderkey", "c_mktsegment")
+
+
+@query("keyset_page", "select o_orderkey, o_orderdate from orders where (o_orderdate, o_orderkey) < (timestamp '1997-03-05', 4000) order by o_orderdate desc, o_orderkey desc limit 51")
+def keyset_page(spark, sf):
+    return store.page(read(spark, sf, "orders"), "o_orderdate", "o_orderkey", ("1997-03-05 00:00:00", 4000)).select("o_orderkey", "o_orderdate")
+
+
+@query("latest_per_key", "select o_custkey, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) where r = 1")
+def latest_per_key(spark, sf):
+    return store.latest(read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("membership_order", "select n_nationkey, c_custkey, role from (select c_nationkey as n_nationkey, c_custkey, role, row_number() over (partition by c_nationkey order by case role when 'owner' then 0 when 'member' then 1 else 2 end, c_custkey) as r from (select *, case c_custkey % 5 when 3 then 'owner' when 1 then 'member' else 'guest' end as role from customer)) where r = 1")
+def membership_order(spark, sf):
+    role = F.when(F.col("c_custkey") % 5 == 3, "owner").when(F.col("c_custkey") % 5 == 1, "member").otherwise("guest")
+    rank = F.when(F.col("role") == "owner", 0).when(F.col("role") == "member", 1).otherwise(2)
+    first = F.min(F.struct(rank.alias("k"), "c_custkey", "role")).alias("m")
+    return read(spark, sf, "customer").withColumn("role", role).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(first).select("n_nationkey", "m.c_custkey", "m.role")
+
+
+@query("upsert_fold", "with last as (select user_id, arg_max(value, event_id) as value from events group by user_id) select coalesce(l.user_id, c_custkey) as id, coalesce(l.value, c_acctbal) as value from customer full join last l on l.user_id = c_custkey")
+def upsert_fold(spark, sf):
+    base = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return store.upsert(base, read(spark, sf, "events").select(F.col("user_id").alias("id"), "value", "event_id"), "id", "event_id")
+
+
+@query("guarded_update_fold", "select o_orderkey, case when o_orderstatus in ('O', 'P') and l.n > 3 then 'X' else o_orderstatus end as status from orders left join (select l_orderkey, count(*) as n from lineitem group by 1) l on l_orderkey = o_orderkey")
+def guarded_update_fold(spark, sf):
+    n = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    joined = read(spark, sf, "orders").join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return joined.select("o_orderkey", F.when(F.col("o_orderstatus").isin("O", "P") & (F.col("n") > 3), "X").otherwise(F.col("o_orderstatus")).alias("status"))
+
+
+@query("idempotent_insert", "select user_id, event_type, min(event_id) as event_id from events where not exists (select 1 from customer where c_custkey = user_id and c_custkey % 3 = 0) group by user_id, event_type")
+def idempotent_insert(spark, sf):
+    there = read(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+    rows = read(spark, sf, "events").join(there, "user_id", "left_anti")
+    none = rows.limit(0).select("user_id", "event_type")
+    return store.insert_new(none, rows, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("purge_children", "select 'lineitem' as tab, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderdate < timestamp '1996-01-01') union all select 'orders', count(*) from orders where not o_orderdate < timestamp '1996-01-01'")
+def purge_children(spark, sf):
+    orders = read(spark, sf, "orders").withColumnRenamed("o_orderkey", "key")
+    lines = read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "key")
+    kept_lines, kept_orders = store.cascade(orders, lines, "key", orders.where("o_orderdate < timestamp_ntz '1996-01-01'"))
+    n = lambda df, t: df.agg(F.count("*").alias("n")).select(F.lit(t).alias("tab"), "n")
+    return n(kept_lines, "lineitem").union(n(kept_orders, "orders"))
+
+
+_A, _B = "list_filter(['email', 'push', 'in_app'], lambda x: (strlen(x) + o_orderkey) % 2 = 0)", "list_filter(['sms', 'push', 'email'], lambda x: (strlen(x) * o_orderkey) % 3 = 0)"
+
+
+@query("array_set_union", f"select o_orderkey, array_to_string(list_sort(list_filter(list_distinct(list_concat({_A}, {_B})), lambda x: x in ('email', 'push', 'sms'))), ',') as channels, len(list_filter({_A}, lambda x: not list_contains({_B}, x))) = 0 as subset from orders")
+def array_set_union(spark, sf):
+    k = F.col("o_orderkey")
+    a = F.filter(F.array(*map(F.lit, ("email", "push", "in_app"))), lambda x: (F.length(x) + k) % 2 == 0)
+    b = F.filter(F.array(*map(F.lit, ("sms", "push", "email"))), lambda x: (F.length(x) * k) % 3 == 0)
+    allowed = F.array(*map(F.lit, ("email", "push", "sms")))
+    return read(spark, sf, "orders").select("o_orderkey", F.array_join(store.bounded_union(a, b, allowed), ",").alias("channels"), store.is_subset(a, b).alias("subset"))
+
+
+@query("settlement_decision", "select o_orderkey, case when o_orderstatus = 'P' then 'pending' when o_orderkey % 17 = 0 then 'declined' when o_orderkey % 19 = 0 then 'failed' when ref is distinct from want then 'wrong_reference' when o_orderkey % 29 = 0 then 'wrong_currency' when o_orderkey % 31 = 0 then 'wrong_amount' else 'settled' end as decision from (select *, case when o_orderkey % 23 <> 0 then 'r' || o_custkey end as ref, 'r' || o_custkey as want from orders)")
+def settlement_decision(spark, sf):
+    k, want = F.col("o_orderkey"), F.concat(F.lit("r"), F.col("o_custkey").cast("string"))
+    ref = F.when(k % 23 != 0, want)
+    d = F.when(F.col("o_orderstatus") == "P", "pending").when(k % 17 == 0, "declined").when(k % 19 == 0, "failed").when(~ref.eqNullSafe(want), "wrong_reference").when(k % 29 == 0, "wrong_currency").when(k % 31 == 0, "wrong_amount").otherwise("settled")
+    return read(spark, sf, "orders").select("o_orderkey", d.alias("decision"))
+
+
+@query("permission_matrix", "with m(role, permission, verified) as (values ('owner', 'delete', true), ('owner', 'read', false), ('member', 'read', false), ('member', 'write', true)) select c_custkey, permission from (select c_custkey, case c_custkey % 3 when 0 then 'owner' when 1 then 'member' else 'guest' end as role, c_custkey % 2 = 0 as is_verified from customer) c join m on c.role = m.role and (not verified or is_verified)")
+def permission_matrix(spark, sf):
+    m = spark.createDataFrame([("owner", "delete", True), ("owner", "read", False), ("member", "read", False), ("member", "write", True)], "role string, permission string, verified boolean")
+    k = F.col("c_custkey")
+    users = read(spark, sf, "customer").select("c_custkey", F.when(k % 3 == 0, "owner").when(k % 3 == 1, "member").otherwise("guest").alias("role"), (k % 2 == 0).alias("is_verified"))
+    return users.join(F.broadcast(m), "role").where("not verified or is_verified").select("c_custkey", "permission")
+
+
+_EDGES = "select 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem where l_suppkey < 5 and l_partkey < 400 union select 'p' || l_partkey, 'o' || l_orderkey from lineitem where l_partkey < 400 union select 'o' || o_orderkey, 'c' || o_custkey from orders where o_orderkey % 10 = 0"
+
+
+def _edges(spark, sf):
+    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    lines, orders = read(spark, sf, "lineitem").where("l_partkey < 400"), read(spark, sf, "orders")
+    return lines.where("l_suppkey < 5").select(node("s", "l_suppkey").alias("src"), node("p", "l_partkey").alias("dst")).union(lines.select(node("p", "l_partkey"), node("o", "l_orderkey"))).union(orders.where("o_orderkey % 10 = 0").select(node("o", "o_orderkey"), node("c", "o_custkey")))
+
+
+@query("evidence_closure", f"with recursive e as ({_EDGES}), r as (select src as start, dst as node from e where src like 's%' union select start, dst from r join e on node = src) select start, node from r")
+def evidence_closure(spark, sf):
+    edges = _edges(spark, sf)
+    return graph.reachable(edges, edges.where("src like 's%'").select(F.col("src").alias("node")))
+
+
+@query("affected_findings", f"with recursive e as ({_EDGES}), r as (select src as start, dst as node from e where src = 's3' union select start, dst from r join e on node = src) select node from r where node like 'c%'")
+def affected_findings(spark, sf):
+    starts = spark.createDataFrame([("s3",)], "node string")
+    return graph.reachable(_edges(spark, sf), starts).where("node like 'c%'").select("node")
+
+
+@query("document_rows", "select o_custkey, count(distinct l_suppkey) as n_sources, count(distinct l_partkey) as n_rules from orders join lineitem on o_orderkey = l_orderkey group by o_custkey")
+def document_rows(spark, sf):
+    j = read(spark, sf, "orders").join(read(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.groupBy("o_custkey").agg(F.countDistinct("l_suppkey").alias("n_sources"), F.countDistinct("l_partkey").alias("n_rules"))
+
+
+@query("budget_running_total", "select user_id, event_id, total, exceeded from (select user_id, event_id, sum(c) over w as total, sum(c) over w > 300000 as exceeded from (select *, cast(round(value * 1000) as bigint) as c from events) window w as (partition by user_id order by ts, event_id rows unbounded preceding))".replace("sum(c) over w as total", "(sum(c) over w)::bigint as total"))
+def budget_running_total(spark, sf):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    total = F.sum(F.round(F.col("value") * 1000).cast("bigint")).over(w)
+    return read(spark, sf, "events").select("user_id", "event_id", total.alias("total"), (total > 300_000).alias("exceeded"))
+
+
+@query("token_cost", "select conv_id, turn, (strlen(text) // 3 + 1)::bigint as tokens, (((strlen(text) // 3 + 1) * 2750 + 999999) // 1000000)::bigint as cost from conversations")
+def token_cost(spark, sf):
+    """Estimated tokens of a text and their price, rounded up."""
+    tokens = F.call_function("div", F.octet_length("text").cast("bigint"), F.lit(3).cast("bigint")) + 1
+    cost = F.call_function("div", tokens * 2750 + 999_999, F.lit(1_000_000).cast("bigint"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", tokens.alias("tokens"), cost.alias("cost"))
+
+
+@query("upload_decision", "select o_orderkey, case when o_orderstatus <> 'O' then 'not_issued' when o_orderdate < timestamp '1995-06-01' then 'expired' when o_orderkey % 9 = 0 then 'wrong_size' else 'completed' end as decision from orders")
+def upload_decision(spark, sf):
+    d = F.when(F.col("o_orderstatus") != "O", "not_issued").when(F.expr("o_orderdate < timestamp_ntz '1995-06-01'"), "expired").when(F.col("o_orderkey") % 9 == 0, "wrong_size").otherwise("completed")
+    return read(spark, sf, "orders").select("o_orderkey", d.alias("decision"))
+
+
+@query("product_coverage", "select distinct p_brand from part where exists (select 1 from supplier where s_nationkey = p_size % 25 and s_acctbal > 5000)")
+def product_coverage(spark, sf):
+    sellers = read(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    return read(spark, sf, "part").join(sellers, F.col("p_size") % 25 == F.col("k"), "left_semi").select("p_brand").distinct()
+
+
+@query("findings_union", "select o_orderkey as id, 'rule' as origin from orders where o_orderstatus = 'F' union all select o_orderkey, 'candidate' from orders where o_orderpriority = '1-URGENT'")
+def findings_union(spark, sf):
+    o = read(spark, sf, "orders")
+    pick = lambda df, kind: df.select(F.col("o_orderkey").alias("id"), F.lit(kind).alias("origin"))
+    return pick(o.where("o_orderstatus = 'F'"), "rule").unionByName(pick(o.where("o_orderpriority = '1-URGENT'"), "candidate"))
+
+
+@query("channel_resolution", "select c_custkey, case when c_custkey % 7 = 0 then 'in_app,email' when c_custkey % 5 = 0 then 'in_app' when c_custkey % 11 = 0 then 'suppressed' else c_mktsegment end as channels from customer")
+def channel_resolution(spark, sf):
+    k = F.col("c_custkey")
+    preferred = F.when(k % 5 == 0, F.array(F.lit("in_app"))).when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array("c_mktsegment"))
+    resolved = F.when(k % 7 == 0, F.array(F.lit("in_app"), F.lit("email"))).otherwise(preferred)
+    return read(spark, sf, "customer").select("c_custkey", F.when(F.size(resolved) == 0, "suppressed").otherwise(F.array_join(resolved, ",")).alias("channels"))

@@ -28,7 +28,7 @@ def canonical_facts(spark, sf):
     return fx.canonical(facts(spark, sf))
 
 
-@query("all_readings", f"select company_id, kind, value_ore, confidence, seq, row_number() over (partition by company_id, kind order by confidence desc, seq) as place from ({FACTS_SQL})")
+@query("all_readings", f"select company_id, kind, value_ore, confidence, seq, row_number() over (partition by company_id, kind order by confidence desc, seq)::int as place from ({FACTS_SQL})")
 def all_readings(spark, sf):
     return fx.all_readings(facts(spark, sf))
 
@@ -133,7 +133,7 @@ def rule_outcomes(spark, sf):
     return evaluated(spark, sf).where(F.col("rule_id").isin(*_SEVEN)).select("company_id", "rule_id", "outcome")
 
 
-@query("rule_impacts", f"with {_EVAL} select company_id, rule_id, outcome, case when high is not null then 0::bigint end as low, high, row_number() over (partition by company_id order by coalesce(high, 0) desc, rule_id) as place from shown where outcome in ('matched', 'indeterminate') and has")
+@query("rule_impacts", f"with {_EVAL} select company_id, rule_id, outcome, case when high is not null then 0::bigint end as low, high, row_number() over (partition by company_id order by coalesce(high, 0) desc, rule_id)::int as place from shown where outcome in ('matched', 'indeterminate') and has")
 def rule_impacts(spark, sf):
     """From readings to each company's ranked findings, with what each may save."""
     found = fd.findings(evaluated(spark, sf)).where(F.col("rule_id").isin(*_SEVEN)).withColumn("score", F.coalesce("high", F.lit(0)))
@@ -166,7 +166,7 @@ def cleared_checks(spark, sf):
     return fd.cleared(evaluated(spark, sf)).where(F.col("rule_id").isin(*_SEVEN)).select("company_id", "rule_id")
 
 
-@query("rule_year_join", "with r(rule_id, first_year, last_year) as (values ('a', 1992, 1995), ('b', 1994, null), ('c', 1996, 1996)) select rule_id, year(o_orderdate) as tax_year, count(*) as n from orders join r on first_year <= year(o_orderdate) and (last_year is null or year(o_orderdate) <= last_year) group by 1, 2")
+@query("rule_year_join", "with r(rule_id, first_year, last_year) as (values ('a', 1992, 1995), ('b', 1994, null), ('c', 1996, 1996)) select rule_id, year(o_orderdate)::int as tax_year, count(*) as n from orders join r on first_year <= year(o_orderdate) and (last_year is null or year(o_orderdate) <= last_year) group by 1, 2")
 def rule_year_join(spark, sf):
     """Rules against companies by year: the few rules are broadcast, counts are summed per year before the range join."""
     windows = spark.createDataFrame([("a", 1992, 1995), ("b", 1994, None), ("c", 1996, 1996)], "rule_id string, first_year int, last_year int")
@@ -196,14 +196,14 @@ def confidence_score(spark, sf):
 _PRIO = f"least(abs(round(o_totalprice * 100)) / 20000000.0::double, 1.0::double) * ({_CONF} / 100.0::double) * 0.8::double * (case o_orderstatus when 'O' then 1.3::double when 'P' then 1.15::double else 1.0::double end) / (case o_orderpriority when '1-URGENT' then 1.0::double when '2-HIGH' then 1.6::double else 2.5::double end)"
 
 
-@query("priority_score", f"select o_orderkey, round(least(greatest({_PRIO}, 0), 1), 9) as priority, round({_CONF} / 100.0::double * case o_orderstatus when 'F' then 0.9::double when 'P' then 0.6::double else 0.3::double end, 9) as risk_priority from orders")
+@query("priority_score", f"select o_orderkey, round(least(greatest({_PRIO}, 0), 1), 6) as priority, round({_CONF} / 100.0::double * case o_orderstatus when 'F' then 0.9::double when 'P' then 0.6::double else 0.3::double end, 6) as risk_priority from orders")
 def priority_score(spark, sf):
     c = scoring.confidence(*_factors())
     urgency = F.when(F.col("o_orderstatus") == "O", "now").when(F.col("o_orderstatus") == "P", "soon").otherwise("normal")
     effort = F.when(F.col("o_orderpriority") == "1-URGENT", "low").when(F.col("o_orderpriority") == "2-HIGH", "medium").otherwise("high")
     risk = F.when(F.col("o_orderstatus") == "F", "high").when(F.col("o_orderstatus") == "P", "medium").otherwise("low")
     p = scoring.priority(ore("o_totalprice").cast("double"), c, F.lit(0.8), urgency, effort)
-    return read(spark, sf, "orders").select("o_orderkey", F.round(p, 9).alias("priority"), F.round(scoring.risk_priority(c, risk), 9).alias("risk_priority"))
+    return read(spark, sf, "orders").select("o_orderkey", F.round(p, 6).alias("priority"), F.round(scoring.risk_priority(c, risk), 6).alias("risk_priority"))
 
 
 @query("status_ladder", "select o_orderkey, case when o_orderkey % 11 = 0 then 'rejected' when o_orderpriority = '1-URGENT' then 'warning' when o_orderstatus = 'P' or o_orderkey % 3 = 0 or o_orderkey % 7 = 0 then 'investigate' when o_orderkey % 2 = 0 then 'verify' else 'identified' end as status from orders")
@@ -232,13 +232,13 @@ def live_overrides_shipped(spark, sf):
     return read(spark, sf, "nation").join(live, "n_nationkey", "left").select("n_nationkey", F.coalesce("live", F.when(F.col("n_nationkey") % 2 == 0, "shipped"), F.lit("unretrieved")).alias("state"))
 
 
-@query("top3_actions", "select o_custkey, o_orderkey, place from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders where o_orderstatus <> 'F') where place <= 3")
+@query("top3_actions", "select o_custkey, o_orderkey, place from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as place from orders where o_orderstatus <> 'F') where place <= 3")
 def top3_actions(spark, sf):
     w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return read(spark, sf, "orders").where("o_orderstatus <> 'F'").withColumn("place", F.row_number().over(w)).where("place <= 3").select("o_custkey", "o_orderkey", "place")
 
 
-@query("action_plan", "with a as (select o_custkey as company_id, case when o_orderkey % 13 = 0 then ' ' else o_orderpriority end as action, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as band_rank, cast(round(o_totalprice * 100) as bigint) as high, o_orderkey as seq from orders), k as (select *, row_number() over (partition by company_id, action order by band_rank, high desc, seq) as r from a where trim(action) <> '') select company_id, action, seq, row_number() over (partition by company_id order by band_rank, high desc, seq) as number from k where r = 1")
+@query("action_plan", "with a as (select o_custkey as company_id, case when o_orderkey % 13 = 0 then ' ' else o_orderpriority end as action, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as band_rank, cast(round(o_totalprice * 100) as bigint) as high, o_orderkey as seq from orders), k as (select *, row_number() over (partition by company_id, action order by band_rank, high desc, seq) as r from a where trim(action) <> '') select company_id, action, seq, row_number() over (partition by company_id order by band_rank, high desc, seq)::int as number from k where r = 1")
 def action_plan(spark, sf):
     a = read(spark, sf, "orders").select(F.col("o_custkey").alias("company_id"), F.when(F.col("o_orderkey") % 13 == 0, " ").otherwise(F.col("o_orderpriority")).alias("action"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("band_rank"), ore("o_totalprice").alias("high"), F.col("o_orderkey").alias("seq"))
     return fd.action_plan(a).select("company_id", "action", "seq", "number")
