@@ -86,7 +86,7 @@ def density(samples: DataFrame, by: str, x: str, bins: int = 48, most: int = 20_
 def pearson(x: Column, y: Column) -> Column:
     """Aggregate: correlation, null for fewer than two samples or none spread, within [-1, 1]."""
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(F.count(x) >= 2, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when((F.count(x) >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def average_rank(df: DataFrame, by: str, x: str, out: str) -> DataFrame:

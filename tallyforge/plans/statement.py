@@ -13,7 +13,6 @@ from .adapters import COMPANIES_SQL, FACTS_SQL, PRIORITY_KIND, companies, facts,
 from .catalog import query
 
 KINDS = sorted(PRIORITY_KIND.values())
-_BEST = f"best as (select company_id, kind, arg_max(value_ore, confidence * 1000000000 - seq) as value_ore, count(*) as n_readings from ({FACTS_SQL}) group by company_id, kind)"
 _BEST = f"best as (select company_id, kind, value_ore, confidence, seq, n_readings from (select *, row_number() over (partition by company_id, kind order by confidence desc, seq) as r, count(*) over (partition by company_id, kind) as n_readings from ({FACTS_SQL})) where r = 1)"
 _WIDE = "wide as (select company_id, " + ", ".join(f"max(case when kind = '{k}' then value_ore end) as f_{k}" for k in KINDS) + " from best group by company_id)"
 _ROWS = f"{_BEST}, {_WIDE}, rows as (select c.*, " + ", ".join(f"f_{k}" for k in KINDS) + f" from ({COMPANIES_SQL}) c left join wide w on c.company_id = w.company_id)"
@@ -213,7 +212,6 @@ def status_ladder(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", s.alias("status"))
 
 
-_STATES = "list_transform(list_distinct(list(s_suppkey % 4)), lambda x: ['verified', 'unreachable', 'unretrieved', 'mismatch'][x + 1])"
 
 
 @query("source_state_combine", "select s_nationkey, case when max(s_suppkey % 9 = 3) then 'mismatch' when min(st) = 0 then 'unretrieved' when min(st) = 1 then 'unreachable' else 'verified' end as combined, ['unretrieved', 'unreachable', 'mismatch', 'verified'][min(case when s_suppkey % 9 = 3 then 2 when st = 2 then 3 else st end) + 1] as plain_weakest from (select *, case when s_suppkey % 5 = 0 then 1 when s_suppkey % 13 = 0 then 0 else 2 end as st from supplier) group by s_nationkey")

@@ -149,7 +149,8 @@ def _paged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path``: path, mime, status (ok, no_text, unreadable), page from 1, text. A file without text has one row, page 0."""
+    """Files under ``path``: path, mime, status (ok, no_text, unreadable), page from 1, text. A file without text has one row, page 0;
+    Spark passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     typed = files.select("path", sniff(F.col("content"), F.col("path")).alias("mime"), "content")
     pages = typed.mapInPandas(_paged, "path string, mime string, status string, page int, text string")
