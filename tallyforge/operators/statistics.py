@@ -89,19 +89,25 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((F.count(x) >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def average_rank(df: DataFrame, by: str, x: str, out: str) -> DataFrame:
-    """Rank with ties at their mean: counts per value, summed in order, instead of a sort of all rows in one task per output."""
+def ranks(df: DataFrame, by: str, x: str, out: str) -> DataFrame:
+    """(by, x, out): rank of each value with ties at their mean, from counts per value instead of a sort of all rows in one task per output."""
     counts = df.groupBy(by, x).agg(F.count("*").alias("c"))
     below = F.coalesce(F.sum("c").over(W.partitionBy(by).orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(by, x, (below + (F.col("c") + 1) / 2.0).cast("double").alias(out))
-    return df.join(ranks, [by, x])
+    return counts.select(by, x, (below + (F.col("c") + 1) / 2.0).cast("double").alias(out))
+
+
+def average_rank(df: DataFrame, by: str, x: str, out: str) -> DataFrame:
+    return df.join(ranks(df, by, x, out), [by, x])
 
 
 def sensitivity(samples: DataFrame, by: str, output: str, inputs: list[str]) -> DataFrame:
-    """Per output and input: Pearson, Spearman, share of the squared rank correlations, place."""
-    ranked = average_rank(samples, by, output, "r_out")
+    """Per output and input: Pearson, Spearman, share of the squared rank correlations, place.
+
+    All rank tables come from the samples themselves, so the plan grows with the inputs and not with their powers.
+    """
+    ranked = samples.join(ranks(samples, by, output, "r_out"), [by, output])
     for i in inputs:
-        ranked = average_rank(ranked, by, i, f"r_{i}")
+        ranked = ranked.join(ranks(samples, by, i, f"r_{i}"), [by, i])
     wide = ranked.groupBy(by).agg(*[F.struct(F.lit(i).alias("input"), pearson(F.col(i), F.col(output)).alias("pearson"), pearson(F.col(f"r_{i}"), F.col("r_out")).alias("spearman")).alias(i) for i in inputs])
     rows = wide.select(by, F.inline(F.array(*inputs)))
     square = F.coalesce(F.col("spearman") * F.col("spearman"), F.lit(0.0))
