@@ -85,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_windows": op10_chat_windows,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op8_license_scan": license.oracle(), "op9_source_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op8_license_scan": license.oracle(), "op9_source_mix": mixing.ORACLE, "op10_chat_windows": chat.ORACLE}
