@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import money
 from ..operators import facts as fx
 from ..operators import findings as fd
+from ..operators import report as rp
 from ..operators import rules, scoring
 from .adapters import COMPANIES_SQL, FACTS_SQL, PRIORITY_KIND, companies, facts, ore, read
 from .catalog import query
@@ -255,3 +256,18 @@ def precision_recall(spark, sf):
     n = read(spark, sf, "labels").agg(c(1, 0).alias("tp"), c(1, 1).alias("fp"), c(0, 0).alias("fn"))
     share = lambda a, b: F.when(F.col(a) + F.col(b) == 0, 1.0).otherwise(F.try_divide(F.col(a), F.col(a) + F.col(b)))
     return n.select(share("tp", "fp").alias("precision_"), share("tp", "fn").alias("recall_"))
+
+
+_REVIEW = "case when outcome = 'indeterminate' then 'possible' when outcome = 'matched' then 'worth_raising' end"
+
+
+@query("control_review", f"with {_EVAL} select company_id, rule_id, {_REVIEW} as review from shown where outcome in ('matched', 'indeterminate')")
+def control_review(spark, sf):
+    rows = rp.control_review(evaluated(spark, sf)).where(F.col("rule_id").isin(*_SEVEN))
+    return rows.where("review <> 'looks_correct'")
+
+
+@query("company_reports")
+def company_reports(spark, sf):
+    found = fd.findings(evaluated(spark, sf))
+    return rp.report(fd.ranked(found.withColumn("score", F.coalesce("high", F.lit(0))), "score", "rule_id"), fd.totals(found))

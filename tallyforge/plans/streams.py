@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import metrics
 from ..streaming import jobs
 from .adapters import EVENT_OF, job_events, read
 from .catalog import query
@@ -112,3 +113,18 @@ def retention_cutoff(spark, sf):
 def delivery_backoff(spark, sf):
     seconds = F.lit(30) * F.pow(F.lit(2), F.least(F.col("user_id") % 10, F.lit(6)))
     return read(spark, sf, "events").select("event_id", (F.col("ts") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).alias("next_at"))
+
+
+_BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)
+
+
+@query("histogram_quantile", "with c as (select event_type, le, n, lag(n, 1, 0) over w as below, lag(le, 1, 0.0) over w as lo, max(n) over (partition by event_type) * 0.95::double as rank from (select event_type, le::double as le, count(*) filter (where value <= le) as n from events cross join (values " + ", ".join(f"({x})" for x in _BOUNDS) + ", (1e300)) b(le) group by event_type, le) window w as (partition by event_type order by le)) select event_type, round(case when le > 1e299 then lo else lo + (le - lo) * (rank - below) / (n - below) end, 6) as p95 from c where n >= rank and below < rank")
+def histogram_quantile(spark, sf):
+    counts = metrics.buckets(read(spark, sf, "events"), "event_type", "value", _BOUNDS)
+    return metrics.quantile(counts, "event_type", 0.95).select("event_type", F.round("value", 6).alias("p95"))
+
+
+@query("metric_exposition", "select 'events_total{kind=\"' || event_type || '\",user=\"' || user_id || '\"} ' || count(*) as line from events group by event_type, user_id")
+def metric_exposition(spark, sf):
+    n = read(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return metrics.exposition(n, F.lit("events_total"), {"kind": F.col("event_type"), "user": F.col("user_id").cast("string")}, F.col("n").cast("double"))
