@@ -17,7 +17,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import slices, utf8, written
 from .shingles import mix
@@ -184,12 +183,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     unique = written(unique, "contents")
     columns = ["anchor", "digest", "content", "start", "windows"]
     found = base.select("text").where("text is not null").mapInArrow(_blocked, "anchor bigint, digest bigint, content bigint, start int, windows int")
-    found = found.groupBy(*columns).agg(F.lit(1).alias("one"))  # copies of a text meet before the windows over anchors
-    anchor, same = W.partitionBy("anchor"), W.partitionBy("anchor", "digest")
-    found = found.withColumn("n_anchor", F.count("*").over(anchor)).withColumn("n_same", F.count("*").over(same))
-    found = found.withColumn("r", F.row_number().over(same.orderBy("content", "start"))).withColumn("edges", F.max((F.col("n_same") == 1)).over(anchor))
-    found = found.where("n_anchor > 1").select(*columns, (F.col("n_same") == 1).alias("edge"), (F.col("edges") & (F.col("r") == 1)).alias("sort"))
-    found = written(found.drop("digest"), "blocks")
+    # copies of a text meet first; all after that are sums that are combined before they are shuffled, and joins
+    found = written(found.groupBy(*columns).agg(F.lit(1).alias("one")).drop("one"), "distinct_blocks")
+    place = F.xxhash64("content", "start")
+    same = found.groupBy("anchor", "digest").agg(F.count("*").alias("n_same"), F.min(place).alias("first"))
+    shared = same.groupBy("anchor").agg(F.sum("n_same").alias("n_anchor"), F.max(F.col("n_same") == 1).alias("edges")).where("n_anchor > 1")
+    same = same.join(shared.select("anchor", "edges"), "anchor").select("anchor", "digest", (F.col("n_same") == 1).alias("edge"), "edges", "first")
+    # one of a digest's blocks is sorted; a second one of equal hash would do no harm
+    found = found.join(same, ["anchor", "digest"]).select("anchor", "content", "start", "windows", "edge", (F.col("edges") & (place == F.col("first"))).alias("sort"))
+    found = written(found, "blocks")
 
     wanted = found.where("sort").groupBy("content").agg(F.collect_list(F.struct("anchor", "start", "windows", "edge")).alias("want"))
     shards = _with_texts(base, wanted, unique, "want").mapInArrow(_cut_out, "anchor bigint, content bigint, start int, windows int, edge boolean, bytes binary")
