@@ -4,7 +4,9 @@ Every window of LENGTH bytes belongs to its anchor, the hashed gram of GRAM byte
 have equal anchors, wherever they stand. Runs of windows with one anchor are blocks. Blocks whose whole bytes recur
 are repeated throughout. The rest of the blocks that share an anchor with others go, by anchor, to shards, and there
 external induced sorting (module suffixes) orders their suffixes with common prefixes; windows next to one with a
-common prefix of LENGTH are repeated. So no window is missed, and only what can be repeated is sorted.
+common prefix of LENGTH are repeated. The windows of an anchor with too many bytes for one shard are counted by a
+digest of 128 bits instead, in sums that are combined before they are shuffled. So no window is missed, and only what
+can be repeated is sorted or counted.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .shingles import mix
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 200, 50
-# Bytes of blocks that are sorted together; an anchor's blocks stay together, however many they are.
-SHARD = 2 << 20
+# Bytes of blocks that are sorted together, up to an anchor's end; and the most of one anchor's. Beyond, its windows are counted.
+SHARD, MOST_OF_ANCHOR = 2 << 20, 256 << 10
 # Up to so many texts are looked up by broadcast lists of their blocks; beyond, by a shuffled join.
 MOST_BROADCAST = 300_000
 _STEP = 0x9E3779B97F4A7C15
@@ -142,6 +144,37 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield work(rows)
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their bytes to a row per window: its digest in two halves, text and block, place in the block."""
+    for big in batches:
+        for at in range(0, big.num_rows, 1000):
+            halves, whose, begin, place = [], [], [], []
+            for content, start, windows, raw in zip(*(big.slice(at, 1000).column(k).to_pylist() for k in (1, 2, 3, 5))):
+                halves += [xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(windows)]
+                whose += [content] * windows
+                begin += [start] * windows
+                place += range(windows)
+            two = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(whose, pa.int64()), pa.array(begin, pa.int32()), pa.array(place, pa.int32())], ["h", "l", "content", "start", "at"])
+
+
+def _counted_runs(cut: DataFrame, edges: DataFrame) -> DataFrame:
+    """Repeated runs (content, first, last) of the edge blocks among ``cut``'s, by counts of their windows.
+
+    A digest counted once names its only window, so nothing is joined back by digest: a block's runs are what its
+    unique windows, at most as many as grams fit into a window, leave of it.
+    """
+    one = F.min(F.struct("content", "start", "at")).alias("w")
+    unique = cut.mapInArrow(_digested, "h bigint, l bigint, content bigint, start int, at int").groupBy("h", "l").agg(F.count("*").alias("n"), one)
+    unique = unique.where("n = 1").select("w.*").groupBy("content", "start").agg(F.sort_array(F.collect_list("at")).alias("gaps"))
+    gaps = edges.select("content", "start", "windows").join(unique, ["content", "start"], "left")
+    # between each two neighbours of -1, the gaps and the end there may be a run
+    ends = F.concat(F.array(F.lit(-1)), F.coalesce("gaps", F.array().cast("array<int>")), F.array("windows"))
+    runs = gaps.withColumn("ends", ends).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ends") - 1)))
+    runs = runs.select("content", (F.col("start") + F.get("ends", F.col("k") - 1) + 1).alias("first"), (F.col("start") + F.get("ends", F.col("k")) - 1).alias("last"))
+    return runs.where("first <= last")
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, content, runs) to what is left: content, n_removed, n_spans, spans, sha."""
     for batch in batches:
@@ -186,17 +219,23 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # copies of a text meet first; all after that are sums that are combined before they are shuffled, and joins
     found = written(found.groupBy(*columns).agg(F.lit(1).alias("one")).drop("one"), "distinct_blocks")
     place = F.xxhash64("content", "start")
-    same = found.groupBy("anchor", "digest").agg(F.count("*").alias("n_same"), F.min(place).alias("first"))
-    shared = same.groupBy("anchor").agg(F.sum("n_same").alias("n_anchor"), F.max(F.col("n_same") == 1).alias("edges")).where("n_anchor > 1")
-    same = same.join(shared.select("anchor", "edges"), "anchor").select("anchor", "digest", (F.col("n_same") == 1).alias("edge"), "edges", "first")
+    same = found.groupBy("anchor", "digest").agg(F.count("*").alias("n_same"), F.min(place).alias("first"), F.max("windows").alias("most"))
+    shared = same.groupBy("anchor").agg(F.sum("n_same").alias("n_anchor"), F.max(F.col("n_same") == 1).alias("edges"), (F.sum(F.col("most") + LENGTH) > MOST_OF_ANCHOR).alias("large")).where("n_anchor > 1")
+    same = same.join(shared.select("anchor", "edges", "large"), "anchor").select("anchor", "digest", (F.col("n_same") == 1).alias("edge"), "edges", "large", "first")
     # one of a digest's blocks is sorted; a second one of equal hash would do no harm
-    found = found.join(same, ["anchor", "digest"]).select("anchor", "content", "start", "windows", "edge", (F.col("edges") & (place == F.col("first"))).alias("sort"))
+    found = found.join(same, ["anchor", "digest"]).select("anchor", "content", "start", "windows", "edge", "large", (F.col("edges") & (place == F.col("first"))).alias("sort"))
     found = written(found, "blocks")
 
-    wanted = found.where("sort").groupBy("content").agg(F.collect_list(F.struct("anchor", "start", "windows", "edge")).alias("want"))
-    shards = _with_texts(base, wanted, unique, "want").mapInArrow(_cut_out, "anchor bigint, content bigint, start int, windows int, edge boolean, bytes binary")
+    def cut(blocks: DataFrame) -> DataFrame:
+        wanted = blocks.where("sort").groupBy("content").agg(F.collect_list(F.struct("anchor", "start", "windows", "edge")).alias("want"))
+        return _with_texts(base, wanted, unique, "want").mapInArrow(_cut_out, "anchor bigint, content bigint, start int, windows int, edge boolean, bytes binary")
+
+    shards = cut(found.where("not large"))
     shards = shards.repartition("anchor").sortWithinPartitions("anchor", "content", "start").select("anchor", "content", "start", "windows", "edge", "bytes")
     runs = written(shards.mapInArrow(_sorted_shards, "content bigint, first int, last int"), "runs")
+    large = found.where("large and sort")
+    if not large.isEmpty():
+        runs = runs.union(written(_counted_runs(cut(large), large.where("edge")), "counted_runs"))
     runs = runs.union(found.where("not edge").select("content", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last")))
     runs = runs.join(unique.where("n > 1").select("content"), "content", "left_anti")
     lists = runs.groupBy("content").agg(F.collect_list(F.struct("first", "last")).alias("runs"))

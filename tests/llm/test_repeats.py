@@ -84,3 +84,37 @@ def test_whole_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in queries.op6_repeated_passages(spark, sf).collect()}
     assert got == {d.doc_id: w for d, w in zip(docs, brute([d.text for d in docs]))}
+
+
+def _texts_of_one_anchor(n):
+    r = random.Random(8)
+    text = lambda k: "".join(r.choice("abcdeé \n") for _ in range(k))
+    shared = text(150)
+    texts = [text(120) + shared + text(120) for _ in range(n)]
+    # some share more than the passage, so that windows with its anchor recur
+    return texts + [texts[k][60:] + text(90) for k in range(0, n, 9)] + [text(5) + texts[k][:300] for k in range(0, n, 11)]
+
+
+def test_hot_anchor_is_no_shard(spark, monkeypatch):
+    texts = _texts_of_one_anchor(2500)
+    sort = repeats._sorted_shards
+
+    def small_only(batches):
+        def seen():
+            sizes = {}
+            for b in batches:
+                for a, raw in zip(b.column(0).to_pylist(), b.column(5).to_pylist()):
+                    sizes[a] = sizes.get(a, 0) + len(raw)
+                assert max(sizes.values(), default=0) <= 300_000
+                yield b
+
+        yield from sort(seen())
+
+    monkeypatch.setattr(repeats, "_sorted_shards", small_only)
+    got = repeats.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == dict(enumerate(brute(texts)))
+
+
+def test_counted_windows_as_sorted(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST_OF_ANCHOR", 0)
+    test_as_all_windows(spark, 4, monkeypatch)
