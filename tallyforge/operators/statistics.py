@@ -9,6 +9,50 @@ from pyspark.sql import Window as W
 PERCENTS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` computed once, so that its partition numbers are the same for every reader."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.persist()
+
+
+def _placed(samples: DataFrame, by: list[str], x: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct values in a range sort over all groups: (by, x, c, below), c rows each and ``below`` rows of the group before
+    them, with the partition; and each group's first rank and rows per partition. No group meets in one task."""
+    counts = samples.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
+    counts = _held(counts.repartitionByRange(*by, "_x").withColumn("_part", F.spark_partition_id()))
+    rows = counts.groupBy(*by, "_part").agg(F.sum("_c").alias("_size"))
+    before = F.sum("_size").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    parts = rows.withColumn("_base", F.coalesce(before, F.lit(0))).withColumn("_n", F.sum("_size").over(W.partitionBy(*by)))
+    inside = F.sum("_c").over(W.partitionBy(*by, "_part").orderBy("_x").rowsBetween(W.unboundedPreceding, -1))
+    values = _same(counts.withColumn("_inside", F.coalesce(inside, F.lit(0))), parts.drop("_size"), [*by, "_part"])
+    return values.withColumn("_below", F.col("_base") + F.col("_inside")), parts
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join that takes null keys as equal and keeps the left ones."""
+    right = right.withColumnsRenamed({c: f"{c}__r" for c in on})
+    cond = [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in on]
+    return left.join(right, cond, how).drop(*[f"{c}__r" for c in on])
+
+
+def percentiles(samples: DataFrame, by: list[str], x: str, percents: tuple[float, ...]) -> DataFrame:
+    """(by, q): exact type-7 percentiles per group as an array, from ranks in a distributed sort; null for groups without values."""
+    values, parts = _placed(samples, by, x)
+    at = F.lit(1.0) * (F.col("_n") - 1)
+    want = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * at).alias("at")) for i, p in enumerate(percents)])
+    wanted = parts.withColumn("w", F.explode(want)).withColumn("r", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))))
+    wanted = wanted.where((F.col("r") >= F.col("_base")) & (F.col("r") < F.col("_base") + F.col("_size")))
+    wanted = wanted.select(*by, "_part", F.col("r").alias("_below"), F.lit(None).cast("double").alias("_x"), "w")
+    both = values.select(*by, "_part", "_below", F.col("_x").cast("double").alias("_x")).unionByName(wanted, allowMissingColumns=True)
+    # the value at a rank is the last that begins at or before it
+    order = W.partitionBy(*by, "_part").orderBy("_below", F.col("w").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("v", F.last("_x", ignorenulls=True).over(order)).where("w is not null")
+    ends = found.groupBy(*by, F.col("w.i").alias("_i"), F.col("w.at").alias("_p")).agg(F.min_by("v", "_below").alias("a"), F.max_by("v", "_below").alias("b"))
+    share = F.col("_p") - F.floor("_p")
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - share) * F.col("a") + share * F.col("b"))
+    q = ends.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", value.alias("v")))).alias("q"))
+    return _same(samples.select(*by).distinct(), q.select(*by, F.col("q.v").alias("q")), by, "left")
+
+
 def block(samples: DataFrame, by: str, x: str, target: float, direction: str = "at_least") -> DataFrame:
     """One row per output: range, mean, spread, exact percentiles (type 7), probabilities, interval of the mean from 30 samples on."""
     v = F.col(x)
@@ -16,11 +60,11 @@ def block(samples: DataFrame, by: str, x: str, target: float, direction: str = "
     share = lambda c: F.avg(c.cast("double"))
     n, mean, sd = F.count(v), F.avg(v), F.sqrt(F.coalesce(F.var_samp(v), F.lit(0.0)))
     half = 1.96 * sd / F.sqrt(n)
-    return samples.groupBy(by).agg(
-        n.alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), mean.alias("mean"), sd.alias("sd"),
-        F.percentile(v, F.array(*map(F.lit, PERCENTS))).alias("q"), share(hit).alias("p_target"), share(v < 0).alias("p_loss"),
+    rows = samples.groupBy(by).agg(
+        n.alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), mean.alias("mean"), sd.alias("sd"), share(hit).alias("p_target"), share(v < 0).alias("p_loss"),
         F.when(n >= 30, mean - half).alias("ci_low"), F.when(n >= 30, mean + half).alias("ci_high"),
-    ).select(by, "n", "least", "most", "mean", "sd", *[F.col("q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTS)], "p_target", "p_loss", "ci_low", "ci_high")
+    )
+    return _same(rows, percentiles(samples, [by], x, PERCENTS), [by]).select(by, "n", "least", "most", "mean", "sd", *[F.col("q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTS)], "p_target", "p_loss", "ci_low", "ci_high")
 
 
 def percentiles_by_rank(samples: DataFrame, x: str, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
@@ -51,7 +95,7 @@ def percentiles_by_rank(samples: DataFrame, x: str, percents: tuple[float, ...]
 
 def cdf(samples: DataFrame, by: str, x: str, points: int = 201) -> DataFrame:
     at = [i / (points - 1) for i in range(points)]
-    q = samples.groupBy(by).agg(F.percentile(F.col(x), F.array(*map(F.lit, at))).alias("q"))
+    q = percentiles(samples, [by], x, tuple(at))
     return q.select(by, F.posexplode("q").alias("point", "value"))
 
 
@@ -68,18 +112,21 @@ def histogram(samples: DataFrame, by: str, x: str, bins: int = 48) -> DataFrame:
 
 def density(samples: DataFrame, by: str, x: str, bins: int = 48, most: int = 20_000) -> DataFrame:
     """Gaussian kernel density at bin centres, by every k-th value in order (at most about ``most``), Silverman's width, cut at 4."""
-    stats = samples.groupBy(by).agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.percentile(F.col(x), F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    stats = samples.groupBy(by).agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    stats = _same(stats, percentiles(samples, [by], x, (0.25, 0.75)), [by])
     spread = F.least(F.col("sd"), (F.col("q")[1] - F.col("q")[0]) / 1.349)
     stats = stats.withColumn("h", 0.9 * spread * F.pow("n", F.lit(-0.2))).withColumn("width", (F.col("hi") - F.col("lo")) / bins).withColumn("step", F.greatest(F.ceil(F.col("n") / most), F.lit(1))).where("h > 0")
-    place = F.row_number().over(W.partitionBy(by).orderBy(x)) - 1
-    taken = samples.select(by, F.col(x).alias("x")).withColumn("r", F.row_number().over(W.partitionBy(by).orderBy("x")) - 1).join(stats, by).where(F.col("r") % F.col("step") == 0)
+    # of a value's ranks below .. below + c - 1, the multiples of the step
+    times = F.ceil((F.col("_below") + F.col("_c")) / F.col("step")) - F.ceil(F.col("_below") / F.col("step"))
+    values = _placed(samples, [by], x)[0].select(by, F.col("_x").alias("x"), "_c", "_below")
+    taken = _same(values, F.broadcast(stats), [by]).withColumn("times", times).where("times > 0")
     # a value reaches only the bins within 4 widths of it
     lo = F.greatest(F.floor((F.col("x") - 4 * F.col("h") - F.col("lo")) / F.col("width") - 0.5), F.lit(0))
     hi = F.least(F.ceil((F.col("x") + 4 * F.col("h") - F.col("lo")) / F.col("width") - 0.5), F.lit(bins - 1))
     near = taken.withColumn("bin", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
     z = (F.col("lo") + (F.col("bin") + 0.5) * F.col("width") - F.col("x")) / F.col("h")
-    total = taken.groupBy(by).agg(F.count("*").alias("m"))
-    summed = near.where(F.abs(z) <= 4).groupBy(by, "bin", "h", "width").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
+    total = taken.groupBy(by).agg(F.sum("times").alias("m"))
+    summed = near.where(F.abs(z) <= 4).groupBy(by, "bin", "h", "width").agg(F.sum(F.col("times") * F.exp(-0.5 * z * z)).alias("s"))
     return summed.join(total, by).select(by, "bin", (F.col("s") / (F.col("m") * F.col("h") * 2.5066282746310002) * F.col("width")).alias("density"))
 
 
@@ -127,14 +174,18 @@ def checkpoints(n: int) -> list[int]:
     return [*out, n]
 
 
-def convergence(samples: DataFrame, by: str, iteration: str, x: str, n: int) -> DataFrame:
-    """Statistics of the first samples at each checkpoint and the change from the one before, all in one aggregate."""
+def convergence(samples: DataFrame, by: str, iteration: str, x: str, n: int | None = None) -> DataFrame:
+    """Statistics of the first samples at each checkpoint and the change from the one before. Iterations count from 0; without
+    ``n``, the last checkpoint holds them all."""
+    if n is None:
+        n = (samples.agg(F.max(iteration)).first()[0] or 0) + 1
     cps = checkpoints(n)
-    aggs = []
-    for i, cp in enumerate(cps):
-        inside = F.when(F.col(iteration) < cp, F.col(x))
-        aggs.append(F.struct(F.lit(i).alias("i"), F.lit(cp).cast("bigint").alias("checkpoint"), F.count(inside).alias("n"), F.avg(inside).alias("mean"), F.percentile(inside, F.lit(0.1)).alias("p10"), F.percentile(inside, F.lit(0.5)).alias("median"), F.percentile(inside, F.lit(0.9)).alias("p90")).alias(f"s{i}"))
-    rows = samples.groupBy(by).agg(*aggs).select(by, F.inline(F.array(*[f"s{i}" for i in range(len(cps))])))
+    marks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(cp).cast("bigint").alias("checkpoint")) for i, cp in enumerate(cps)])
+    spine = samples.select(by).distinct().select(by, F.inline(marks))
+    prefixes = samples.select(by, F.col(iteration).alias("_at"), F.col(x).alias("_v"), F.inline(marks)).where("_at < checkpoint")
+    rows = prefixes.groupBy(by, "i").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
+    rows = _same(rows, percentiles(prefixes, [by, "i"], "_v", (0.1, 0.5, 0.9)), [by, "i"])
+    rows = _same(spine, rows, [by, "i"], "left").select(by, "i", "checkpoint", F.coalesce("n", F.lit(0)).alias("n"), "mean", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(("p10", "median", "p90"))])
     order = W.partitionBy(by).orderBy("i")
 
     def change(c: str) -> Column:

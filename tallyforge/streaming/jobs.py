@@ -29,19 +29,35 @@ def next_state(state: Column, event: Column) -> Column:
 
 
 def fold(events: DataFrame, key: str, order: list[str], start: str = "queued") -> DataFrame:
-    """Final state of each key's events in order, with how many were legal. The events of one key make one array; use the
-    stream for keys with unbounded logs."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "event")))
-    logs = events.groupBy(key).agg(ordered.alias("log"))
-
-    def step(s: Column, x: Column) -> Column:
-        legal = F.lit(False)
-        for a, e, _ in TRANSITIONS:
-            legal = legal | ((s["state"] == a) & (x["event"] == e))
-        return F.struct(next_state(s["state"], x["event"]).alias("state"), (s["legal"] + legal.cast("int")).alias("legal"), (s["n"] + 1).alias("n"))
-
-    done = F.aggregate("log", F.struct(F.lit(start).alias("state"), F.lit(0).alias("legal"), F.lit(0).alias("n")), step)
-    return logs.select(key, done.alias("d")).select(key, "d.state", F.col("d.legal").alias("n_legal"), F.col("d.n").alias("n_events"))
+    """Final state of each key's events in order, with how many were legal.
+
+    A range sort deals out pieces of keys' logs. Each piece becomes a map from the state before it to the state after it and
+    the legal events on the way; a key's maps, at most one per partition, are then applied in order. So no log meets whole.
+    """
+    states = sorted({start} | {a for a, _, _ in TRANSITIONS} | {b for _, _, b in TRANSITIONS})
+    kinds = sorted({e for _, e, _ in TRANSITIONS})
+    to = {(a, e): b for a, e, b in TRANSITIONS}
+    ints = lambda values: F.array(*map(F.lit, values))
+    after = F.array(*[ints([states.index(to.get((a, e), a)) for a in states]) for e in kinds])
+    lawful = F.array(*[ints([int((a, e) in to) for a in states]) for e in kinds])
+    code = F.array_position(F.array(*map(F.lit, kinds)), F.col("event")).cast("int") - 1
+    # an event of no transition changes nothing
+    pieces = events.repartitionByRange(key, *order, "event").withColumn("part", F.spark_partition_id())
+    pieces = pieces.groupBy(key, "part").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(*order, "event", code.alias("code")))), lambda x: x["code"]).alias("log"))
+
+    def step(m: Column, e: Column) -> Column:
+        moved = F.struct(
+            F.transform(m["to"], lambda s: F.get(F.get(after, e), s)).alias("to"),
+            F.zip_with(m["legal"], m["to"], lambda n, s: n + F.get(F.get(lawful, e), s)).alias("legal"),
+        )
+        return F.when(e >= 0, moved).otherwise(m)
+
+    none = F.struct(ints(range(len(states))).alias("to"), ints([0] * len(states)).alias("legal"))
+    maps = pieces.select(key, "part", "n", F.aggregate("log", none, step).alias("m"))
+    maps = maps.groupBy(key).agg(F.sum("n").cast("int").alias("n_events"), F.array_sort(F.collect_list(F.struct("part", "m"))).alias("maps"))
+    first = F.struct(F.lit(states.index(start)).alias("s"), F.lit(0).alias("legal"))
+    done = F.aggregate("maps", first, lambda d, p: F.struct(F.get(p["m"]["to"], d["s"]).alias("s"), (d["legal"] + F.get(p["m"]["legal"], d["s"])).alias("legal")))
+    return maps.withColumn("d", done).select(key, F.get(F.array(*map(F.lit, states)), F.col("d.s")).alias("state"), F.col("d.legal").alias("n_legal"), "n_events")
 
 
 def backoff_ms(attempt: Column, base_s: int, most_s: int, uuid: Column) -> Column:

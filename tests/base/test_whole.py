@@ -1,8 +1,14 @@
 """Queries over whole tables, where ids are not those of a prefix or a residue."""
 
+import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.operators import statistics as st
 from tallyforge.plans import catalog
+from tallyforge.streaming import jobs
 
 
 def test_evidence_of_all_ids(spark, tmp_path):
@@ -29,3 +35,55 @@ def test_evidence_of_all_ids(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
     got = [x.node for x in catalog.QUERIES["affected_findings_whole"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(n for s, n in want if s == "s3" and n[0] == "c")
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_do_not_meet_in_one_buffer(spark):
+    r = random.Random(6)
+    rows = [(k % 5000, "all" if k % 20 else r.choice(["a", None]), r.choice([r.random(), 0.5, float(k % 7)]) if k % 31 else None) for k in range(5000)]
+    df = spark.createDataFrame(rows, "iteration long, output string, x double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert st._placed(df, ["output"], "x")[1].where("output = 'all'").count() > 1
+        got = {x.output: x.q for x in st.percentiles(df, ["output"], "x", (0.0, 0.05, 0.5, 0.77, 1.0)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = df.groupBy("output").agg(F.percentile("x", F.array(*map(F.lit, (0.0, 0.05, 0.5, 0.77, 1.0)))).alias("q")).collect()
+    assert got == {x.output: pytest.approx(x.q, abs=1e-12) for x in want}
+    for made in (st.block(df, "output", "x", 1.0), st.cdf(df, "output", "x"), st.density(df, "output", "x"), st.convergence(df, "output", "iteration", "x", 5000)):
+        assert "percentile(" not in plan(made) and "row_number(" not in plan(made).replace(" ", "")
+
+
+def test_thinned_density_as_by_rows(spark):
+    r = random.Random(7)
+    xs = sorted(r.choice([r.random(), 0.25, 0.5]) for _ in range(1000))
+    got = {x.bin: x.density for x in st.density(spark.createDataFrame([("o", x) for x in xs], "output string, x double"), "output", "x", 12, 300).collect()}
+    n, q = len(xs), lambda p: xs[int(p * 999)] + (p * 999 % 1) * (xs[int(p * 999) + 1] - xs[int(p * 999)])
+    mean = sum(xs) / n
+    h = 0.9 * min((sum((x - mean) ** 2 for x in xs) / (n - 1)) ** 0.5, (q(0.75) - q(0.25)) / 1.349) * n**-0.2
+    width, taken = (xs[-1] - xs[0]) / 12, xs[::4]
+    for b, d in got.items():
+        z = [(xs[0] + (b + 0.5) * width - x) / h for x in taken]
+        assert d == pytest.approx(sum(math.exp(-0.5 * v * v) for v in z if abs(v) <= 4) / (len(taken) * h * 2.5066282746310002) * width, rel=1e-9)
+
+
+def test_hot_log_is_folded_in_pieces(spark):
+    r = random.Random(9)
+    events = sorted({e for _, e, _ in jobs.TRANSITIONS}) + ["other", None]
+    rows = [(7 if k % 3 else r.choice([1, 2, None]), r.randrange(500), k, r.choice(events)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "job_id long, ts long, event_id long, event string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = jobs.fold(df, "job_id", ["ts", "event_id"])
+        assert "RepartitionByExpression" in plan(made)
+        got = {x.job_id: tuple(x)[1:] for x in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    to, want = {(a, e): b for a, e, b in jobs.TRANSITIONS}, {}
+    for job, _, _, e in sorted(rows, key=lambda x: (x[1], x[2])):
+        s, legal, n = want.get(job, ("queued", 0, 0))
+        want[job] = (to.get((s, e), s), legal + ((s, e) in to), n + 1)
+    assert got == want
