@@ -163,6 +163,14 @@ def sensitivity(samples: DataFrame, by: str, output: str, inputs: list[str]) ->
     return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.desc("share"), "input")))
 
 
+def numbered(samples: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Rows of the columns ``order`` with their number from 0 in that order, without a sort in one task; equal rows follow each other."""
+    keyed = samples.select(F.lit(0).alias("_all"), F.struct(*order).alias("_row"))
+    values = _placed(keyed, ["_all"], "_row")[0]
+    numbers = F.sequence(F.col("_below"), F.col("_below") + F.col("_c") - 1)
+    return values.select("_x.*", F.explode(numbers).alias(out))
+
+
 def checkpoints(n: int) -> list[int]:
     """1000, 5000, 10 000, 50 000 and so on below n, then n."""
     out, step = [], 1000

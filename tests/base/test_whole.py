@@ -87,3 +87,12 @@ def test_hot_log_is_folded_in_pieces(spark):
         s, legal, n = want.get(job, ("queued", 0, 0))
         want[job] = (to.get((s, e), s), legal + ((s, e) in to), n + 1)
     assert got == want
+
+
+def test_last_checkpoint_holds_all_lines(spark, tmp_path):
+    lines = [(k * 37 + 100_000, 1 + k % 3, float(k)) for k in range(2500)] + [(100_000, 1, 0.0)] * 2
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalog.QUERIES["convergence_whole"](spark, str(tmp_path)).orderBy("checkpoint").collect()
+    assert [(x.checkpoint, x.n) for x in rows] == [(1000, 1000), (2502, 2502)]
+    # the first 1000 are three zeros and 1 to 997
+    assert rows[0].mean == pytest.approx(497.503) and rows[1].mean == pytest.approx(2499 * 2500 / 2 / 2502)
