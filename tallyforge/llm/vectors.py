@@ -4,9 +4,12 @@ A pass orders the vectors of a label by a key of concatenated random hyperplane
 next WINDOW in that order. Verified pairs of all passes are united into components. Within a component, blocks are
 compared in full, so that link counts are exact for every linked vector the passes have brought together.
 
-A pair at the threshold agrees in one sign with probability 1 - arccos(least) / pi, about 0.936 at 0.98. It meets in a
-window once the key's leading signs that part a label's n vectors into windows agree; passes repeat until a pair
-misses all of them less than once in a million times.
+Signs are of the difference from the label's mean, as vectors with a common direction are else hardly parted. A pair
+at the threshold, taken to be as far from the mean as its label is on average, agrees in one sign with probability
+1 - arccos(its cosine there) / pi: about 0.936 at 0.98 where the mean is zero. It meets in a window once the key's
+leading signs that part a label's n vectors into windows agree; passes repeat until such a pair misses all of them less
+than once in a million times. A label that needs over MOST_PASSES and more than it has blocks is compared in full.
+This takes each sign to halve what is left; a label of tight clusters far from its mean can miss more.
 """
 
 from __future__ import annotations
@@ -16,19 +19,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, partitions, written
 
 WINDOW, SIGNS, BLOCK = 64, 62, 1024
 MISS, MOST_PASSES = 1e-6, 64
-
-
-def passes(n: int, least: float) -> int:
-    """Passes for a label of ``n`` vectors."""
-    together = (1 - math.acos(least) / math.pi) ** (1 + max(0.0, math.log2(max(1, n) / WINDOW)))
-    return max(4, min(MOST_PASSES, math.ceil(math.log(MISS) / math.log(1 - together))))
+# Up to so many labels' means are broadcast; beyond, a shuffled join does the work.
+MOST_BROADCAST = 10_000
+
+
+def passes(n: Column, shared: Column, least: float) -> Column:
+    """Passes for a label of ``n`` unit vectors whose mean has the squared length ``shared``."""
+    near = F.greatest(F.lit(0.0), 1 - (1 - least) / F.greatest(1 - shared, F.lit(1e-9)))
+    together = F.pow(1 - F.acos(near) / math.pi, 1 + F.greatest(F.lit(0.0), F.log2(n / WINDOW)))
+    return F.greatest(F.lit(4), F.ceil(math.log(MISS) / F.log1p(-F.least(together, F.lit(0.999999)))).cast("int"))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, dims, vector) to sums of unit vectors by group."""
+    for big in batches:
+        for at in range(0, big.num_rows, 5000):
+            batch = big.slice(at, 5000)
+            grp = batch.column(0).to_numpy()
+            order = np.argsort(grp, kind="stable")
+            cuts = np.flatnonzero(np.diff(grp[order])) + 1
+            out = [(int(grp[rows[0]]), len(rows), _unit(batch.column(2).take(pa.array(rows))).sum(axis=0).tolist()) for rows in np.split(order, cuts) if len(rows)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.float64())))], ["grp", "n", "total"])
+
+
+def _labels(vertices: DataFrame, least: float) -> DataFrame:
+    """(grp, mean, n_passes, g): each group's mean, its passes, and g > 0 blocks instead where those are fewer than too many passes."""
+    sums = written(vertices.select("grp", "dims", "vector").mapInArrow(_summed, "grp bigint, n bigint, total array<double>"), "sums")
+    n = sums.groupBy("grp").agg(F.sum("n").alias("n"))
+    mean = sums.select("grp", F.posexplode("total").alias("k", "t")).groupBy("grp", "k").agg(F.sum("t").alias("t"))
+    mean = mean.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("m")).join(n, "grp")
+    mean = mean.select("grp", "n", F.transform("m", lambda x: x["t"] / F.col("n")).alias("mean"))
+    shared = F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x)
+    g = F.ceil(F.col("n") / BLOCK).cast("int")
+    made = mean.withColumn("p", passes(F.col("n"), shared, least))
+    return written(made.select("grp", "mean", F.col("p").alias("n_passes"), F.when((F.col("p") > MOST_PASSES) & (F.col("p") > g), g).otherwise(0).alias("g")), "labels")
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -37,24 +69,23 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _projected(n_passes: int):
-    """(id, grp, dims, vector) to a row per pass with its key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
-                dims = batch.column(2).to_numpy()
-                for d in np.unique(dims):
-                    part = batch.filter(pa.array(dims == d))
-                    x = _unit(part.column(3))
-                    for p in range(n_passes):
-                        planes = np.random.default_rng([p, int(d)]).standard_normal((int(d), SIGNS))
-                        bits = (x @ planes > 0).astype(np.int64)
-                        key = bits @ (np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p), pa.int32()), part.column(1), pa.array(key), part.column(0), part.column(3)], ["pass", "grp", "key", "id", "vector"])
-
-    return run
+def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, grp, dims, vector, mean, n_passes) to a row per pass with its key: signs of what sets a vector apart from its label's mean."""
+    for big in batches:
+        for at in range(0, big.num_rows, 1000):
+            batch = big.slice(at, 1000)
+            dims = batch.column(2).to_numpy()
+            for d in np.unique(dims):
+                part = batch.filter(pa.array(dims == d))
+                n_passes = part.column(5).to_numpy()
+                x = _unit(part.column(3)) - np.array(part.column(4).to_pylist())
+                for p in range(int(n_passes.max())):
+                    planes = np.random.default_rng([p, int(d)]).standard_normal((int(d), SIGNS))
+                    on = np.flatnonzero(n_passes > p)
+                    bits = (x[on] @ planes > 0).astype(np.int64)
+                    key = bits @ (np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
+                    rows = part.take(pa.array(on))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p), pa.int32()), rows.column(1), pa.array(key), rows.column(0), rows.column(3)], ["pass", "grp", "key", "id", "vector"])
 
 
 class _Sets:
@@ -111,8 +142,9 @@ def _windows(least: float):
     return run
 
 
-def _counted(least: float):
-    """Rows sorted by (component, i, j): for each vector the weight of those linked with it among the two blocks."""
+def _counted(least: float, pairs: bool = False):
+    """Rows sorted by (component, i, j): for each vector the weight of those linked with it among the two blocks; or pairs
+    of ids that connect the linked ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -126,6 +158,13 @@ def _counted(least: float):
                 np.fill_diagonal(near, False)
                 if i[a] != j[a]:
                     near &= block[a:b, None] != block[None, a:b]
+                if pairs:
+                    united = _Sets()
+                    r, c = np.nonzero(np.triu(near))
+                    found = [(p, q) for p, q in zip(ids[a + r].tolist(), ids[a + c].tolist()) if united.join(p, q)]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in zip(*found)], ["a", "b"])
+                    continue
                 n = near @ weight[a:b]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(n.astype(np.int64))], ["id", "n"])
 
@@ -145,6 +184,14 @@ def _counted(least: float):
     return run
 
 
+def _paired(inside: DataFrame) -> DataFrame:
+    """(component_id, g, id, weight, vector) dealt out to all pairs of its g blocks."""
+    inside = inside.withColumn("block", F.pmod(F.hash("id"), F.col("g")))
+    spread = F.expr("transform(sequence(0, g - 1), o -> named_struct('i', least(block, o), 'j', greatest(block, o)))")
+    inside = inside.withColumn("p", F.explode(spread)).select("component_id", "p.i", "p.j", "block", "id", "weight", "vector")
+    return inside.repartition("component_id", "i", "j").sortWithinPartitions("component_id", "i", "j", "id")
+
+
 def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     """Every row of ``rows`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -168,19 +215,20 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     base = written(base.mapInArrow(packed, "vec_id bigint, grp bigint, dims int, id bigint, vector binary"), "vectors")
     live = base.where("id is not null")
     vertices = written(live.groupBy("grp", "dims", "id").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "vertices")
-    largest = vertices.groupBy("grp").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    projected = vertices.select("id", "grp", "dims", "vector").mapInArrow(_projected(passes(largest, least)), "pass int, grp bigint, key bigint, id bigint, vector binary")
+    labels = _labels(vertices, least)
+    labels = F.broadcast(labels) if labels.count() <= MOST_BROADCAST else labels
+    placed = vertices.join(labels, "grp")
+    projected = placed.where("g = 0").select("id", "grp", "dims", "vector", "mean", "n_passes").mapInArrow(_projected, "pass int, grp bigint, key bigint, id bigint, vector binary")
     order = ["pass", "grp", "key", "id"]
     projected = projected.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    links = written(projected.mapInArrow(_windows(least), "a bigint, b bigint"), "links")
+    whole = _paired(placed.where("g > 0").withColumnRenamed("grp", "component_id"))
+    links = projected.mapInArrow(_windows(least), "a bigint, b bigint").union(whole.mapInArrow(_counted(least, True), "a bigint, b bigint"))
+    links = written(links, "links")
     found = written(components(links), "components")
 
     inside = found.join(vertices, "id")
     sizes = found.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
-    inside = inside.join(sizes, "component_id").withColumn("block", F.pmod(F.hash("id"), F.col("g")))
-    spread = F.expr("transform(sequence(0, g - 1), o -> named_struct('i', least(block, o), 'j', greatest(block, o)))")
-    inside = inside.withColumn("p", F.explode(spread)).select("component_id", "p.i", "p.j", "block", "id", "weight", "vector")
-    inside = inside.repartition("component_id", "i", "j").sortWithinPartitions("component_id", "i", "j", "id")
+    inside = _paired(inside.join(sizes, "component_id"))
     counts = inside.mapInArrow(_counted(least), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
     rep = vertices.select("id", "rep", "weight")

@@ -59,3 +59,18 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_label_with_a_common_direction(spark):
+    r = np.random.default_rng(4)
+    common = r.standard_normal(32) * 5
+    base = common + r.standard_normal((20_000, 32))
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    assert (unit.mean(axis=0) ** 2).sum() > 0.95
+    low = base.astype(np.float32).astype(float)
+    u = low / np.linalg.norm(low, axis=1)[:, None]
+    links = np.concatenate([(u[k : k + 1000] @ u.T >= 0.994).sum(axis=1) - 1 for k in range(0, len(u), 1000)])
+    assert 50 < (links > 0).sum() < 20_000
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(low.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {x.vec_id: x.n_links for x in vectors.near_vectors(df, 0.994).collect()}
+    assert sum(got[k] != n for k, n in enumerate(links.tolist())) == 0
