@@ -1,8 +1,10 @@
-"""Suffix sorting by recursive induction, with common-prefix lengths, in numpy.
+"""Suffix sorting by induction, with common-prefix lengths, in numpy.
 
 The suffixes of each kind are induced from those of the other by queues, one for each first character: a monotone
 priority queue, filled in order and emptied in order. Entries are (position, common prefix with the entry before);
-queues beyond SPILL bytes go to a file. Sample suffixes are sorted by recursion on their names.
+queues beyond SPILL bytes go to a file and are read back whole. Sample suffixes are sorted by prefix doubling of their
+names in memory, and their common prefixes are computed from the text. So text, order and prefixes stay in memory: this
+is no external recursive induction, and callers bound the text (repeats: about 2.3 MB).
 """
 
 from __future__ import annotations
