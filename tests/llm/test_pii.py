@@ -108,7 +108,7 @@ def test_planted_identifiers(spark):
     for i in range(3000):
         kind = i % 10
         place = r.choice(places)
-        x = seed(place) if kind < 8 else str(r.randrange(10**7, 10**8))
+        x = seed(place) if kind < 8 else str(r.randrange(10**6, 10**7))
         middle = place.format(x) if kind < 9 else f"{word()} {x} {word()}"
         if kind == 8:
             planted.add(i)
