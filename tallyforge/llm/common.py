@@ -44,28 +44,49 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# A vertex with so many edges is a hub: its edges are dealt out to SPREAD tasks in a join.
+HUB, SPREAD = 1000, 32
+# Up to so many hubs are broadcast; beyond, edges are joined without them.
+MOST_HUBS = 1_000_000
+
+
+def _met(edges: DataFrame, key: str, low: DataFrame, most: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the number that ``low`` (id, m) has for their ``key``, or null.
+
+    Hubs, of which ``most`` edges can have ``most`` / HUB at most, are found by a sum that is combined before it is
+    shuffled; each edge of a hub goes to one of SPREAD tasks, and the hub's row of ``low`` to all of these.
+    """
+    if most // HUB > MOST_HUBS:
+        return edges.join(low.withColumnRenamed("id", key), key, "left")
+    hubs = F.broadcast(edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HUB).select(F.col(key).alias("hub")))
+    other = F.col("v" if key == "u" else "u")
+    e = edges.join(hubs, F.col(key) == F.col("hub"), "left").withColumn("salt", F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.hash(other), F.lit(SPREAD)))).drop("hub")
+    copies = F.when(F.col("hub").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    low = low.join(hubs, F.col("id") == F.col("hub"), "left").select(F.col("id").alias(key), "m", F.explode(copies).alias("salt"))
+    return e.join(low, [key, "salt"], "left").select("u", "v", "m")
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Smallest reachable id of every vertex of an undirected graph: (id, component_id).
 
-    ``edges`` has two id columns, ``a`` and ``b``. Large-star and small-star steps alternate until no edge
-    changes; every step is a join and a grouped minimum, so a vertex with very many neighbours is summed
-    before it is shuffled. Each round is written to the shared folder. An empty graph gives no rows.
+    ``edges`` has two id columns, ``a`` and ``b``; rows with nulls are no edges. Large-star and small-star steps alternate
+    until no edge changes; every step is a grouped minimum and a join in which hubs are dealt out. Each round is written to
+    the shared folder. An empty graph gives no rows.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "edges")
     spark = edges.sparkSession
-    if e.isEmpty():
+    before = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+    if not before[0]:
         return spark.createDataFrame([], "id bigint, component_id bigint")
-    before = None
     for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
+        # large star: larger neighbours of a vertex hang on its smallest neighbour; without a smaller one, on it
+        low = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
+        large = _met(e, "v", low, before[0]).select("u", F.coalesce("m", "v").alias("v")).distinct()
         # small star: each vertex hangs its smaller neighbours and itself on the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            _met(large, "u", low, before[0])
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
             .select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
             .where("u <> v")

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tallyforge.llm import minhash
+from tallyforge.llm import common, minhash
 
 
 def shingles(text, k):
@@ -50,9 +50,12 @@ def test_as_all_pairs(spark, seed):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
-def test_large_group_over_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("shared", [0, 8])
+def test_large_group_over_several_parts(spark, monkeypatch, shared):
+    """Without shared members, pieces must find each other by their signatures."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
     monkeypatch.setattr(minhash, "SET_BLOCK", 12)
+    monkeypatch.setattr(minhash, "SHARED", shared)
     r = random.Random(5)
     base = [f"w{r.randrange(300)}" for _ in range(150)]
     rows = []
@@ -60,11 +63,34 @@ def test_large_group_over_several_blocks(spark, monkeypatch):
         w = list(base)
         for _ in range(r.choice([1, 2, 4])):
             w[r.randrange(150)] = f"n{r.random()}"
+        if i % 4 == 0:  # a second family, near the first but not linked with it
+            w[40:70] = [f"v{k}" for k in range(30)]
         rows.append((i, " ".join(w)))
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows)
 
 
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(7, 1000 + k) for k in range(50)] + [(5000, k) for k in range(2000, 2040)] + [(None, 3), (3, None), (9, 9)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b and a is not None and b is not None for x in (a, b)}
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in linked)
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert minhash.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].kept
