@@ -1,8 +1,11 @@
 """Near duplicates of embeddings by sorted projection passes.
 
-A pass orders the vectors of a label by a key of concatenated random hyperplane signs and compares each with the
-next WINDOW in that order. Verified pairs of all passes are united into components. Within a component, blocks are
-compared in full, so that link counts are exact for every linked vector the passes have brought together.
+A pass orders the vectors of a label by a key of concatenated random hyperplane signs and compares each with the next
+WINDOW in that order. Only keys, ids and vectors rounded to a byte a component go through the passes; a pair whose
+cosine could reach the threshold, by the rounding errors that go with them, joins two vectors into a group. The first
+and last rows of every partition are compared once more among themselves, so that no window ends at a border. Within a
+group, blocks are compared in full and in double precision: that gives the verified links and exact link counts for
+every linked vector the passes have brought together.
 
 Signs are of the difference from the label's mean, as vectors with a common direction are else hardly parted. A pair
 at the threshold, taken to be as far from the mean as its label is on average, agrees in one sign with probability
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import components, partitions, written
 
-WINDOW, SIGNS, BLOCK = 64, 62, 1024
+WINDOW, SIGNS = 64, 62
+# Vectors, and numbers in all, of one block; pairs of blocks are compared in tiles of TILE rows.
+BLOCK, MOST_NUMBERS, TILE = 8192, 2_000_000, 1024
 MISS, MOST_PASSES = 1e-6, 64
 # Up to so many labels' means are broadcast; beyond, a shuffled join does the work.
 MOST_BROADCAST = 10_000
@@ -50,15 +55,19 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.float64())))], ["grp", "n", "total"])
 
 
+def _blocks(n: Column, dims: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(n * dims / MOST_NUMBERS)).cast("int")
+
+
 def _labels(vertices: DataFrame, least: float) -> DataFrame:
-    """(grp, mean, n_passes, g): each group's mean, its passes, and g > 0 blocks instead where those are fewer than too many passes."""
+    """(grp, mean, n_passes, g): each label's mean, its passes, and g > 0 blocks instead where those are fewer than too many passes."""
     sums = written(vertices.select("grp", "dims", "vector").mapInArrow(_summed, "grp bigint, n bigint, total array<double>"), "sums")
     n = sums.groupBy("grp").agg(F.sum("n").alias("n"))
     mean = sums.select("grp", F.posexplode("total").alias("k", "t")).groupBy("grp", "k").agg(F.sum("t").alias("t"))
     mean = mean.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("m")).join(n, "grp")
     mean = mean.select("grp", "n", F.transform("m", lambda x: x["t"] / F.col("n")).alias("mean"))
     shared = F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x)
-    g = F.ceil(F.col("n") / BLOCK).cast("int")
+    g = _blocks(F.col("n"), F.size("mean"))
     made = mean.withColumn("p", passes(F.col("n"), shared, least))
     return written(made.select("grp", "mean", F.col("p").alias("n_passes"), F.when((F.col("p") > MOST_PASSES) & (F.col("p") > g), g).otherwise(0).alias("g")), "labels")
 
@@ -69,6 +78,21 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _rounded(x: np.ndarray) -> list[bytes]:
+    """Unit vectors with a byte a component: scale, length of the rounding error, components."""
+    scale = np.abs(x).max(axis=1) / 127
+    q = np.rint(x / scale[:, None])
+    error = np.linalg.norm(x - q * scale[:, None], axis=1)
+    head = np.stack([scale, error], axis=1)
+    return [h.tobytes() + r.tobytes() for h, r in zip(head, q.astype(np.int8))]
+
+
+def _unrounded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    head = raw[:, :16].copy().view(np.float64)
+    return raw[:, 16:].view(np.int8).astype(np.float32) * head[:, :1].astype(np.float32), head[:, 1]
+
+
 def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, grp, dims, vector, mean, n_passes) to a row per pass with its key: signs of what sets a vector apart from its label's mean."""
     for big in batches:
@@ -78,14 +102,16 @@ def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
                 n_passes = part.column(5).to_numpy()
-                x = _unit(part.column(3)) - np.array(part.column(4).to_pylist())
+                units = _unit(part.column(3))
+                small = pa.array(_rounded(units), pa.binary())
+                x = units - np.array(part.column(4).to_pylist())
                 for p in range(int(n_passes.max())):
                     planes = np.random.default_rng([p, int(d)]).standard_normal((int(d), SIGNS))
                     on = np.flatnonzero(n_passes > p)
                     bits = (x[on] @ planes > 0).astype(np.int64)
                     key = bits @ (np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
-                    rows = part.take(pa.array(on))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p), pa.int32()), rows.column(1), pa.array(key), rows.column(0), rows.column(3)], ["pass", "grp", "key", "id", "vector"])
+                    take = pa.array(on)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p), pa.int32()), part.column(1).take(take), pa.array(key), part.column(0).take(take), small.take(take)], ["pass", "grp", "key", "id", "small"])
 
 
 class _Sets:
@@ -106,45 +132,66 @@ class _Sets:
         return a != b
 
 
+_PASS = "pass int, grp bigint, key bigint, id bigint, small binary"
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pass", pa.int32()), ("grp", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("small", pa.binary())])
+
+
 def _windows(least: float):
-    """Rows sorted by (pass, grp, key) to verified pairs; of those within a piece, only what connects it."""
+    """Rows sorted by (pass, grp, key, id) to pairs (a, b) that may be linked, of those within a piece only what connects
+    it; and the partition's first and last WINDOW rows as they came."""
+
+    def border(batch: pa.RecordBatch) -> pa.RecordBatch:
+        none = pa.nulls(batch.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *batch.columns], schema=_PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.RecordBatch | None = None
+        first = 0
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 batch = big.slice(at, 1024)
+                if first < WINDOW:
+                    yield border(batch.slice(0, WINDOW - first))
+                    first += batch.num_rows
                 if left is not None:
                     batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
                 known = left.num_rows if left is not None else 0
                 left = batch.slice(max(0, batch.num_rows - WINDOW))
                 step, grp, ids = (batch.column(c).to_numpy() for c in (0, 1, 3))
                 pairs = []
-                # runs of one pass and group: their vectors have the same length
+                # runs of one pass and label: their vectors have the same length
                 cuts = np.flatnonzero((step[1:] != step[:-1]) | (grp[1:] != grp[:-1])) + 1
                 for a, b in zip(np.append(0, cuts), np.append(cuts, len(ids))):
                     if b - a < 2 or b <= known:
                         continue
-                    x = _unit(batch.column(4).slice(a, b - a))
+                    x, error = _unrounded(batch.column(4).slice(a, b - a))
                     united = _Sets()
                     for i in range(0, b - a, 256):
-                        near = x[i : i + 256] @ x[i : i + 256 + WINDOW].T >= least
+                        p, q = slice(i, i + 256), slice(i, i + 256 + WINDOW)
+                        # a cosine differs by the errors, and by what single precision loses
+                        near = x[p] @ x[q].T + (error[p, None] + error[None, q] + error[p, None] * error[None, q] + 1e-5) >= least
                         r, c = np.nonzero(near)
                         # a pair of two rows that both came over was seen with the batch before
                         ok = (c > r) & (c - r <= WINDOW) & (a + i + c >= known)
-                        for p, q in zip(ids[a + i + r[ok]].tolist(), ids[a + i + c[ok]].tolist()):
-                            if united.join(p, q):
-                                pairs.append((p, q))
+                        for u, v in zip(ids[a + i + r[ok]].tolist(), ids[a + i + c[ok]].tolist()):
+                            if united.join(u, v):
+                                pairs.append((u, v))
                 if pairs:
                     out = np.array(pairs, dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
+                    rest = [pa.nulls(len(out), f.type) for f in list(_PAIRS)[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy()), *rest], schema=_PAIRS)
+        if left is not None:
+            yield border(left)
 
     return run
 
 
-def _counted(least: float, pairs: bool = False):
-    """Rows sorted by (component, i, j): for each vector the weight of those linked with it among the two blocks; or pairs
-    of ids that connect the linked ones."""
+_COUNTS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _counted(least: float):
+    """Rows sorted by (component, i, j): for each vector the weight of those linked with it among the two blocks (id, n),
+    and pairs (a, b) that connect the linked ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -152,21 +199,29 @@ def _counted(least: float, pairs: bool = False):
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             comp, i, j, block, ids, weight = (t.column(c).to_numpy() for c in ("component_id", "i", "j", "block", "id", "weight"))
             cuts = np.flatnonzero((comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            who, many, one, other = [], [], [], []
             for a, b in zip(np.append(0, cuts), np.append(cuts, len(ids))):
-                x = _unit(t.column("vector").slice(a, b - a).combine_chunks())
-                near = x @ x.T >= least
-                np.fill_diagonal(near, False)
-                if i[a] != j[a]:
-                    near &= block[a:b, None] != block[None, a:b]
-                if pairs:
-                    united = _Sets()
-                    r, c = np.nonzero(np.triu(near))
-                    found = [(p, q) for p, q in zip(ids[a + r].tolist(), ids[a + c].tolist()) if united.join(p, q)]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in zip(*found)], ["a", "b"])
-                    continue
-                n = near @ weight[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(n.astype(np.int64))], ["id", "n"])
+                x, united = _unit(t.column("vector").slice(a, b - a).combine_chunks()), _Sets()
+                for k in range(0, b - a, TILE):
+                    near = x[k : k + TILE] @ x.T >= least
+                    rows = np.arange(k, k + len(near))
+                    near[rows - k, rows] = False
+                    if i[a] != j[a]:
+                        near &= block[a + rows, None] != block[None, a:b]
+                    n = near @ weight[a:b]
+                    on = np.flatnonzero(n)
+                    who.append(ids[a + rows[on]])
+                    many.append(n[on])
+                    r, c = np.nonzero(np.triu(near, k + 1))
+                    for u, v in zip(ids[a + k + r].tolist(), ids[a + c].tolist()):
+                        if united.join(u, v):
+                            one.append(u)
+                            other.append(v)
+            for x, y, at in ((np.concatenate(who), np.concatenate(many), 0), (np.array(one, np.int64), np.array(other, np.int64), 2)):
+                if len(x):
+                    columns = [pa.nulls(len(x), pa.int64())] * 4
+                    columns[at : at + 2] = pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
 
         for batch in batches:
             if not batch.num_rows:
@@ -199,7 +254,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     are null, empty or zero, that hold null or non-finite numbers, or whose label or id is null link with nothing;
     component_id is then their own id (null without one) and they are kept. Equal vectors of a label are one vertex
     with a weight, so copies are not paired. Rows with equal ids and different vectors share a component. Other columns
-    are not read. An empty table gives no rows.
+    are not read. An empty table gives no rows. Two different vectors with one 64-bit hash raise an error.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     good = F.size("embedding") > 0
@@ -214,27 +269,32 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
 
     base = written(base.mapInArrow(packed, "vec_id bigint, grp bigint, dims int, id bigint, vector binary"), "vectors")
     live = base.where("id is not null")
-    vertices = written(live.groupBy("grp", "dims", "id").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "vertices")
+    made = live.groupBy("grp", "dims", "id").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vector").alias("vector"), F.max("vector").alias("other"))
+    made = made.withColumn("vector", F.when(F.col("vector") == F.col("other"), F.col("vector")).otherwise(F.raise_error(F.lit("two vectors share a hash"))).cast("binary"))
+    vertices = written(made.drop("other"), "vertices")
     labels = _labels(vertices, least)
     labels = F.broadcast(labels) if labels.count() <= MOST_BROADCAST else labels
     placed = vertices.join(labels, "grp")
-    projected = placed.where("g = 0").select("id", "grp", "dims", "vector", "mean", "n_passes").mapInArrow(_projected, "pass int, grp bigint, key bigint, id bigint, vector binary")
+    projected = placed.where("g = 0").select("id", "grp", "dims", "vector", "mean", "n_passes").mapInArrow(_projected, _PASS)
     order = ["pass", "grp", "key", "id"]
     projected = projected.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
-    whole = _paired(placed.where("g > 0").withColumnRenamed("grp", "component_id"))
-    links = projected.mapInArrow(_windows(least), "a bigint, b bigint").union(whole.mapInArrow(_counted(least, True), "a bigint, b bigint"))
-    links = written(links, "links")
-    found = written(components(links), "components")
-
-    inside = found.join(vertices, "id")
-    sizes = found.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
-    inside = _paired(inside.join(sizes, "component_id"))
-    counts = inside.mapInArrow(_counted(least), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    near = written(projected.mapInArrow(_windows(least), "a bigint, b bigint, " + _PASS), "near")
+    # borders: as many rows as there are partitions, times two windows
+    borders = near.where("id is not null").drop("a", "b").distinct().repartition("pass", "grp").sortWithinPartitions(*order)
+    near = near.select("a", "b").union(borders.mapInArrow(_windows(least), "a bigint, b bigint, " + _PASS).select("a", "b"))
+    groups = written(components(near.where("a is not null")), "groups")
+
+    inside = groups.join(vertices, "id").select("component_id", "id", "weight", "vector", "dims")
+    sizes = inside.groupBy("component_id").agg(_blocks(F.count("*"), F.max("dims")).alias("g"))
+    inside = inside.join(sizes, "component_id").select("component_id", "g", "id", "weight", "vector")
+    whole = placed.where("g > 0").select(F.col("grp").alias("component_id"), "g", "id", "weight", "vector")
+    found = written(_paired(inside.union(whole)).mapInArrow(_counted(least), "id bigint, n bigint, a bigint, b bigint"), "found")
+    counts = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
 
     rep = vertices.select("id", "rep", "weight")
     across = components(
-        found.where("id <> component_id").join(rep.select("id", F.col("rep").alias("ra")), "id")
-        .join(rep.select(F.col("id").alias("component_id"), F.col("rep").alias("rb")), "component_id").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        found.where("a is not null").select("a", "b").join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a")
+        .join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         .union(live.select("vec_id", "id").join(rep, "id").where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     )
     out = base.select("vec_id", "id").join(rep.select("id", "weight"), "id", "left").join(counts, "id", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"))

@@ -74,3 +74,34 @@ def test_label_with_a_common_direction(spark):
     df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(low.tolist())], "vec_id long, embedding array<float>, label int")
     got = {x.vec_id: x.n_links for x in vectors.near_vectors(df, 0.994).collect()}
     assert sum(got[k] != n for k, n in enumerate(links.tolist())) == 0
+
+
+def test_borders_of_many_partitions(spark):
+    """Pairs just over the threshold, with few rows a partition: windows that end at borders would lose some."""
+    r = np.random.default_rng(9)
+    rows = []
+    for k in range(600):
+        c = r.standard_normal(48)
+        c /= np.linalg.norm(c)
+        other = r.standard_normal(48)
+        other -= (other @ c) * c
+        other /= np.linalg.norm(other)
+        rows += [(2 * k, c.tolist(), 1), (2 * k + 1, (0.981 * c + np.sqrt(1 - 0.981**2) * other).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        got = {x.vec_id: x for x in vectors.near_vectors(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(got[2 * k + 1].component_id == 2 * k and got[2 * k].n_links == 1 for k in range(600))
+
+
+def test_rounding_errors_bound_the_cosine():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((200, 64)) * r.choice([0.01, 1, 30], (200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    import pyarrow as pa
+
+    small, error = vectors._unrounded(pa.array(vectors._rounded(x), pa.binary()))
+    assert (np.abs(x @ x.T - small @ small.T) <= error[:, None] + error[None, :] + error[:, None] * error[None, :] + 1e-5).all()
