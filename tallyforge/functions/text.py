@@ -34,27 +34,38 @@ def first_amount(line: Column) -> Column:
 
 # Statement labels and the kind each names; among labels in a line the longest wins.
 LABELS = [
-    ("nettoomsättning", "revenue"), ("summa tillgångar", "total_assets"), ("summa eget kapital och skulder", "total_equity_and_liabilities"),
-    ("personalkostnader", "personnel_costs"), ("övriga externa kostnader", "external_costs"), ("avskrivningar", "depreciation"),
-    ("räntekostnader", "interest_expense"), ("resultat efter finansiella poster", "profit_before_tax"), ("skattemässigt resultat", "taxable_result"),
-    ("periodiseringsfonder", "tax_allocation_reserve"), ("obeskattade reserver", "untaxed_reserves"), ("inventarier", "equipment"),
-    ("anläggningstillgångar", "fixed_assets"), ("löner", "wages"), ("underskott", "carried_forward_loss"), ("handelsvaror", "external_costs"),
+    ("nettoomsättning", "revenue"), ("rörelsens intäkter", "revenue"), ("övriga rörelseintäkter", "other_operating_income"), ("råvaror och förnödenheter", "external_costs"),
+    ("övriga externa kostnader", "external_costs"), ("handelsvaror", "external_costs"), ("personalkostnader", "personnel_costs"), ("löner och andra ersättningar", "wages"),
+    ("löner och ersättningar", "wages"), ("löner, andra ersättningar och sociala kostnader", "personnel_costs"), ("av- och nedskrivningar", "depreciation"), ("avskrivningar", "depreciation"),
+    ("avskrivningar av materiella och immateriella anläggningstillgångar", "depreciation"), ("avskrivningar av materiella anläggningstillgångar", "depreciation"),
+    ("rörelseresultat", "operating_profit"), ("ränteintäkter", "interest_income"), ("räntekostnader", "interest_expense"), ("resultat efter finansiella poster", "profit_before_tax"),
+    ("resultat före skatt", "profit_before_tax"), ("skatt på årets resultat", "tax_expense"), ("årets resultat", "net_profit"), ("immateriella anläggningstillgångar", "intangible_assets"),
+    ("materiella anläggningstillgångar", "fixed_assets"), ("inventarier, verktyg och installationer", "equipment"), ("maskiner och inventarier", "equipment"),
+    ("maskiner och andra tekniska anläggningar", "equipment"), ("inventarier", "equipment"), ("varulager", "inventory"), ("kundfordringar", "receivables"), ("kassa och bank", "cash"),
+    ("summa tillgångar", "total_assets"), ("summa eget kapital och skulder", "total_equity_and_liabilities"), ("summa eget kapital", "equity"), ("obeskattade reserver", "untaxed_reserves"),
+    ("avsättningar", "provisions"), ("långfristiga skulder", "long_term_liabilities"), ("kortfristiga skulder", "current_liabilities"), ("periodiseringsfond", "tax_allocation_reserve"),
+    ("årets avsättning till periodiseringsfond", "tax_allocation_this_year"), ("ackumulerade överavskrivningar", "excess_depreciation"), ("outnyttjat underskott", "carried_forward_loss"),
+    ("skattemässigt resultat", "taxable_result"), ("ej avdragsgilla kostnader", "non_deductible_costs"), ("ej skattepliktiga intäkter", "non_taxable_income"),
+    ("koncernbidrag", "group_contribution"), ("pensionskostnader", "pension_costs"), ("sociala avgifter", "payroll_tax"), ("ingående moms", "input_vat"), ("utgående moms", "output_vat"),
 ]
-NOT_A_FACT = ["ackumulerade avskrivningar"]
-THOUSANDS = ["belopp i tkr", "(tkr", "i tusental kronor", "belopp i ksek", "(ksek"]
+NOT_A_FACT = ["ackumulerade avskrivningar", "ackumulerade nedskrivningar", "ingående avskrivningar", "utgående avskrivningar", "årets avskrivningar enligt plan på"]
+THOUSANDS = ["belopp i tkr", "belopp i tusental", "tkr)", "(tkr", "belopp anges i tusental kronor"]
 
 
 def match_label(line: Column) -> Column:
     """Kind of the longest label (in bytes) that the line holds, the later entry on ties; null for none."""
-    low = fold(line)
-    found = F.array(*[F.when(F.contains(low, F.lit(label)), F.struct(F.lit(len(label.encode())).alias("n"), F.lit(i).alias("i"), F.lit(kind).alias("kind"))) for i, (label, kind) in enumerate(LABELS)])
-    wrong = F.lit(False)
-    for phrase in NOT_A_FACT:
-        wrong = wrong | F.contains(low, F.lit(phrase))
-    return F.when(~wrong, F.array_max(F.filter(found, lambda x: x.isNotNull()))["kind"])
+    labels = F.array(*[F.struct(F.lit(len(label.encode())).alias("n"), F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.lit(label).alias("label")) for i, (label, kind) in enumerate(LABELS)])
+    wrong = F.array(*map(F.lit, NOT_A_FACT))
+
+    def kind(low: Column) -> Column:
+        found = F.array_max(F.filter(labels, lambda x: F.contains(low, x["label"])))["kind"]
+        return F.when(~F.exists(wrong, lambda p: F.contains(low, p)), found)
+
+    return F.transform(F.array(fold(line)), kind)[0]  # the lambda's variable holds the folded line, which is made once
 
 
 def in_thousands(text: Column) -> Column:
+    """Whether a text says that its amounts are in thousands."""
     low = fold(text)
     out = F.lit(False)
     for mark in THOUSANDS:

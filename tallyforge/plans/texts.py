@@ -56,7 +56,7 @@ def find_amounts(spark, sf):
 @query("label_match", "select o_orderkey, case o_orderkey % 4 when 0 then 'profit_before_tax' when 1 then 'depreciation' when 2 then null else 'wages' end as kind from orders")
 def label_match(spark, sf):
     k = F.col("o_orderkey")
-    line = F.when(k % 4 == 0, "Resultat efter  finansiella poster 850").when(k % 4 == 1, "Avskrivningar 1 200").when(k % 4 == 2, "Ackumulerade avskrivningar 9").otherwise("Löner 12")
+    line = F.when(k % 4 == 0, "Resultat efter  finansiella poster 850").when(k % 4 == 1, "Avskrivningar 1 200").when(k % 4 == 2, "Ackumulerade avskrivningar 9").otherwise("Löner och ersättningar 12")
     return read(spark, sf, "orders").select("o_orderkey", tx.match_label(line).alias("kind"))
 
 
