@@ -174,7 +174,7 @@ def quoted_list(items: Column) -> Column:
 
 def storage_key(company: Column, document: Column, version: Column, sha256: Column) -> Column:
     """Where a version's bytes are kept: company, document, version and digest; null if the digest is no lower-case SHA-256."""
-    path = F.concat_ws("/", F.lit("companies"), company.cast("string"), F.lit("documents"), document.cast("string"), F.concat(F.lit("v"), version.cast("string")), sha256)
+    path = F.concat_ws("/", F.lit("companies"), company.cast("string"), F.lit("documents"), document.cast("string"), F.concat(F.lit("v"), version.cast("string"), F.lit("-"), sha256))
     return F.when(sha256.rlike("^[0-9a-f]{64}$"), path)
 
 

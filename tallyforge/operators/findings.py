@@ -22,14 +22,36 @@ def cleared(evaluations: DataFrame) -> DataFrame:
 
 
 def totals(found: DataFrame) -> DataFrame:
-    """Per company the sums of matched reductions and deferrals, bound by bound; any overflow makes the sum nothing."""
-    def total(bound: str, effect: str):
-        return F.coalesce(F.try_sum(F.when((F.col("effect") == effect) & (F.col("outcome") == "matched"), F.col(bound))), F.lit(0))
+    """Per company the sums of matched reductions and deferrals. Rejected findings and, where there is a column ``actionable``,
+    those that are not count nothing; an overflow of either bound makes the whole range nothing."""
+    counts = F.col("outcome") == "matched"
+    if "status" in found.columns:
+        counts &= F.col("status") != "rejected"
+    if "actionable" in found.columns:
+        counts &= F.coalesce("actionable", F.lit(False))
 
-    return found.groupBy("company_id").agg(
-        total("low", "reduction").alias("low"), total("high", "reduction").alias("high"),
-        total("low", "deferral").alias("deferred_low"), total("high", "deferral").alias("deferred_high"), F.count("*").alias("n_findings"),
-    )
+    def span(effect: str):
+        low, high = (F.try_sum(F.when((F.col("effect") == effect) & counts, F.coalesce(bound, F.lit(0))).otherwise(0).cast("bigint")) for bound in ("low", "high"))
+        good = low.isNotNull() & high.isNotNull()
+        return F.when(good, low).otherwise(0), F.when(good, high).otherwise(0)
+
+    (low, high), (later_low, later_high) = span("reduction"), span("deferral")
+    return found.groupBy("company_id").agg(low.alias("low"), high.alias("high"), later_low.alias("deferred_low"), later_high.alias("deferred_high"), F.count("*").alias("n_findings"))
+
+
+def counts_by_band(found: DataFrame, companies: DataFrame) -> DataFrame:
+    """Per company of ``companies`` its presented findings (company_id, band, status) by priority band, and whether there are none."""
+    shown = found.where("status <> 'rejected'")
+    n = lambda band: F.count_if(F.col("band") == band)
+    per = shown.groupBy("company_id").agg(F.count("*").alias("identified"), n("high").alias("high"), n("should_investigate").alias("investigate"), n("needs_more_evidence").alias("lacking"))
+    out = companies.select("company_id").join(per, "company_id", "left").na.fill(0, ["identified", "high", "investigate", "lacking"])
+    return out.withColumn("found_nothing", F.col("identified") == 0)
+
+
+def talking_points(found: DataFrame) -> DataFrame:
+    """Findings with an amount, the highest first."""
+    raised = found.where((F.coalesce("low", F.lit(0)) != 0) | (F.coalesce("high", F.lit(0)) != 0))
+    return raised.withColumn("place", F.row_number().over(W.partitionBy("company_id").orderBy(F.desc("high"), "rule_id")))
 
 
 def ranked(found: DataFrame, score: str = "score", seq: str = "seq") -> DataFrame:
@@ -46,9 +68,9 @@ def covered_areas(evaluations: DataFrame) -> DataFrame:
 
 
 def gaps(found: DataFrame) -> DataFrame:
-    """What is missing, by how many of a company's findings wait for it: most first, then by name."""
+    """What is missing, the findings of a company that wait for it and their number: most first, then by name."""
     items = found.select("company_id", "rule_id", F.explode(F.array_union("missing", "questions")).alias("item"))
-    counted = items.groupBy("company_id", "item").agg(F.countDistinct("rule_id").alias("n_waiting"))
+    counted = items.groupBy("company_id", "item").agg(F.countDistinct("rule_id").alias("n_waiting"), F.array_sort(F.collect_set("rule_id")).alias("rules"))
     return counted.withColumn("place", F.row_number().over(W.partitionBy("company_id").orderBy(F.desc("n_waiting"), "item")))
 
 

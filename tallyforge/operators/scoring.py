@@ -52,3 +52,34 @@ def weakest_source(states: Column) -> Column:
     order = F.array(*map(F.lit, ("unretrieved", "unreachable", "verified")))
     least = F.array_min(F.transform(states, lambda s: F.array_position(order, s)))
     return F.when(F.array_contains(states, "mismatch"), "mismatch").otherwise(F.coalesce(F.try_element_at(order, least.cast("int")), F.lit("unretrieved")))
+
+
+def rule_factors(traceable: Column, needed: Column, outcome: Column, has_calculation: Column, has_impact: Column, n_missing: Column, n_questions: Column, objection: Column, corroborated: Column) -> tuple[Column, ...]:
+    """The six factors of a rule's finding: traceable facts of those needed; 1, 0.4 or 0 by outcome; 1 for a figure, 0.7 for a
+    rule that has none, 0.2 for one that should have; gaps of what could be lacking; the objection; 1 if corroborated, else 0.5."""
+    share = lambda a, b: F.when(b == 0, 0.0).otherwise(a / F.greatest(b, F.lit(1)))
+    match = F.when(outcome == "matched", 1.0).when(outcome == "indeterminate", 0.4).otherwise(0.0)
+    calculation = F.when(has_calculation, 1.0).when(~has_impact, 0.7).otherwise(0.2)
+    lacking = (n_missing + n_questions) / (F.greatest(needed, F.lit(1)) + n_questions)
+    return share(traceable, needed), match, calculation, lacking, F.coalesce(objection, F.lit(0.0)), F.when(corroborated, 1.0).otherwise(0.5)
+
+
+def candidate_factors(anchored: Column, supporting: Column, n_missing: Column, objection: Column) -> tuple[Column, ...]:
+    """The six factors of a finding that no rule covers: anchored facts of those named, no match and no calculation."""
+    return anchored / F.greatest(supporting, F.lit(1)), F.lit(0.0), F.lit(0.0), F.when(n_missing == 0, 0.4).otherwise(0.8), F.coalesce(objection, F.lit(0.0)), F.lit(1.0)
+
+
+def priority_band(score: Column, conf: Column) -> Column:
+    """needs_more_evidence below a confidence of 50; else high from a score of 0.5; else needs_more_evidence below 75."""
+    return F.when(conf < 50, "needs_more_evidence").when(score >= 0.5, "high").when(conf < 75, "needs_more_evidence").otherwise("should_investigate")
+
+
+def risk_band(conf: Column, risk: Column) -> Column:
+    return F.when(conf < 50, "needs_more_evidence").when(risk == "high", "high").otherwise("should_investigate")
+
+
+def plain_weakest(states: Column) -> Column:
+    """As reports have it: the least of the order, in which a mismatch stands above what was not read; none is unretrieved."""
+    order = F.array(*map(F.lit, ("unretrieved", "unreachable", "mismatch", "verified")))
+    least = F.array_min(F.transform(states, lambda s: F.array_position(order, s)))
+    return F.coalesce(F.try_element_at(order, least.cast("int")), F.lit("unretrieved"))

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import content, queue, relational, statement, statistical, streams, texts  # noqa: E402,F401
+from . import content, notices, queue, relational, statement, statistical, streams, texts  # noqa: E402,F401

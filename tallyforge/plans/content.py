@@ -133,7 +133,7 @@ def missing_fact_sentences(spark, sf):
     return rows.select("o_custkey", ct.quoted_list(F.col("said")).alias("sentence"))
 
 
-@query("storage_keys", "select doc_id, 'companies/' || source || '/documents/' || doc_id || '/v1/' || sha256(text) as key, doc_id % 2 = 0 as good from documents where text is not null and source is not null")
+@query("storage_keys", "select doc_id, 'companies/' || source || '/documents/' || doc_id || '/v1-' || sha256(text) as key, doc_id % 2 = 0 as good from documents where text is not null and source is not null")
 def storage_keys(spark, sf):
     """Keys of every text, and whether its digest is the one that was given."""
     rows = read(spark, sf, "documents").where("text is not null and source is not null")

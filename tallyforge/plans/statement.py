@@ -116,6 +116,8 @@ def evaluated(spark, sf):
 
 
 _QUARTER, _HEAD, _LOSS = mul("f_taxable_result", 2500), f"({mul('f_equipment', 3000)} - f_depreciation)", "case when f_carried_forward_loss is not null and f_taxable_result is not null then least(f_carried_forward_loss, f_taxable_result) end"
+# Rules of facts that no order stands for: they never apply.
+_OTHERS = [r.id for r in rules.RULES if r.referenced() and not set(r.referenced()) & set(KINDS)]
 _EVAL = f"""{_ROWS}, ev as (
  select company_id, 'se.tax.periodiseringsfond.outnyttjat_utrymme' as rule_id, case when f_taxable_result is null or not ({_QUARTER} > 0) then 'not_applicable' else 'matched' end as outcome, {mul(f'greatest({_QUARTER}, 0)', 2060)} as high, f_taxable_result is not null as has from rows
  union all select company_id, 'se.tax.underskott.kvittning', case when f_carried_forward_loss is null or coalesce(f_taxable_result <= 0, false) then 'not_applicable' when in_group then 'exception_applies' when ownership_changed then 'exception_applies' when f_taxable_result is null then 'indeterminate' when in_group is null or ownership_changed is null then 'indeterminate' else 'matched' end, {mul(_LOSS, 2060)}, f_carried_forward_loss is not null or f_taxable_result is not null from rows
@@ -124,46 +126,81 @@ _EVAL = f"""{_ROWS}, ev as (
  union all select company_id, 'se.investments.inventarier.avskrivningsutrymme', case when f_equipment is null or f_depreciation is null or coalesce(not ({_HEAD} > 0), false) then 'not_applicable' else 'matched' end, {mul(f'greatest({_HEAD}, 0)', 2060)}, f_equipment is not null or f_depreciation is not null from rows
  union all select company_id, 'se.vat.personbil.leasing', case when has_vehicles is null then 'indeterminate' when has_vehicles then 'matched' else 'not_applicable' end, null, true from rows
  union all select company_id, 'se.rnd.forskningsavdrag', case when f_personnel_costs is null or coalesce(not does_development_work, false) then 'not_applicable' when does_development_work is null then 'indeterminate' else 'matched' end, null, f_personnel_costs is not null from rows
+ union all select company_id, unnest([{', '.join(f"'{r}'" for r in _OTHERS)}]), 'not_applicable', null, false from rows
 ), shown as (select company_id, rule_id, outcome, case when outcome in ('matched', 'indeterminate') then high end as high, has from ev)"""
-_SEVEN = ["se.tax.periodiseringsfond.outnyttjat_utrymme", "se.tax.underskott.kvittning", "se.tax.koncernbidrag", "se.tax.k10.lonekrav", "se.investments.inventarier.avskrivningsutrymme", "se.vat.personbil.leasing", "se.rnd.forskningsavdrag"]
+
 
 
 @query("rule_outcomes", f"with {_EVAL} select company_id, rule_id, outcome from shown")
 def rule_outcomes(spark, sf):
-    return evaluated(spark, sf).where(F.col("rule_id").isin(*_SEVEN)).select("company_id", "rule_id", "outcome")
+    return evaluated(spark, sf).select("company_id", "rule_id", "outcome")
 
 
 @query("rule_impacts", f"with {_EVAL} select company_id, rule_id, outcome, case when high is not null then 0::bigint end as low, high, row_number() over (partition by company_id order by coalesce(high, 0) desc, rule_id)::int as place from shown where outcome in ('matched', 'indeterminate') and has")
 def rule_impacts(spark, sf):
     """From readings to each company's ranked findings, with what each may save."""
-    found = fd.findings(evaluated(spark, sf)).where(F.col("rule_id").isin(*_SEVEN)).withColumn("score", F.coalesce("high", F.lit(0)))
+    found = fd.findings(evaluated(spark, sf)).withColumn("score", F.coalesce("high", F.lit(0)))
     return fd.ranked(found, "score", "rule_id").select("company_id", "rule_id", "outcome", "low", "high", "place")
 
 
 @query("rule_outcome_counts", f"with {_EVAL} select rule_id, outcome, count(*) as n from shown group by rule_id, outcome")
 def rule_outcome_counts(spark, sf):
-    return evaluated(spark, sf).where(F.col("rule_id").isin(*_SEVEN)).groupBy("rule_id", "outcome").agg(F.count("*").alias("n"))
+    return evaluated(spark, sf).groupBy("rule_id", "outcome").agg(F.count("*").alias("n"))
 
 
 @query("summary_totals", f"with {_EVAL} select company_id, 0::bigint as low, coalesce(sum(case when outcome = 'matched' and not contains(rule_id, 'periodiseringsfond') then high end), 0)::bigint as high, coalesce(sum(case when outcome = 'matched' and contains(rule_id, 'periodiseringsfond') then high end), 0)::bigint as deferred_high, count(*) as n_findings from shown where outcome in ('matched', 'indeterminate') and has group by company_id")
 def summary_totals(spark, sf):
-    found = fd.findings(evaluated(spark, sf)).where(F.col("rule_id").isin(*_SEVEN))
+    found = fd.findings(evaluated(spark, sf))
     return fd.totals(found).drop("deferred_low")
 
 
 @query("covered_areas", f"with {_EVAL}, n as (select case split_part(rule_id, '.', 2) when 'tax' then 'tax' else split_part(rule_id, '.', 2) end as category, count(*) as r, count(*) filter (where outcome in ('matched', 'indeterminate')) as f from shown group by 1) select a as category, coalesce(r, 0) as n_rules, coalesce(f, 0) as n_findings from (select unnest(['tax', 'costs', 'investments', 'personnel', 'vat', 'rnd', 'risk']) as a) left join n on a = category")
 def covered_areas(spark, sf):
-    return fd.covered_areas(evaluated(spark, sf).where(F.col("rule_id").isin(*_SEVEN)))
+    return fd.covered_areas(evaluated(spark, sf))
+
+
+def _lacks(rule) -> str:
+    """SQL list of what a rule lacks in a row: required facts, then unanswered questions."""
+    facts_ = [f"case when f_{k} is null then '{k}' end" if k in KINDS else f"'{k}'" for k in rule.required()]
+    asked = [f"case when {q} is null then '{q}' end" for q in rule.questions()]
+    return f"case rule_id when '{rule.id}' then list_filter([{', '.join(facts_ + asked) or 'null'}], lambda x: x is not null) end"
+
+
+_GAPS = f"{_EVAL}, g as (select company_id, rule_id, unnest(coalesce({', '.join(_lacks(r) for r in rules.RULES)})) as item from shown join rows using (company_id) where outcome in ('matched', 'indeterminate') and has)"
 
 
-@query("missing_information", None)
+@query("missing_information", f"with {_GAPS}, n as (select company_id, item, count(distinct rule_id) as n_waiting, array_to_string(list_sort(list(distinct rule_id)), ',') as rules from g group by company_id, item) select *, row_number() over (partition by company_id order by n_waiting desc, item)::int as place from n")
 def missing_information(spark, sf):
-    return fd.gaps(fd.findings(evaluated(spark, sf)))
+    return fd.gaps(fd.findings(evaluated(spark, sf))).withColumn("rules", F.array_join("rules", ","))
+
+
+@query("talking_points", f"with {_EVAL} select company_id, rule_id, high, row_number() over (partition by company_id order by high desc, rule_id)::int as place from shown where outcome in ('matched', 'indeterminate') and has and high <> 0")
+def talking_points(spark, sf):
+    return fd.talking_points(fd.findings(evaluated(spark, sf))).select("company_id", "rule_id", "high", "place")
+
+
+def _counted(rule) -> str:
+    """SQL of (facts present, facts named, facts missing, questions open, has an impact) of a rule in a row."""
+    n = lambda names, test: "(" + (" + ".join(f"(f_{k} is {test})::int" if k in KINDS else str(int(test == "null")) for k in names) or "0") + ")"
+    asked = "(" + (" + ".join(f"({q} is null)::int" for q in rule.questions()) or "0") + ")"
+    return f"when '{rule.id}' then [{n(rule.referenced(), 'not null')}, {len(rule.referenced())}, {n(rule.required(), 'null')}, {asked}, {int(rule.impact is not None)}]"
+
 
+_FACT = f"{_EVAL}, n as (select company_id, rule_id, outcome, high, case rule_id {' '.join(_counted(r) for r in rules.RULES)} end as n from shown join rows using (company_id) where outcome in ('matched', 'indeterminate') and has), x as (select company_id, rule_id, case when n[2] = 0 then 0.0::double else n[1] / n[2]::double end as e, case outcome when 'matched' then 1.0::double else 0.4::double end as m, case when high is not null then 1.0::double when n[5] = 0 then 0.7::double else 0.2::double end as c, (n[3] + n[4])::double / (greatest(n[2], 1) + n[4]) as x from n), s as (select *, round((e * 0.25::double + m * 0.25::double + c * 0.15::double + (1 - least(x, 1)) * 0.15::double + 1.0::double * 0.1::double + 0.5::double * 0.1::double) / {sum(scoring.WEIGHTS)}::double * 100)::int as score from x)"
 
-@query("cleared_checks", f"with {_EVAL} select company_id, rule_id from shown s join rows using (company_id) where outcome in ('not_applicable', 'exception_applies') and case rule_id when 'se.vat.personbil.leasing' then true when 'se.tax.koncernbidrag' then f_taxable_result is not null when 'se.tax.underskott.kvittning' then f_carried_forward_loss is not null and f_taxable_result is not null when 'se.investments.inventarier.avskrivningsutrymme' then f_equipment is not null and f_depreciation is not null when 'se.tax.periodiseringsfond.outnyttjat_utrymme' then false else f_personnel_costs is not null end")
+
+@query("finding_confidence", f"with {_FACT} select company_id, rule_id, case when e < 1e-9 then least(score, 49) else score end as confidence from s")
+def finding_confidence(spark, sf):
+    """Confidence of every finding from the facts it rests on."""
+    impact = F.col("rule_id").isin(*[r.id for r in rules.RULES if r.impact])
+    found = fd.findings(evaluated(spark, sf))
+    f = scoring.rule_factors(F.col("n_present"), F.col("n_referenced"), F.col("outcome"), F.col("high").isNotNull(), impact, F.size("missing"), F.size("questions"), F.lit(None).cast("double"), F.lit(False))
+    return found.select("company_id", "rule_id", scoring.confidence(*f).alias("confidence"))
+
+
+@query("cleared_checks", f"with {_EVAL} select company_id, rule_id from shown s join rows using (company_id) where outcome in ('not_applicable', 'exception_applies') and has is not null and case when rule_id in (" + ", ".join(f"'{r}'" for r in _OTHERS) + f") then false when true then case rule_id when 'se.vat.personbil.leasing' then true when 'se.tax.koncernbidrag' then f_taxable_result is not null when 'se.tax.underskott.kvittning' then f_carried_forward_loss is not null and f_taxable_result is not null when 'se.investments.inventarier.avskrivningsutrymme' then f_equipment is not null and f_depreciation is not null when 'se.tax.periodiseringsfond.outnyttjat_utrymme' then false else f_personnel_costs is not null end end")
 def cleared_checks(spark, sf):
-    return fd.cleared(evaluated(spark, sf)).where(F.col("rule_id").isin(*_SEVEN)).select("company_id", "rule_id")
+    return fd.cleared(evaluated(spark, sf)).select("company_id", "rule_id")
 
 
 @query("rule_year_join", "with r(rule_id, first_year, last_year) as (values ('a', 1992, 1995), ('b', 1994, null), ('c', 1996, 1996)) select rule_id, year(o_orderdate)::int as tax_year, count(*) as n from orders join r on first_year <= year(o_orderdate) and (last_year is null or year(o_orderdate) <= last_year) group by 1, 2")
@@ -263,7 +300,7 @@ _REVIEW = "case when outcome = 'indeterminate' then 'possible' when outcome = 'm
 
 @query("control_review", f"with {_EVAL} select company_id, rule_id, {_REVIEW} as review from shown where outcome in ('matched', 'indeterminate')")
 def control_review(spark, sf):
-    rows = rp.control_review(evaluated(spark, sf)).where(F.col("rule_id").isin(*_SEVEN))
+    rows = rp.control_review(evaluated(spark, sf))
     return rows.where("review <> 'looks_correct'")
 
 
@@ -271,3 +308,17 @@ def control_review(spark, sf):
 def company_reports(spark, sf):
     found = fd.findings(evaluated(spark, sf))
     return rp.report(fd.ranked(found.withColumn("score", F.coalesce("high", F.lit(0))), "score", "rule_id"), fd.totals(found))
+
+
+_BAND = f"case when {_CONF} < 50 then 'needs_more_evidence' when least(greatest({_PRIO}, 0), 1) >= 0.5 then 'high' when {_CONF} < 75 then 'needs_more_evidence' else 'should_investigate' end"
+
+
+@query("summary_counts", f"with f as (select o_custkey, {_BAND} as band from orders where o_orderstatus <> 'F') select c_custkey as company_id, count(band) as identified, count(*) filter (where band = 'high') as high, count(*) filter (where band = 'should_investigate') as investigate, count(*) filter (where band = 'needs_more_evidence') as lacking, count(band) = 0 as found_nothing from customer left join f on o_custkey = c_custkey group by c_custkey")
+def summary_counts(spark, sf):
+    """Findings by priority band; those of status F are rejected."""
+    c = scoring.confidence(*_factors())
+    urgency = F.when(F.col("o_orderstatus") == "O", "now").when(F.col("o_orderstatus") == "P", "soon").otherwise("normal")
+    effort = F.when(F.col("o_orderpriority") == "1-URGENT", "low").when(F.col("o_orderpriority") == "2-HIGH", "medium").otherwise("high")
+    score = scoring.priority(ore("o_totalprice").cast("double"), c, F.lit(0.8), urgency, effort)
+    found = read(spark, sf, "orders").select(F.col("o_custkey").alias("company_id"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("identified").alias("status"), scoring.priority_band(score, c).alias("band"))
+    return fd.counts_by_band(found, read(spark, sf, "customer").select(F.col("c_custkey").alias("company_id")))
