@@ -7,6 +7,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_amount, in_thousands, looks_delimited, match_label, strip_markup
+from ..operators.notices import MOST_BYTES, why_unreadable
 
 # Leading bytes in hex and the type they tell.
 MAGIC = [
@@ -22,6 +24,10 @@ MAGIC = [
     ("424D", "image/bmp"), ("1F8B", "application/gzip"), ("377ABCAF271C", "application/x-7z"), ("52617221", "application/x-rar"), ("7F454C46", "application/x-elf"), ("4D5A", "application/x-exe"),
 ]
 MOST_MEMBER = 96 << 20
+# Bytes at either end of a file in which the names of an archive's members are looked for.
+PROBE = 64 << 10
+# What a broken file can raise; anything else is a fault of this module.
+_BROKEN = (zipfile.BadZipFile, zlib.error, ET.ParseError, KeyError, ValueError, RuntimeError, NotImplementedError, EOFError, OSError, IndexError)
 
 
 def sniff(content: Column, name: Column) -> Column:
@@ -32,8 +38,9 @@ def sniff(content: Column, name: Column) -> Column:
     out = F.when(F.length(content) == 0, "application/x-empty")
     for magic, kind in MAGIC:
         if kind == "application/zip":
-            word = F.contains(F.hex(content), F.lit("word/document.xml".encode().hex().upper()))
-            sheet = F.contains(F.hex(content), F.lit("xl/workbook.xml".encode().hex().upper()))
+            ends = F.hex(F.concat(F.substring(content, 1, PROBE), F.substring(content, -PROBE, PROBE)))
+            word = F.contains(ends, F.lit("word/document.xml".encode().hex().upper()))
+            sheet = F.contains(ends, F.lit("xl/workbook.xml".encode().hex().upper()))
             inner = F.when(word, "application/docx").when(sheet, "application/xlsx").when(low.endswith(".docx"), "application/docx").when(low.endswith(".xlsx"), "application/xlsx").otherwise(kind)
             out = out.when(head.startswith(magic), inner)
         else:
@@ -47,8 +54,21 @@ def sniff(content: Column, name: Column) -> Column:
 
 
 def _member(archive: zipfile.ZipFile, name: str) -> bytes:
+    """A member's bytes; one that inflates to more than MOST_MEMBER is an error, as half a member has no meaning."""
     with archive.open(name) as f:
-        return f.read(MOST_MEMBER)
+        content = f.read(MOST_MEMBER + 1)
+    if len(content) > MOST_MEMBER:
+        raise ValueError("member is too large")
+    return content
+
+
+def within(content: bytes, most: int) -> bytes:
+    """At most the first ``most`` bytes, cut before a character that would be split."""
+    if len(content) <= most:
+        return content
+    while most > 0 and content[most] & 0xC0 == 0x80:
+        most -= 1
+    return content[:most]
 
 
 def _tags(xml: str) -> str:
@@ -94,15 +114,17 @@ def rtf_text(rtf: str) -> str:
     rtf = re.sub(r"\\(par|line|row)\b ?", "\n", rtf)
     rtf = re.sub(r"\\(tab|cell)\b ?", "   ", rtf)
     rtf = re.sub(r"\\u(-?\d+) ?\??", lambda m: chr(int(m[1]) % 65536), rtf)
+    # two halves of a pair become one character, a half alone the replacement character
+    rtf = rtf.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
     rtf = re.sub(r"\\[a-zA-Z]+-?\d* ?", "", rtf)
     return re.sub(r"\\([{}\\])", r"\1", re.sub(r"(?<!\\)[{}]", "", rtf)).strip()
 
 
 def json_lines(text: str) -> str:
-    """A line 'path words   value' per number or string leaf, depth first; text that isn't JSON comes back as it is."""
+    """A line 'path words   value' per number or string leaf, depth first; text that isn't JSON, or too deep, comes back as it is."""
     try:
         tree = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return text
     out: list[str] = []
 
@@ -116,46 +138,57 @@ def json_lines(text: str) -> str:
         elif isinstance(x, (int, float, str)) and not isinstance(x, bool):
             out.append(f"{' '.join(path)}   {x}")
 
-    go(tree, [])
+    try:
+        go(tree, [])
+    except RecursionError:
+        return text
     return "\n".join(out)
 
 
-def _paged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in batches:
-        rows = []
-        for path, kind, content in zip(part["path"], part["mime"], part["content"]):
-            try:
-                match kind:
-                    case "application/docx":
-                        pages = docx_pages(content)
-                    case "application/xlsx":
-                        pages = xlsx_pages(content)
-                    case "application/zip":
-                        with zipfile.ZipFile(io.BytesIO(content)) as z:
-                            pages = ["\n".join(z.namelist()[:25])]
-                    case "application/rtf":
-                        pages = [rtf_text(bytes(content).decode("latin-1"))]
-                    case "application/json":
-                        pages = [json_lines(bytes(content).decode("utf-8", "replace"))]
-                    case _ if kind.startswith("text/"):
-                        pages = bytes(content).decode("utf-8", "replace").split("\f")
-                    case _:
-                        pages = []
-                status = "ok" if any(p.strip() for p in pages) else "no_text"
-            except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                pages, status = [], "unreadable"
-            rows += [(path, kind, status, n + 1, p) for n, p in enumerate(pages)] or [(path, kind, status, 0, "")]
-        yield pd.DataFrame(rows, columns=["path", "mime", "status", "page", "text"])
-
-
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path``: path, mime, status (ok, no_text, unreadable), page from 1, text. A file without text has one row, page 0;
-    Spark passes over files of no bytes."""
+def _paged(most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for path, kind, size, raw in zip(part["path"], part["mime"], part["size"], part["content"]):
+                content = within(bytes(raw), most)
+                try:
+                    match kind:
+                        case "application/docx":
+                            pages = docx_pages(content)
+                        case "application/xlsx":
+                            pages = xlsx_pages(content)
+                        case "application/zip":
+                            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                                pages = ["\n".join(z.namelist()[:25])]
+                        case "application/rtf":
+                            pages = [rtf_text(content.decode("latin-1"))]
+                        case "application/json":
+                            pages = [json_lines(content.decode("utf-8", "replace"))]
+                        case _ if kind.startswith("text/"):
+                            pages = content.decode("utf-8", "replace").split("\f")
+                        case _:
+                            pages = []
+                    status = "ok" if any(p.strip() for p in pages) else "no_text"
+                except _BROKEN:
+                    pages, status = [], "unreadable"
+                cut = len(content) if size > len(content) else None
+                rows += [(path, kind, status, n + 1, p, cut) for n, p in enumerate(pages)] or [(path, kind, status, 0, "", cut)]
+            out = pd.DataFrame(rows, columns=["path", "mime", "status", "page", "text", "truncated_after"])
+            yield out.astype({"truncated_after": "Int64"})
+
+    return run
+
+
+def read_documents(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    """Files under ``path``: path, mime, status (ok, no_text, unreadable), page from 1, text, truncated_after (bytes read of a
+    file with more than ``most``, else null), why (a type is not read, else null). A file without text has one row, page 0; a
+    broken or encrypted one is unreadable and ends nothing. Spark passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    typed = files.select("path", sniff(F.col("content"), F.col("path")).alias("mime"), "content")
-    pages = typed.mapInPandas(_paged, "path string, mime string, status string, page int, text string")
+    # one byte more than is read tells that there is more, and whether a character is split
+    typed = files.select("path", sniff(F.col("content"), F.col("path")).alias("mime"), F.col("length").alias("size"), F.substring("content", 1, most + 1).alias("content"))
+    pages = typed.mapInPandas(_paged(most), "path string, mime string, status string, page int, text string, truncated_after bigint")
     html = F.col("mime").isin("text/html", "text/xml")
-    return pages.withColumn("text", F.when(html, strip_markup(F.col("text"))).otherwise(F.col("text")))
+    return pages.withColumn("text", F.when(html, strip_markup(F.col("text"))).otherwise(F.col("text"))).withColumn("why", why_unreadable(F.col("mime")))
 
 
 def statement_facts(pages: DataFrame, confidence: float = 0.95) -> DataFrame:
