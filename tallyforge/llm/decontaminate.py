@@ -66,11 +66,27 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+def _short(docs: DataFrame, benchmark: DataFrame, shortest: int) -> DataFrame:
+    """Items of ``shortest`` to four words are one shingle each: documents that hold one word for word."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w")).where((F.col("n_words") >= shortest) & (F.col("n_words") < SHINGLE))
+    items = items.select("item_id", "n_words", F.xxhash64("w").alias("hash")).distinct()
+    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(F.lit(n).alias("n_words"), (i - 1).alias("at"), F.xxhash64(F.slice(w, i, n)).alias("hash"))))
+    lengths = [r.n_words for r in items.select("n_words").distinct().collect()]  # at most four numbers
+    read = docs.select("doc_id", words(F.col("text")).alias("w"))
+    out = None
+    for n in lengths:
+        found = read.select("doc_id", F.explode(runs(F.col("w"), n)).alias("r")).select("doc_id", "r.*").join(items, ["n_words", "hash"])
+        found = found.groupBy("doc_id", "item_id", "n_words").agg(F.min("at").alias("at"))
+        found = found.select("doc_id", "item_id", "at", "n_words", F.lit(1.0).alias("similarity"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, shortest: int = SHINGLE) -> DataFrame:
     """Pairs with a similarity of ``least`` or more: doc_id, item_id, at (the window's first word), n_words, similarity.
 
-    One row per pair: its best window, the first of equals. Null and empty texts and items of fewer than five words
-    match nothing; rows with equal ids count as one document (or item) that holds what any of them holds. Only
+    One row per pair: its best window, the first of equals. Null and empty texts match nothing. An item of fewer than five
+    words says little about a document that holds it; items from ``shortest`` words on are matched whole, word for word; rows with equal ids count as one document (or item) that holds what any of them holds. Only
     doc_id, text and item_id, text are read, so other columns can't clash. Empty tables give no rows.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("w"))
@@ -82,6 +98,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
         found = _against(docs, part, least)
         out = found if out is None else out.union(found)
+    if shortest < SHINGLE and (short := _short(docs, benchmark, shortest)) is not None:
+        out = out.unionByName(short)
     best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "at", "n_words")
     return out.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 

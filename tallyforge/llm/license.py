@@ -24,6 +24,9 @@ TEMPLATES = {
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -32,15 +35,20 @@ MOST_TEMPLATES = 10_000
 MOST_KEYS = 200
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct word bigrams of the normalised text: lower-cased, all but a-z and 0-9 are gaps."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+def words(text: Column) -> Column:
+    """Words of the normalised text: lower-cased, all but a-z and 0-9 are gaps."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
 
-    def pairs(w: Column) -> Column:
-        joined = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-        return F.when(F.size(w) > 1, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+def pairs(w: Column) -> Column:
+    """Word bigrams in order, repeats included."""
+    joined = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(w) > 1, joined).otherwise(F.array().cast("array<string>"))
 
-    return F.transform(F.array(words), pairs)[0]  # the lambda's variable holds the words, which are made once
+
+def bigrams(text: Column) -> Column:
+    """Distinct word bigrams of the normalised text."""
+    return F.transform(F.array(words(text)), lambda w: F.array_distinct(pairs(w)))[0]  # the lambda's variable holds the words, which are made once
 
 
 def keys(templates: dict[str, str], least: float) -> list[tuple[str, str]] | None:
@@ -60,7 +68,9 @@ def keys(templates: dict[str, str], least: float) -> list[tuple[str, str]] | Non
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """Units that match a template with a Dice coefficient of ``least`` or more: doc_id, unit, license, dice.
 
-    Units are a text's lines (numbered from 0) and, where it has several, the whole text (-1). A template of b
+    Units are a text's lines (numbered from 0) and, where it has several, the whole text (-1). A line also stands for the
+    words from its start on, as many as the template has, so that a notice wrapped over lines, or with text after it, is
+    found where it begins; the better of both scores counts. A template of b
     bigrams can only match a unit of a bigrams if b * t / (2 - t) <= a <= b * (2 - t) / t; that prunes units and
     templates before any count. An inverted index of the templates' bigrams (at most MOST_TEMPLATES templates,
     checked, and so broadcast) counts what they share. Null and empty texts and units of one word match nothing.
@@ -71,7 +81,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MOST_TEMPLATES} are broadcast")
     lo, hi = least / (2 - least), (2 - least) / least
-    index = spark.createDataFrame(sorted(templates.items()), "license string, template string").select("license", bigrams(F.col("template")).alias("pairs"))
+    index = spark.createDataFrame(sorted(templates.items()), "license string, template string").select("license", "template", bigrams(F.col("template")).alias("pairs"))
     index = index.withColumn("b", F.size("pairs")).where("b > 0")
     bounds = index.agg(F.min("b"), F.max("b")).first()
     if bounds[0] is None:
@@ -95,8 +105,29 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         found.join(terms, "pair").where((F.col("a") >= F.col("b") * lo) & (F.col("a") <= F.col("b") * hi))
         .groupBy("doc_id", "unit", "content", "license", "a", "b").agg(F.countDistinct("pair").alias("n"))
     )
-    dice = 2 * F.col("n") / (F.col("a") + F.col("b"))
-    return shared.withColumn("dice", dice).where(F.col("dice") >= least).select("doc_id", "unit", "license", "dice").distinct()
+    scored = shared.select("doc_id", "unit", "license", (2 * F.col("n") / (F.col("a") + F.col("b"))).alias("dice"))
+    both = scored.union(_from_line_starts(docs, lines, index, lo))
+    return both.where(F.col("dice") >= least).groupBy("doc_id", "unit", "license").agg(F.max("dice").alias("dice"))
+
+
+def _from_line_starts(docs: DataFrame, lines: Column, index: DataFrame, lo: float) -> DataFrame:
+    """doc_id, unit, license, dice of the words from each line's start on, as many as a template has. Only templates are
+    looked at of which the first word pairs from there on hold one; those counts prune before any window is made."""
+    sizes = index.select("license", "b", "pairs", F.size(words(F.col("template"))).alias("n_words"))
+    most = sizes.agg(F.max("n_words")).first()[0]
+    of_lines = docs.select("doc_id", F.transform(lines, words).alias("by_line"))
+    flat = of_lines.select("doc_id", F.flatten("by_line").alias("w"), F.transform("by_line", F.size).alias("counts")).where("size(w) > 1")
+    # where each line begins among the words; blank lines begin nothing
+    starts = F.aggregate("counts", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    from_ = flat.select("doc_id", "w", "counts", starts.alias("starts")).select("doc_id", "w", F.posexplode(F.arrays_zip("counts", "starts")).alias("unit", "at")).where("at.counts > 0")
+    windows = from_.select("doc_id", "unit", F.slice("w", F.col("at.starts") + 1, F.lit(int(most))).alias("w")).where("size(w) > 1")
+    windows = windows.select("doc_id", "unit", pairs(F.col("w")).alias("p"))
+    terms = F.broadcast(index.select("license", F.explode("pairs").alias("pair")))
+    near = windows.select("doc_id", "unit", "p", F.explode(F.array_distinct("p")).alias("pair")).join(terms, "pair")
+    near = near.groupBy("doc_id", "unit", "p", "license").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "license").where(F.col("n") >= F.col("b") * lo)
+    near = near.withColumn("own", F.array_distinct(F.slice("p", F.lit(1), F.col("n_words") - 1)))
+    dice = 2 * F.size(F.array_intersect("own", "pairs")) / (F.size("own") + F.col("b"))
+    return near.select("doc_id", "unit", "license", dice.alias("dice"))
 
 
 def best(scanned: DataFrame) -> DataFrame:
@@ -121,10 +152,17 @@ u as (
 ),
 w as (select doc_id, unit, string_split({norm.format('txt')}, ' ') as w from u),
 g as (select doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
-m as (
+m1 as (
   select doc_id, unit, license, 2.0::double * len(list_intersect(g.g, tb.g)) / (len(g.g) + len(tb.g)) as dice
   from g join tb on len(g.g) >= len(tb.g) * {least}::double / (2 - {least}::double) and len(g.g) <= len(tb.g) * (2 - {least}::double) / {least}::double
 ),
+lw as (select doc_id, unit, list_filter(string_split({norm.format('txt')}, ' '), lambda x: x <> '') as w from u where unit >= 0),
+lo as (select doc_id, unit, len(w) as n, coalesce(sum(len(w)) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0)::bigint as start from lw),
+fw as (select doc_id, flatten(list(w order by unit)) as w from lw group by doc_id),
+win as (select lo.doc_id, unit, license, tb.g as tg, fw.w[start + 1 : start + len(t.w)] as w from lo join fw on lo.doc_id = fw.doc_id cross join tb join t using (license) where lo.n > 0),
+wg as (select doc_id, unit, license, tg, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from win where len(w) > 1),
+m2 as (select doc_id, unit, license, 2.0::double * len(list_intersect(g, tg)) / (len(g) + len(tg)) as dice from wg),
+m as (select doc_id, unit, license, max(dice) as dice from (select * from m1 union all select * from m2) group by all),
 b as (select *, row_number() over (partition by doc_id, unit order by dice desc, license) as r from m where dice >= {least}::double)
 select doc_id, license, count(*) as n_units, round(max(dice), 6) as dice from b where r = 1 group by doc_id, license
 """

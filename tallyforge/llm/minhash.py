@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, slices, utf8, written
+from .common import components, partitions, slices, utf8, written
 from .shingles import sets
 
 SYMBOLS, BITS, CHUNKS, RADIUS = 36, 16, 12, 22
@@ -212,7 +212,8 @@ def _apart(least: int):
 
 
 def _by_key(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "id")
+    # a set number of tasks: work per byte is high, so small ones must not be put together by their size
+    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "id")
 
 
 def _in_pairs(rows: DataFrame, key: str) -> DataFrame:

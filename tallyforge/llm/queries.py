@@ -50,7 +50,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents")).documents
-    return mix.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mix.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", "first_slot")
 
 
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

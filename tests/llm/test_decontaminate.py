@@ -73,3 +73,10 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n")], "item_id long, text string")
     docs = spark.createDataFrame([(7, "x a b c d e f g y"), (8, "h i j k l m n")], "doc_id long, text string")
     assert sorted((x.doc_id, x.item_id) for x in dc.contaminated(docs, items).collect()) == [(7, 1), (8, 2)]
+
+
+def test_short_items_word_for_word(spark):
+    docs = spark.createDataFrame([(1, "so the answer is forty two then"), (2, "Forty\n two"), (3, "forty and two"), (4, None), (5, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "forty two"), ("b", "x"), ("c", "the answer is Forty"), ("d", ""), ("e", None)], "item_id string, text string")
+    found = lambda n: {(r.doc_id, r.item_id, r["at"]) for r in dc.contaminated(docs, items, shortest=n).collect()}
+    assert found(5) == set() and found(2) == {(1, "a", 4), (2, "a", 0), (1, "c", 1)} and found(1) == found(2) | {(5, "b", 0)}

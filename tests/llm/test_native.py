@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -92,6 +93,47 @@ def test_mix(spark, block):
     assert all(x.n == taken[x.source] and x.c == x.r + 1 for x in slots)
 
 
+def test_schedule_is_balanced_at_every_prefix(spark):
+    """Each prefix of the slots holds each source in about its share, every block stands once, and pieces tile their slots."""
+    rows = [(i, s, " ".join(f"{s}{i}w{k}" for k in range(n))) for i, (s, n) in enumerate([("a", 3000), ("b", 900), ("b", 1100), ("c", 40), ("d", 2600)])]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = mixing.mix_sources(df, block=8)
+    slots = sorted(mix.slots.collect())
+    n = len(slots)
+    assert [x.slot for x in slots] == list(range(n))
+    share = Counter(x.source for x in slots)
+    so_far = Counter()
+    for k, x in enumerate(slots, 1):
+        assert x.rank == so_far[x.source] or so_far[x.source] > share[x.source] - 12  # late ranks may take over free slots
+        so_far[x.source] += 1
+        assert all(abs(so_far[s] - k * share[s] / n) < 3 + math.log2(n) / 2 for s in share)
+    assert max(abs(i - j) for i, j in zip(sorted(share.values()), sorted(so_far.values()))) == 0
+    words = dict((i, t.split()) for i, _, t in rows)
+    pieces = sorted(mixing.texts(df, mix).collect())
+    by_slot = Counter()
+    for x in pieces:
+        assert by_slot[x.slot] == x.at
+        by_slot[x.slot] += len(x.text.split())
+    assert by_slot == Counter({x.slot: x.tokens for x in slots})
+    for x in mix.blocks.collect():
+        assert " ".join(words[x.doc_id][x.first_word : x.first_word + x.n_words]) in {p.text for p in pieces if p.slot == x.slot and p.at == x.at}
+    taken = Counter()
+    for x in mix.blocks.collect():
+        taken[x.doc_id] += x.n_words
+    assert all(taken[x.doc_id] == x.taken for x in mix.documents.collect())
+
+
+def test_license_over_lines(spark):
+    """Notices that are wrapped, or have text after them, begin at a line."""
+    grant = license.TEMPLATES["isc-grant"].split()
+    wrapped = "x y z\n\n" + " ".join(grant[:9]) + "\n" + " ".join(grant[9:20]) + "\n" + " ".join(grant[20:]) + "\nmore text follows here " * 9
+    rows = [(1, wrapped), (2, license.TEMPLATES["bsd-3-clause"] + " And then a long sentence of other words that no licence holds at all, on and on."), (3, "nothing here"), (4, None), (5, ""), (6, " ".join(grant))]
+    got = {(r.doc_id, r.unit): (r.license, r.dice) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, 2] == ("isc-grant", 1.0) and got[2, 0] == ("bsd-3-clause", 1.0) and got[6, 0] == ("isc-grant", 1.0)
+    # a unit that begins a little before the notice scores less
+    assert all(d < 1 for (i, u), (_, d) in got.items() if i == 1 and u != 2) and not {3, 4, 5} & {i for i, _ in got}
+
+
 def test_mix_empty(spark):
     out = mixing.mix_sources(spark.createDataFrame([], "doc_id long, source string, text string"))
     assert out.documents.count() == 0 and out.slots.count() == 0
