@@ -23,12 +23,21 @@ from pyspark.sql import Window as W
 
 from .common import written
 
-# The grammar's closed word classes.
-TARGETS = frozenset("you your yours yourself u he she him her they them their those these people everyone".split())
-NEGATION = frozenset("not no never neither nor nobody nothing isn aren wasn don doesn didn won wouldn can't cannot".split())
-REPORT = frozenset("said says say called calls wrote writes quoted claimed claims reported allegedly heard told".split())
-INTENT = frozenset("will shall gonna going must should ought deserve deserves".split())
-THREATS = frozenset("kill hurt murder shoot stab strangle punish beat burn destroy attack slaughter lynch".split())
+# The grammar's closed word classes, in English, German, French and Spanish.
+TARGETS = frozenset(
+    "you your yours yourself u he she him her they them their those these people everyone du dich dir dein deine ihr euch ihm ihn ihnen "
+    "tu toi te vous votre ton ils elles eux tú usted ustedes ella ellos ellas vosotros".split()
+)
+NEGATION = frozenset(
+    "not no never neither nor nobody nothing isn aren wasn don doesn didn won wouldn can't cannot nicht kein keine keiner nie niemals pas jamais rien aucun aucune nunca jamás nada ningún".split()
+)
+REPORT = frozenset(
+    "said says say called calls wrote writes quoted claimed claims reported allegedly heard told sagte sagt schrieb nannte angeblich dit disait écrit prétend dijo dice escribió llamó".split()
+)
+INTENT = frozenset("will shall gonna going must should ought deserve deserves werde werden wirst sollte muss vais devrait doit voy debería debe".split())
+THREATS = frozenset(
+    "kill hurt murder shoot stab strangle punish beat burn destroy attack slaughter lynch töten umbringen verletzen schlagen verprügeln tuer frapper blesser étrangler matar golpear herir".split()
+)
 # Features in order, with the prior mean of each weight; the last is the bias.
 FEATURES = ("plain", "targeted", "negated", "reported", "threat")
 PRIOR = (5.0, 6.0, 1.0, 1.6, 5.0, -3.0)
@@ -192,11 +201,11 @@ def hash_(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 3
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 8000, most_words: int = 2000) -> Grammar:
     """A grammar from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
 
     Learns from at most ``most`` labelled rows, half of them toxic at most, those with the smallest hash of their id;
-    of near copies one counts. What reaches the driver is bounded by that: candidate words with their toxic rows, and
+    of near copies one counts. Of candidate words, the ``most_words`` in most toxic rows are chosen from. What reaches the driver is bounded by that: candidate words with their toxic rows, and
     a few numbers per row. Rows without a label, id or text are not learnt from. Without labels, the prior remains.
     """
     usable = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -216,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Grammar:
     places = seen.groupBy("token", "toxic", "around").agg(F.count("*").alias("n"))
     counts = places.groupBy("token").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("c"))
     least = 20 * (F.col("c") + 0.5) / n_clean
-    words = counts.where((F.col("t") >= 4) & (F.col("t") / n_toxic >= least)).orderBy(F.desc("t"), "token").limit(2000).cache()
+    words = counts.where((F.col("t") >= 4) & (F.col("t") / n_toxic >= least)).orderBy(F.desc("t"), "token").limit(most_words).cache()
     clean = {r.token: (r.t, r.c) for r in words.collect()}
     held = defaultdict(set)
     for r in seen.where("toxic = 1").join(F.broadcast(words.select("token")), "token").select("token", "row").collect():
@@ -260,7 +269,7 @@ _grammars: dict[str, Grammar] = {}
 
 
 def score(spark: SparkSession, text: Column, grammar: Grammar) -> Column:
-    """Score of ``text`` from 0 to 1 as a column. The grammar has at most 2000 insults; it is broadcast."""
+    """Score of ``text`` from 0 to 1 as a column. The grammar has at most as many insults as words were chosen from; it is broadcast."""
     shared, key = spark.sparkContext.broadcast((grammar.insults, grammar.weights)), uuid.uuid4().hex
 
     @F.pandas_udf("double")

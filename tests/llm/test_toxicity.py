@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tallyforge.llm import queries
 from tallyforge.llm import toxicity as tx
 
@@ -53,6 +55,44 @@ def test_learns_words_and_stems_not_their_neighbours(spark):
     assert all((x.score >= 0.5) == bool(truth[x.doc_id]) for x in got)
 
 
+def test_as_plain_learning_and_scoring(spark):
+    """Grammar and scores against plain loops over all labelled rows: counts of words and stems, the choice, the fit, the score."""
+    r = random.Random(4)
+    rows = []
+    for i in range(600):
+        words = ["".join(r.choice("acdefghi") for _ in range(7)) for _ in range(30)]
+        if i % 3 == 0:
+            words.insert(r.randrange(30), r.choice(["blorg", "snerkel", "you"]))
+            words.insert(r.randrange(30), r.choice(["blorg", "snerkels"]))
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    rows += [(700, None, None), (701, "", 0), (702, "you blorg", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = tx.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
+    learnt = [(i, t, y) for i, t, y in rows if t is not None and y is not None]
+    n = {y: sum(z == y for _, _, z in learnt) for y in (0, 1)}
+    held, clean = {}, {}
+    for i, text, y in learnt:
+        found = tx._WORD.findall(text.lower())
+        for token in {w for w in found if len(w) >= 3} | {w[:k] + "*" for w in found for k in tx.STEMS if len(w) > k and len(w) >= 3}:
+            (held if y else clean).setdefault(token, set()).add(i)
+    counts = {k: (len(v), len(clean.get(k, ()))) for k, v in held.items() if len(v) >= 4 and len(v) / n[1] >= 20 * (len(clean.get(k, ())) + 0.5) / n[0]}
+    insults = tx.choose(counts, {k: held[k] for k in counts}, n[1], n[0])
+    assert grammar.insults.keys() == insults.keys() and all(abs(grammar.insults[k] - insults[k]) < 1e-12 for k in insults)
+    x = np.array([tx.features(tx._WORD.findall(t.lower()), insults) for _, t, _ in learnt])
+    weights = tx.fit_weights(x, np.array([float(y) for _, _, y in learnt]))
+    assert np.allclose(weights, grammar.weights, atol=1e-6)
+    got = {v.doc_id: v.score for v in tx.scored(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    held_in = tx.learn(df.drop("toxic"), df.select("doc_id", "toxic").where("crc32(cast(doc_id as string)) % 5 <> 0"))
+    for i, text, _ in rows:
+        z = held_in.weights[-1] + sum(a * b for a, b in zip(held_in.weights, tx.features(tx._WORD.findall((text or "").lower()), held_in.insults)))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_empty_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert tx.scored(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, sf).collect()}
