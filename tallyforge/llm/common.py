@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+# Tables of this application in the shared folder, by path, with what deletes them.
+_tables: dict[str, Callable[[], None]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: later reads neither recompute it nor need its executors."""
+    """``df`` as a Parquet table in the shared folder: later reads neither recompute it nor need its executors.
+
+    It stays until ``discard``, or the end of the driver's process: results are lazy and may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    _tables[path] = lambda: place.getFileSystem(conf).delete(place, True)
+    out = spark.read.schema(schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Deletes tables that ``written`` made (other data frames are left alone); nothing may read them any more."""
+    for t in tables:
+        if delete := _tables.pop(t if isinstance(t, str) else getattr(t, "_table_path", ""), None):
+            delete()
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it wrote on its way are deleted."""
+    before = set(_tables)
+    out = written(make(), name)
+    discard(*(set(_tables) - before - {out._table_path}))
+    return out
+
+
+@atexit.register
+def _discard_all() -> None:
+    try:
+        discard(*list(_tables))
+    except Exception:  # the JVM may be gone already; what is left then belongs to a folder of its own
+        _tables.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +128,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = written(small, "edges")
+        previous, e = e, written(small, "edges")
+        discard(previous)
         # a star forest that no longer changes: its edges' count and checksum stay
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
