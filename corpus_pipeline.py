@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, minhash, mixing, pii, toxicity
-from tallyforge.llm.common import table, written
+from tallyforge.llm.common import discard, settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: doc_id, source, size, source_size, target, taken."""
+    """What the mix takes of each document, and where in its order first: doc_id, source, size, source_size, target, taken, first_slot."""
     mix = mixing.mix_sources(docs).documents
-    return mix.select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mix.select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"), "taken", "first_slot")
 
 
 STAGES = [
@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again by the next."""
+    """All stages over documents; what a stage returns is written to the shared folder and read again by the next. A stage's
+    other tables are deleted once its result is there, and that once the next stage's is."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        previous, docs = docs, settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        discard(previous)
     return STAGES[-1][1](spark, docs, sf_dir)
