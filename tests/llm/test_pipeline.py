@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline as cp
 from tallyforge.llm import toxicity
+from tallyforge.llm.common import written
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_minhash import brute as components
 from tests.llm.test_pii import plain
@@ -18,7 +19,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [docs.collect()]
     for _, stage in cp.STAGES:
-        docs = cp.written(stage(spark, docs, SF), "stage")
+        docs = written(stage(spark, docs, SF), "stage")
         out.append(docs.collect())
         if len(out) <= len(cp.STAGES):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
