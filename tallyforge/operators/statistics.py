@@ -68,29 +68,10 @@ def block(samples: DataFrame, by: str, x: str, target: float, direction: str = "
 
 
 def percentiles_by_rank(samples: DataFrame, x: str, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
-    """Exact type-7 percentiles of a very long column: a range sort, counts per partition, and the two ranks beside each percentile.
-
-    ``percentile`` keeps all distinct values of a group in memory; this keeps none. Nulls are left out.
-    """
-    spark = samples.sparkSession
-    sorted_ = samples.where(F.col(x).isNotNull()).select(F.col(x).alias("x")).repartitionByRange("x").sortWithinPartitions("x").withColumn("part", F.spark_partition_id())
-    sizes = {r.part: r.n for r in sorted_.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    n, starts, at = sum(sizes.values()), {}, 0
-    for p in sorted(sizes):
-        starts[p] = at
-        at += sizes[p]
-    if not n:
-        return spark.createDataFrame([], "percent double, value double")
-    need = sorted({int(p * (n - 1)) + k for p in percents for k in (0, 1) if int(p * (n - 1)) + k < n})
-    base = F.create_map(*[F.lit(v) for p in starts for v in (p, starts[p])])
-    rank = F.try_element_at(base, F.col("part")) + F.row_number().over(W.partitionBy("part").orderBy("x")) - 1
-    at_rank = {r.r: r.x for r in sorted_.withColumn("r", rank).where(F.col("r").isin(*need)).select("r", "x").collect()}
-    rows = []
-    for p in percents:
-        lo, part = int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))
-        a = float(at_rank[lo])
-        rows.append((p, a + part * (float(at_rank.get(lo + 1, a)) - a)))
-    return spark.createDataFrame(rows, "percent double, value double")
+    """(percent, value): exact type-7 percentiles of a very long column; no rows for one without values. Nulls are left out."""
+    q = percentiles(samples.select(F.lit(0).alias("_all"), F.col(x)), ["_all"], x, percents)
+    rows = q.select(F.posexplode("q").alias("i", "value")).where("value is not null")
+    return rows.select(F.get(F.array(*map(F.lit, percents)), F.col("i")).alias("percent"), F.col("value").cast("double").alias("value"))
 
 
 def cdf(samples: DataFrame, by: str, x: str, points: int = 201) -> DataFrame:
@@ -136,11 +117,15 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((F.count(x) >= 2) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+def _ranks(df: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
+    values = _placed(df, by, x)[0]
+    return values.select(*by, F.col("_x").alias(x), (F.col("_below") + (F.col("_c") + 1) / 2.0).cast("double").alias(out))
+
+
 def ranks(df: DataFrame, by: str, x: str, out: str) -> DataFrame:
-    """(by, x, out): rank of each value with ties at their mean, from counts per value instead of a sort of all rows in one task per output."""
-    counts = df.groupBy(by, x).agg(F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(W.partitionBy(by).orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(by, x, (below + (F.col("c") + 1) / 2.0).cast("double").alias(out))
+    """(by, x, out): rank of each value with ties at their mean. Values are counted, then placed by a range sort over all groups,
+    so neither ties nor a group of many values meet in one task."""
+    return _ranks(df, [by], x, out)
 
 
 def average_rank(df: DataFrame, by: str, x: str, out: str) -> DataFrame:
@@ -150,13 +135,13 @@ def average_rank(df: DataFrame, by: str, x: str, out: str) -> DataFrame:
 def sensitivity(samples: DataFrame, by: str, output: str, inputs: list[str]) -> DataFrame:
     """Per output and input: Pearson, Spearman, share of the squared rank correlations, place.
 
-    All rank tables come from the samples themselves, so the plan grows with the inputs and not with their powers.
+    Inputs are turned into rows once and ranked together, so there is one join for all of them and one for the output.
     """
-    ranked = samples.join(ranks(samples, by, output, "r_out"), [by, output])
-    for i in inputs:
-        ranked = ranked.join(ranks(samples, by, i, f"r_{i}"), [by, i])
-    wide = ranked.groupBy(by).agg(*[F.struct(F.lit(i).alias("input"), pearson(F.col(i), F.col(output)).alias("pearson"), pearson(F.col(f"r_{i}"), F.col("r_out")).alias("spearman")).alias(i) for i in inputs])
-    rows = wide.select(by, F.inline(F.array(*inputs)))
+    ranked = samples.join(ranks(samples, by, output, "_r_out"), [by, output])
+    rows = F.inline(F.array(*[F.struct(F.lit(i).alias("input"), F.col(i).cast("double").alias("_v")) for i in inputs]))
+    long = ranked.select(by, F.col(output).alias("_out"), "_r_out", rows).where("_v is not null")
+    both = _same(long, _ranks(long, [by, "input"], "_v", "_r"), [by, "input", "_v"])
+    rows = both.groupBy(by, "input").agg(pearson(F.col("_v"), F.col("_out")).alias("pearson"), pearson(F.col("_r"), F.col("_r_out")).alias("spearman"))
     square = F.coalesce(F.col("spearman") * F.col("spearman"), F.lit(0.0))
     total = F.sum(square).over(W.partitionBy(by))
     rows = rows.withColumn("share", F.when(total > 0, square / total).otherwise(0.0))
