@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import first_amount, in_thousands, looks_delimited, match_label, strip_markup
 from ..operators.notices import MOST_BYTES, why_unreadable
@@ -198,6 +199,8 @@ def statement_facts(pages: DataFrame, confidence: float = 0.95) -> DataFrame:
     Lines of one page are one array, so nothing is shuffled but the scale of each document.
     """
     scale = pages.groupBy("company_id", "doc").agg(F.max(in_thousands(F.col("text"))).alias("thousands"))
+    # readings of a company follow each other by document, page and line
+    scale = scale.withColumn("doc_no", F.row_number().over(W.partitionBy("company_id").orderBy("doc")).cast("bigint") - 1)
     lines = pages.select("company_id", "doc", "page", F.split("text", "\n").alias("lines"))
     rows = lines.select("company_id", "doc", "page", "lines", F.posexplode("lines").alias("line_no", "line")).withColumn("after", F.coalesce(F.get("lines", F.col("line_no") + 1), F.lit("")))
     rows = rows.withColumn("kind", match_label(F.col("line"))).where("kind is not null")
@@ -207,5 +210,5 @@ def statement_facts(pages: DataFrame, confidence: float = 0.95) -> DataFrame:
     costs = F.col("kind").isin("personnel_costs", "external_costs", "depreciation", "interest_expense", "wages")
     return rows.where("value_ore is not null").select(
         "company_id", "kind", F.when(costs, F.abs("value_ore")).otherwise(F.col("value_ore")).alias("value_ore"), F.lit(confidence).alias("confidence"),
-        (F.col("page").cast("bigint") * 1_000_000 + F.col("line_no")).alias("seq"), "doc", "page", "source_text",
+        (F.col("doc_no") * 1_000_000_000_000 + F.col("page").cast("bigint") * 1_000_000 + F.col("line_no")).alias("seq"), "doc", "page", "source_text",
     )
