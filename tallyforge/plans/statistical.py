@@ -68,42 +68,39 @@ def influence_rank(spark, sf):
     return rounded(st.sensitivity(outputs(spark, sf), "output", "x", ["quantity", "discount", "tax"]).drop("pearson", "spearman"), ("output", "input", "place"))
 
 
-_IT = "(select l_extendedprice as x, l_orderkey + 1000 * l_linenumber as iteration, 'all' as output from lineitem)"
-_CPS = st.checkpoints(20_000)
-_CONV = "with s as (" + " union all ".join(f"select {i} as i, {c}::bigint as checkpoint, count(*) as n, avg(x) as mean, quantile_cont(x, 0.1) as p10, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.9) as p90 from {_IT} where iteration < {c}" for i, c in enumerate(_CPS)) + ")"
+_LINES = "(select l_extendedprice as x, row_number() over (order by l_orderkey, l_linenumber, l_extendedprice) - 1 as iteration from lineitem)"
+_STEPS = "(select unnest(list_transform(range(12), lambda k: 1000 * (10 ** k)::bigint)) as k)"
+_CONV = (
+    f"with it as {_LINES}, c as (select count(*) as n from it), "
+    f"cps as (select k as checkpoint from {_STEPS}, c where k < n union all select 5 * k from {_STEPS}, c where 5 * k < n union all select n from c), "
+    "s as (select row_number() over (order by checkpoint) as i, checkpoint::bigint as checkpoint, count(*) as n, avg(x) as mean, quantile_cont(x, 0.1) as p10, quantile_cont(x, 0.5) as median, "
+    "quantile_cont(x, 0.9) as p90 from it join cps on iteration < checkpoint group by checkpoint)"
+)
+_D = lambda c: f"abs({c} - lag({c}) over (order by i)) / greatest(abs(lag({c}) over (order by i)), abs({c}), p90 - p10)"
+_STABLE = f"coalesce(greatest({_D('mean')}, {_D('median')}) <= 0.01 and greatest({_D('p10')}, {_D('p90')}) <= 0.03, false) as stable"
+_AT = "checkpoint, n, round(mean, 6) as mean, round(p10, 6) as p10, round(median, 6) as median, round(p90, 6) as p90"
 
 
 def _converged(spark, sf):
-    df = read(spark, sf, "lineitem").select(F.lit("all").alias("output"), (F.col("l_orderkey") + 1000 * F.col("l_linenumber")).alias("iteration"), F.col("l_extendedprice").alias("x"))
-    return st.convergence(df, "output", "iteration", "x", 20_000)
+    """Checkpoints over all lines in order of their keys."""
+    lines = st.numbered(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_extendedprice"], "iteration")
+    return st.convergence(lines.select(F.lit("all").alias("output"), "iteration", F.col("l_extendedprice").alias("x")), "output", "iteration", "x")
 
 
-@query("convergence_checkpoints", _CONV + " select checkpoint, n, round(mean, 6) as mean, round(p10, 6) as p10, round(median, 6) as median, round(p90, 6) as p90 from s")
+@query("convergence_checkpoints", _CONV + f" select {_AT} from s")
 def convergence_checkpoints(spark, sf):
     return rounded(_converged(spark, sf).select("checkpoint", "n", "mean", "p10", "median", "p90"), ("checkpoint", "n"))
 
 
-_D = lambda c: f"abs({c} - lag({c}) over (order by i)) / greatest(abs(lag({c}) over (order by i)), abs({c}), p90 - p10)"
-
-
-@query("convergence_stable", _CONV + f" select checkpoint, coalesce(greatest({_D('mean')}, {_D('median')}) <= 0.01 and greatest({_D('p10')}, {_D('p90')}) <= 0.03, false) as stable from s")
+@query("convergence_stable", _CONV + f" select checkpoint, {_STABLE} from s")
 def convergence_stable(spark, sf):
     return _converged(spark, sf).select("checkpoint", "stable")
 
 
-_LINES = "(select l_extendedprice as x, row_number() over (order by l_orderkey, l_linenumber, l_extendedprice) - 1 as iteration from lineitem)"
-_WHOLE = f"with it as {_LINES}, c as (select count(*) as n from it), cps as (select k as checkpoint from (select unnest(list_transform(range(12), lambda k: 1000 * (10 ** k)::bigint)) as k), c where k < n union all select 5 * k from (select unnest(list_transform(range(12), lambda k: 1000 * (10 ** k)::bigint)) as k), c where 5 * k < n union all select n from c), s as (select row_number() over (order by checkpoint) as i, checkpoint::bigint as checkpoint, count(*) as n, avg(x) as mean, quantile_cont(x, 0.1) as p10, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.9) as p90 from it join cps on iteration < checkpoint group by checkpoint)"
-
-
-def _converged_whole(spark, sf):
-    lines = st.numbered(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_extendedprice"], "iteration")
-    return st.convergence(lines.select(F.lit("all").alias("output"), "iteration", F.col("l_extendedprice").alias("x")), "output", "iteration", "x")
-
-
-@query("convergence_whole", _WHOLE + f" select checkpoint, n, round(mean, 6) as mean, round(p10, 6) as p10, round(median, 6) as median, round(p90, 6) as p90, coalesce(greatest({_D('mean')}, {_D('median')}) <= 0.01 and greatest({_D('p10')}, {_D('p90')}) <= 0.03, false) as stable from s")
+@query("convergence_whole", _CONV + f" select {_AT}, {_STABLE} from s")
 def convergence_whole(spark, sf):
-    """As convergence_checkpoints and convergence_stable, whose SQL ends at 20 000, over all lines in order of their keys."""
-    return rounded(_converged_whole(spark, sf).select("checkpoint", "n", "mean", "p10", "median", "p90", "stable"), ("checkpoint", "n", "stable"))
+    """Checkpoints and their stability together."""
+    return rounded(_converged(spark, sf).select("checkpoint", "n", "mean", "p10", "median", "p90", "stable"), ("checkpoint", "n", "stable"))
 
 
 _U = "((p_partkey * 7919) % 10007 + 0.5::double) / 10007::double"
