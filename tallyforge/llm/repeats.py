@@ -27,8 +27,9 @@ from .suffixes import suffix_array
 LENGTH, GRAM = 200, 50
 # Bytes of blocks that are sorted together, up to an anchor's end; and the most of one anchor's. Beyond, its windows are counted.
 SHARD, MOST_OF_ANCHOR = 2 << 20, 256 << 10
-# Up to so many texts are looked up by broadcast lists of their blocks; beyond, by a shuffled join.
-MOST_BROADCAST = 300_000
+# Lists of blocks are broadcast while texts and list items, of at most 32 bytes each, are no more than this (128 MB); beyond,
+# texts are looked up by a shuffled join.
+MOST_BROADCAST = 4 << 20
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -257,5 +258,6 @@ def _with_texts(base: DataFrame, lists: DataFrame, unique: DataFrame, name: str)
     """(text, content, list) for each content with a list, by the smallest id of its rows; the caller drops other texts with that id."""
     lists = written(lists.join(unique.select("content", "rep"), "content"), "lists")
     side = lists.select(F.col("rep").alias("rep_id"), "content", name)
-    side = F.broadcast(side) if lists.count() <= MOST_BROADCAST else side
+    items = lists.agg(F.sum(F.size(name) + 1)).first()[0] or 0
+    side = F.broadcast(side) if items <= MOST_BROADCAST else side
     return base.where("text is not null").join(side, base["doc_id"].eqNullSafe(side["rep_id"])).select("text", "content", name)
