@@ -36,10 +36,6 @@ _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _END = 0xFF  # never in UTF-8
 
 
-def content_id(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
 def blocks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     """Blocks of many texts: text number, first window, windows, anchor, digest of the block's bytes."""
     n = len(data)
@@ -76,22 +72,11 @@ def blocks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     return d, a - offsets[d], windows, grams[anchor[first]].view(np.int64), digest.view(np.int64)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([content_id(t) for t in texts], pa.int64()),
-            pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-        ], ["doc_id", "n_bytes", "content", "sha"])
-
-
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 1 << 20):
-        column = batch.column(0)
-        offsets, data = utf8(column)
+        offsets, data = utf8(batch.column(0))
         d, start, windows, anchor, digest = blocks(offsets, data)
-        raw = data.tobytes()
-        ids = np.array([content_id(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.int64)
+        ids = batch.column(1).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest), pa.array(ids[d]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], ["anchor", "digest", "content", "start", "windows"])
 
 
@@ -102,9 +87,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, content, want in zip(*(batch.column(k) for k in range(3))):
             raw = text.as_py().encode()
-            if content_id(raw) == content.as_py():
-                for b in want.as_py():
-                    rows.append((b["anchor"], content.as_py(), b["start"], b["windows"], b["edge"], raw[b["start"] : b["start"] + b["windows"] - 1 + LENGTH]))
+            for b in want.as_py():
+                rows.append((b["anchor"], content.as_py(), b["start"], b["windows"], b["edge"], raw[b["start"] : b["start"] + b["windows"] - 1 + LENGTH]))
         for at in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000]), kinds)], ["anchor", "content", "start", "windows", "edge", "bytes"])
 
@@ -182,8 +166,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, content, runs in zip(*(batch.column(k).to_pylist() for k in range(3))):
             raw = text.encode()
-            if content_id(raw) != content:
-                continue
             spans: list[list[int]] = []
             for a, b in sorted((r["first"], r["last"] + LENGTH) for r in runs):
                 if spans and a <= spans[-1][1]:
@@ -211,12 +193,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     worked on once and all go whole if they have LENGTH bytes. Ids may be null or repeated: a row's text alone decides.
     Other columns are not read. An empty table gives no rows.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    meta = written(base.mapInArrow(_measured, "doc_id bigint, n_bytes bigint, content bigint, sha string"), "meta")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    body = F.coalesce("text", F.lit(""))
+    meta = written(base.select("doc_id", F.octet_length(body).cast("bigint").alias("n_bytes"), "content", F.sha2(body, 256).alias("sha")), "meta")
     unique = meta.groupBy("content").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
     unique = written(unique, "contents")
     columns = ["anchor", "digest", "content", "start", "windows"]
-    found = base.select("text").where("text is not null").mapInArrow(_blocked, "anchor bigint, digest bigint, content bigint, start int, windows int")
+    found = base.select("text", "content").where("text is not null").mapInArrow(_blocked, "anchor bigint, digest bigint, content bigint, start int, windows int")
     # copies of a text meet first; all after that are sums that are combined before they are shuffled, and joins
     found = written(found.groupBy(*columns).agg(F.lit(1).alias("one")).drop("one"), "distinct_blocks")
     place = F.xxhash64("content", "start")
@@ -255,9 +238,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def _with_texts(base: DataFrame, lists: DataFrame, unique: DataFrame, name: str) -> DataFrame:
-    """(text, content, list) for each content with a list, by the smallest id of its rows; the caller drops other texts with that id."""
+    """(text, content, list) for each content with a list: its text in the rows with its smallest id. Both keys count, so neither
+    rows that share an id, or have none, nor copies of a text multiply."""
     lists = written(lists.join(unique.select("content", "rep"), "content"), "lists")
-    side = lists.select(F.col("rep").alias("rep_id"), "content", name)
+    side = lists.select(F.col("rep").alias("rep_id"), F.col("content").alias("of"), name)
     items = lists.agg(F.sum(F.size(name) + 1)).first()[0] or 0
     side = F.broadcast(side) if items <= MOST_BROADCAST else side
-    return base.where("text is not null").join(side, base["doc_id"].eqNullSafe(side["rep_id"])).select("text", "content", name)
+    return base.where("text is not null").join(side, (base["content"] == side["of"]) & base["doc_id"].eqNullSafe(side["rep_id"])).select("text", "content", name)

@@ -73,6 +73,26 @@ def test_as_all_windows(spark, seed, monkeypatch):
     assert all(sum(s.end - s.start for s in x.spans) == x.n_removed for x in got)
 
 
+@pytest.mark.parametrize("most", [repeats.MOST_BROADCAST, 0])
+def test_rows_without_ids_do_not_multiply(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST_BROADCAST", most)
+    met, join = [], repeats._with_texts
+
+    def counted(*given):
+        met.append(join(*given))
+        return met[-1]
+
+    monkeypatch.setattr(repeats, "_with_texts", counted)
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdeé \n") for _ in range(n))
+    shared = text(260)
+    texts = [text(40) + shared[: r.choice([210, 260])] + text(40) for _ in range(90)]
+    rows = [(None if i % 3 else i, t) for i, t in enumerate(texts)]
+    got = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == sorted(brute(texts))
+    assert len(met) >= 2 and all(m.count() <= len(texts) for m in met)
+
+
 def test_empty(spark):
     assert repeats.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
