@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import HUB, MOST_HUBS, slices, utf8, written
 from .shingles import mix
 from .suffixes import suffix_array
 
@@ -225,8 +225,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     lists = runs.groupBy("content").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kept = written(_with_texts(base, lists, unique, "runs").mapInArrow(_kept, _KEPT).dropDuplicates(["content"]), "kept")
 
+    # texts of very many rows, at most MOST_HUBS of them, are known to be copies and need no runs; the rest meets by text
+    many = max(HUB, (unique.agg(F.sum("n")).first()[0] or 0) // MOST_HUBS)
+    hubs = F.broadcast(unique.where(F.col("n") > many).select("content", "n"))
+    kept = kept.withColumnRenamed("sha", "left")
+    rows = meta.join(hubs, "content", "left_anti").join(unique.select("content", "n"), "content").join(kept, "content", "left")
+    rows = rows.unionByName(meta.join(hubs, "content"), allowMissingColumns=True)
     copied = (F.col("n") > 1) & (F.col("n_bytes") >= LENGTH)
-    rows = meta.join(unique.select("content", "n"), "content").join(kept.withColumnRenamed("sha", "left"), "content", "left")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
     return rows.select(
         "doc_id", "n_bytes",

@@ -93,6 +93,14 @@ def test_rows_without_ids_do_not_multiply(spark, monkeypatch, most):
     assert len(met) >= 2 and all(m.count() <= len(texts) for m in met)
 
 
+def test_hot_copies_are_not_joined_by_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HUB", 5)
+    test_as_all_windows(spark, 5, monkeypatch)
+    texts = ["y" * 300] * 9 + ["z" * 20] * 9 + [None] * 9 + ["y" * 250, "y" * 230] * 2
+    got = repeats.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == dict(enumerate(brute(texts)))
+
+
 def test_empty(spark):
     assert repeats.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
