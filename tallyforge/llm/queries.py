@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license, minhash, mixing, pii, repeats, tokencount, toxicity, vectors
+from . import balls, chat, decontaminate, lexical, license, minhash, mixing, pii, quality, repeats, tokencount, toxicity, vectors
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -66,6 +66,21 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.index(table(spark, sf_dir, "documents"))
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"))
+    lexical.drop(index)
+    return found
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
     "op10_chat_windows": op10_chat_windows,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_ball_clusters": op13_ball_clusters,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op8_license_scan": license.oracle(), "op9_source_mix": mixing.ORACLE, "op10_chat_windows": chat.ORACLE}
+ORACLES: dict[str, str] = {"op8_license_scan": license.oracle(), "op9_source_mix": mixing.ORACLE, "op10_chat_windows": chat.ORACLE, "op12_ranked_search": lexical.ORACLE, "op13_ball_clusters": balls.ORACLE}
