@@ -65,29 +65,32 @@ def _lists(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-
-    def block() -> pa.RecordBatch:
-        columns = [pa.array([number]), pa.array([len(ids)]), pa.array([sum(lengths)]), _lists(ids, pa.int64()), _lists(lengths, pa.int64()), _lists(ends, pa.int32()), _lists(list(vocabulary), pa.binary()), _lists(term, pa.int32()), _lists(tf, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCKS.split(", ")])
-
-    ids, lengths, ends, vocabulary, term, tf = [], [], [], {}, [], []
-    for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            counts = Counter(terms(text.as_py()))
-            if not counts:
-                continue
-            if ids and (len(ids) >= BLOCK_DOCS or len(term) + len(counts) > BLOCK_POSTINGS):
-                yield block()
-                number, ids, lengths, ends, vocabulary, term, tf = number + 1, [], [], [], {}, [], []
-            term += [vocabulary.setdefault(t, len(vocabulary)) for t in counts]
-            tf += counts.values()
-            ids.append(doc_id)
-            lengths.append(sum(counts.values()))
-            ends.append(len(term))
-    if ids:
-        yield block()
+def _blocked(docs: int, postings: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+
+        def block() -> pa.RecordBatch:
+            columns = [pa.array([number]), pa.array([len(ids)]), pa.array([sum(lengths)]), _lists(ids, pa.int64()), _lists(lengths, pa.int64()), _lists(ends, pa.int32()), _lists(list(vocabulary), pa.binary()), _lists(term, pa.int32()), _lists(tf, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCKS.split(", ")])
+
+        ids, lengths, ends, vocabulary, term, tf = [], [], [], {}, [], []
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                counts = Counter(terms(text.as_py()))
+                if not counts:
+                    continue
+                if ids and (len(ids) >= docs or len(term) + len(counts) > postings):
+                    yield block()
+                    number, ids, lengths, ends, vocabulary, term, tf = number + 1, [], [], [], {}, [], []
+                term += [vocabulary.setdefault(t, len(vocabulary)) for t in counts]
+                tf += counts.values()
+                ids.append(doc_id)
+                lengths.append(sum(counts.values()))
+                ends.append(len(term))
+        if ids:
+            yield block()
+
+    return run
 
 
 def _values(column: pa.Array, row: int) -> np.ndarray:
@@ -118,7 +121,7 @@ def _maxima(n_docs: int, n_terms: int):
 def index(docs: DataFrame) -> Index:
     """The index of all rows of ``docs``, written to the shared folder. Only doc_id and text are read; documents without a
     term are in no block; rows with equal or no ids are documents of their own. A text's terms are in one task's memory."""
-    blocks = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_blocked, BLOCKS), "blocks")
+    blocks = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_blocked(BLOCK_DOCS, BLOCK_POSTINGS), BLOCKS), "blocks")
     n_docs, n_terms = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     maxima = written(blocks.select("block", "lengths", "ends", "terms", "term", "tf").mapInArrow(_maxima(n_docs, n_terms), MAXIMA), "maxima")
     return Index(blocks, maxima, n_docs, n_terms)
@@ -183,7 +186,7 @@ def _bounds(items: Items):
 FOUND = "item int, doc_id bigint, score bigint"
 
 
-def _scored(items: Items, k: int, least: dict[int, int], n_docs: int, n_terms: int):
+def _scored(items: Items, k: int, least: dict[int, int], n_docs: int, n_terms: int, tile: int):
     """The task's ``k`` best documents of each item, of the blocks that were chosen for it."""
     order = lambda x: (-x[0], x[1] is None, x[1] or 0)
 
@@ -213,8 +216,8 @@ def _scored(items: Items, k: int, least: dict[int, int], n_docs: int, n_terms: i
                 ids, chosen = block["ids"][row].as_py(), np.sort(_values(block["items"], row))
                 column = np.full(len(items.weight), -1)
                 column[known] = np.arange(len(known))
-                for at in range(0, len(chosen), TILE):
-                    part = chosen[at : at + TILE]
+                for at in range(0, len(chosen), tile):
+                    part = chosen[at : at + tile]
                     t = np.concatenate([items.term[items.starts[i] : items.starts[i + 1]] for i in part])
                     of = np.repeat(np.arange(len(part)), items.starts[part + 1] - items.starts[part])
                     here = column[t] >= 0
@@ -279,7 +282,7 @@ def _search_part(index: Index, rows: list, k: int, count: dict | None) -> tuple[
             count["scored"] = count.get("scored", 0) + pairs
         if pairs:
             read = index.blocks.select("block", "ids", "lengths", "ends", "terms", "term", "tf").join(F.broadcast(chosen) if pairs <= MOST_CHOSEN else chosen, "block")
-            found = read.mapInArrow(_scored(items, k, least, index.n_docs, index.n_terms), FOUND)
+            found = read.mapInArrow(_scored(items, k, least, index.n_docs, index.n_terms, TILE), FOUND)
             previous, top = top, written(_best(found if top is None else found.union(top.drop("rank")), k), "top")
             if previous is not None:
                 discard(previous)
