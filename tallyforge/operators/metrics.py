@@ -1,4 +1,4 @@
-"""Metrics from an event log: buckets, quantiles of buckets, text exposition."""
+"""Metrics from an event log: buckets, quantiles of buckets, text exposition, growth and absence of counters."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import label_escape
+from .ordered import MOST_ROWS, log, scan
 
 
 def buckets(events: DataFrame, by: str, value: str, bounds: tuple[float, ...]) -> DataFrame:
@@ -31,3 +32,44 @@ def exposition(samples: DataFrame, name: Column, labels: dict[str, Column], valu
     pairs = [F.concat(F.lit(f'{k}="'), label_escape(v), F.lit('"')) for k, v in sorted(labels.items())]
     number = F.when(value == value.cast("bigint"), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
     return samples.select(F.concat(name, F.lit("{"), F.concat_ws(",", *pairs), F.lit("} "), number).alias("line"))
+
+
+def deltas(samples: DataFrame, series: list[str], order: list[str], value: Column, most: int = MOST_ROWS) -> DataFrame:
+    """``samples`` of counters with delta: how much each has grown since the sample before it in its series, null for the first. A value
+    below the one before means the counter began again at nothing, so the whole value is growth. Samples without a value are
+    left out."""
+    rows = samples.withColumn("_v", value).where(F.col("_v").isNotNull())
+    rows = scan(log(rows, series, order, most), _p=("before", F.col("_v"))).done()
+    grown = F.when(F.col("_v") < F.col("_p"), F.col("_v")).otherwise(F.col("_v") - F.col("_p"))
+    return rows.withColumn("delta", grown).drop("_v", "_p")
+
+
+def increase(samples: DataFrame, series: list[str], order: list[str], value: Column, step: str, most: int = MOST_ROWS) -> DataFrame:
+    """Growth of each series in each step that has samples: series, step_start, n, increase, rate (a second). Growth between two samples
+    counts for the step of the later one; nothing is extrapolated to a step's edges. ``order`` begins with the time."""
+    rows = deltas(samples, series, order, value, most)
+    w = F.window(F.col(order[0]).cast("timestamp"), step)
+    out = rows.groupBy(*series, w.alias("_w")).agg(F.count("*").alias("n"), F.coalesce(F.sum("delta"), F.lit(0)).alias("increase"))
+    seconds = F.unix_timestamp("_w.end") - F.unix_timestamp("_w.start")
+    return out.select(*series, F.col("_w.start").alias("step_start"), "n", "increase", (F.col("increase") / seconds).alias("rate"))
+
+
+def absent(samples: DataFrame, series: list[str], ts: str, step: str) -> DataFrame:
+    """Steps between a table's first and last sample in which a series has none: series, step_start. The steps are made for each
+    series' own row, so as many as there are series and steps, and those with samples are taken away."""
+    w = F.window(F.col(ts).cast("timestamp"), step)["start"]
+    there = samples.where(F.col(ts).isNotNull()).select(*series, w.alias("step_start")).distinct()
+    a, b = there.agg(F.min("step_start"), F.max("step_start")).first()
+    if a is None:
+        return there
+    steps = F.sequence(F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp"), F.expr(f"interval {step}"))
+    spine = there.select(*series).distinct().withColumn("step_start", F.explode(steps))
+    same = F.lit(True)
+    for c in [*series, "step_start"]:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return spine.alias("s").join(there.alias("t"), same, "left_anti")
+
+
+def clamp_min(x: Column, least: float) -> Column:
+    """``x``, or ``least`` where that is more; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(least)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import graph, store
+from ..operators import budgets, graph, store
 from .adapters import ore, read
 from .catalog import query
 
@@ -190,9 +190,9 @@ def document_rows(spark, sf):
 
 @query("budget_running_total", "select user_id, event_id, total, exceeded from (select user_id, event_id, sum(c) over w as total, sum(c) over w > 300000 as exceeded from (select *, cast(round(value * 1000) as bigint) as c from events) window w as (partition by user_id order by ts, event_id rows unbounded preceding))".replace("sum(c) over w as total", "(sum(c) over w)::bigint as total"))
 def budget_running_total(spark, sf):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum(F.round(F.col("value") * 1000).cast("bigint")).over(w)
-    return read(spark, sf, "events").select("user_id", "event_id", total.alias("total"), (total > 300_000).alias("exceeded"))
+    cost = F.round(F.col("value") * 1000).cast("bigint")
+    rows = budgets.charged(read(spark, sf, "events"), "user_id", ["ts", "event_id"], cost, F.lit(300_001))
+    return rows.select("user_id", "event_id", F.col("spent").alias("total"), "exceeded")
 
 
 @query("token_cost", "select conv_id, turn, (strlen(text) // 3 + 1)::bigint as tokens, (((strlen(text) // 3 + 1) * 2750 + 999999) // 1000000)::bigint as cost from conversations")

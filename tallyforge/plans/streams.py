@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import metrics
+from ..operators import lockout, metrics
 from ..streaming import jobs
 from .adapters import EVENT_OF, job_events, read
 from .catalog import query
@@ -91,9 +91,8 @@ def session_refresh(spark, sf):
 @query("failed_attempts", "select user_id, max(run)::int as longest, max(run) >= 4 as locked from (select user_id, count(*) filter (where event_type = 'error') as run from (select *, sum((event_type <> 'error')::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as grp from events) group by user_id, grp) group by user_id")
 def failed_attempts(spark, sf):
     """Longest run of failures per user; a success resets the count."""
-    grp = F.sum((F.col("event_type") != "error").cast("int")).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
-    runs = read(spark, sf, "events").withColumn("grp", grp).groupBy("user_id", "grp").agg(F.count_if(F.col("event_type") == "error").cast("int").alias("run"))
-    return runs.groupBy("user_id").agg(F.max("run").alias("longest"), (F.max("run") >= 4).alias("locked"))
+    found = lockout.attempts(read(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 4)
+    return found.select("user_id", F.col("longest").cast("int").alias("longest"), "locked")
 
 
 @query("failure_streak", "select user_id, (count(*) filter (where event_id > coalesce(last_ok, -1)))::int as streak from (select *, max(case when event_type <> 'error' then event_id end) over (partition by user_id) as last_ok from events) group by user_id")
