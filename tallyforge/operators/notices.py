@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import content as ct
 from ..functions.money import display
 from .facts import contradictions, implausible
+from .tables import put
 
 # The most bytes of a file that are read, and why some types are not read.
 MOST_BYTES = 64 << 20
@@ -97,12 +98,13 @@ def uncovered_years(companies: DataFrame, constants: DataFrame) -> DataFrame:
     return companies.join(F.broadcast(years), "tax_year", "left_anti")
 
 
-def append(rows: DataFrame, path: str, *by: str) -> None:
-    """Adds rows to a table that is only ever appended to (facts, audit), partitioned ``by``."""
-    rows.write.mode("append").partitionBy(*by).parquet(path)
+def append(rows: DataFrame, path: str, batch: str, *by: str) -> bool:
+    """Adds rows to a table that is only ever appended to (facts, audit), partitioned ``by``, once for each batch id; False if they are
+    there already. ``tables.rows_of`` reads them."""
+    return put(rows, path, batch, *by)
 
 
-def audit(spark: SparkSession, path: str, events: DataFrame) -> None:
-    """Appends events (actor, event, subject, detail) to the audit log with the time and the day they are kept under."""
+def audit(spark: SparkSession, path: str, events: DataFrame, batch: str) -> bool:
+    """Adds events (actor, event, subject, detail) to the audit log with the time and the day they are kept under, once for each batch id."""
     at = events.select("actor", "event", "subject", "detail", F.current_timestamp().alias("at"))
-    append(at.withColumn("day", F.to_date("at")), path, "day")
+    return append(at.withColumn("day", F.to_date("at")), path, batch, "day")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,46 +46,44 @@ def discard(*tables: DataFrame) -> None:
 def put(rows: DataFrame, path: str, batch: str, *by: str) -> bool:
     """Adds rows to a table once for each batch id: False, and nothing written, if that batch is there.
 
-    The rows are written beside the table under a name of their own and published by one rename to ``_batch=<id>``, which fails
-    if another writer was first. What a killed writer left is in no reader's way, as ``rows_of`` reads published batches only.
-    Partitioned by ``by`` within the batch. Usable as foreachBatch with the epoch as batch id.
+    The rows are written in the table's folder under a hidden name and published by one rename to ``_batch=<id>``; readers see a batch
+    whole or not at all, where renames are atomic. What a killed writer left stays hidden until ``clear_pending``. Partitioned
+    ``by`` columns within the batch. Usable in foreachBatch with the epoch as batch id.
     """
     spark = rows.sparkSession
     name = str(batch)
-    if not name or any(c in name for c in "/=\\ ") or name.startswith((".", "_")):
+    if not name or any(c in name for c in "/=\\% ") or name.startswith((".", "_")):
         raise ValueError(f"not a batch id: {batch!r}")
     fs, done = _place(spark, f"{path}/_batch={name}")
     if fs.exists(done):
         return False
-    _, mine = _place(spark, f"{path}/.pending-{name}-{uuid.uuid4().hex}")
+    own = f".pending-{name}-{uuid.uuid4().hex}"
+    _, mine = _place(spark, f"{path}/{own}")
     rows.write.partitionBy(*by).parquet(mine.toString())
-    # a rename onto a folder that is there would move into it: the marker's exclusive creation decides between writers
-    _, claim = _place(spark, f"{path}/.claim-{name}")
-    if not fs.createNewFile(claim):
-        if fs.exists(done):
-            fs.delete(mine, True)
-            return False
-        # a writer was killed between claim and rename, or is at it: its pending rows are the same batch, so ours may stand in
-    if fs.exists(done) or not fs.rename(mine, done):
+    _, inside = _place(spark, f"{path}/_batch={name}/{own}")
+    if not fs.rename(mine, done):
         fs.delete(mine, True)
         return False
+    if fs.exists(inside):
+        # another writer was first, so ours was moved into its folder, where its hidden name keeps it from readers
+        fs.delete(inside, True)
+        return False
     return True
 
 
 def rows_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All published rows of a table that ``put`` adds to, without the batch; an empty table if there is none."""
+    """All published rows of a table that ``put`` adds to; no rows if there is none. What is pending has a hidden name."""
     fs, p = _place(spark, path)
-    batches = [s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("_batch=")] if fs.exists(p) else []
-    if not batches:
+    if not fs.exists(p):
         return spark.createDataFrame([], schema)
-    out = None
-    read = spark.read.schema(schema)
-    for at in range(0, len(batches), 1000):
-        parts = [b for b in batches[at : at + 1000]]
-        one = None
-        for b in parts:
-            df = read.option("basePath", b).parquet(b)
-            one = df if one is None else one.unionByName(df)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return spark.read.schema(schema + ", _batch string").parquet(path).drop("_batch")
 
+
+def clear_pending(spark: SparkSession, path: str, older_than_s: int = 86_400) -> int:
+    """Deletes what killed writers left: pending folders that have not changed for so long. Returns how many."""
+    fs, p = _place(spark, path)
+    limit = (time.time() - older_than_s) * 1000
+    left = [s for s in fs.listStatus(p) if s.getPath().getName().startswith(".pending-") and s.getModificationTime() < limit] if fs.exists(p) else []
+    for s in left:
+        fs.delete(s.getPath(), True)
+    return len(left)

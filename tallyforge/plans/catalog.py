@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import content, guards, notices, queue, relational, statement, rulesets, statistical, streams, texts  # noqa: E402,F401
+from . import content, guards, notices, queue, records, relational, rulesets, statement, statistical, streams, texts  # noqa: E402,F401

@@ -173,7 +173,41 @@ def _edges(spark, sf):
 def evidence_closure(spark, sf):
     """All that each supplier's evidence reaches; as many rows as there are such pairs."""
     edges = _edges(spark, sf)
-    return graph.reachable(edges, edges.where("src like 's%'").select(F.col("src").alias("node")))
+    return graph.pairs(graph.reach(edges, edges.where("src like 's%'").select(F.col("src").alias("node"))))
+
+
+_TYPED = (
+    "with e as (select 1000000000000 + l_suppkey as src, 2000000000000 + l_partkey as dst from lineitem union select 2000000000000 + l_partkey, 3000000000000 + l_orderkey from lineitem "
+    "union select 3000000000000 + o_orderkey, 4000000000000 + o_custkey from orders), "
+    "sp as (select src as s, dst as n from e where src < 2000000000000), so as (select distinct s, dst as n from sp join e on src = n), sc as (select distinct s, dst as n from so join e on src = n), "
+    "r as (select * from sp union all select * from so union all select * from sc)"
+)
+
+
+def _typed_edges(spark, sf):
+    """Evidence edges with numbers for nodes, a range for each kind: suppliers, parts, orders, customers."""
+    node = lambda kind, c: (F.lit(kind * 10**12) + F.col(c)).cast("bigint")
+    lines, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
+    return lines.select(node(1, "l_suppkey").alias("src"), node(2, "l_partkey").alias("dst")).union(lines.select(node(2, "l_partkey"), node(3, "l_orderkey"))).union(orders.select(node(3, "o_orderkey"), node(4, "o_custkey")))
+
+
+def _suppliers_reach(spark, sf):
+    edges = _typed_edges(spark, sf)
+    return graph.reach(edges, edges.where("src < 2000000000000").select(F.col("src").alias("node")))
+
+
+@query("evidence_classes", _TYPED + """,
+n as (select n as node, string_agg(s::varchar, ',' order by s) as starts, count(*) as n_starts from r group by n)
+select node, min(node) over (partition by starts) as class, n_starts from n""")
+def evidence_classes(spark, sf):
+    """Every node that evidence reaches, in classes of nodes that rest on the same suppliers: one row a node, not one a pair."""
+    return graph.node_classes(_suppliers_reach(spark, sf))
+
+
+@query("evidence_reach", _TYPED + " select s as start, count(*) as n_nodes from r group by s")
+def evidence_reach(spark, sf):
+    """How many nodes would fall with each supplier."""
+    return graph.start_counts(_suppliers_reach(spark, sf))
 
 
 @query("affected_findings", _LAYERS + "select 'c' || c as node from sc where s = 3")

@@ -66,6 +66,6 @@ def test_broken_files(spark, tmp_path):
 def test_appends(spark, tmp_path):
     path = str(tmp_path / "audit")
     rows = spark.createDataFrame([("u", "login", "s", json.dumps({}))], "actor string, event string, subject string, detail string")
-    notices.audit(spark, path, rows)
-    notices.audit(spark, path, rows)
+    assert notices.audit(spark, path, rows, "1") and notices.audit(spark, path, rows, "2")
+    assert not notices.audit(spark, path, rows, "1")
     assert spark.read.parquet(path).count() == 2
