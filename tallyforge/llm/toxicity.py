@@ -294,3 +294,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     grammar = learn(docs, labels.where(~held_out(F.col("doc_id"))))
     return docs.withColumn("score", score(docs.sparkSession, F.col("text"), grammar))
+
+
+def clean(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``most``, with all their columns as they are, one named score included."""
+    grammar = learn(docs, labels.where(~held_out(F.col("doc_id"))))
+    return docs.where(score(docs.sparkSession, F.col("text"), grammar) < most)

@@ -93,10 +93,33 @@ def test_empty_documents(spark):
     assert tx.scored(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
 
 
+def test_clean_keeps_columns(spark):
+    r = random.Random(8)
+    other = lambda: " ".join("".join(r.choice("acdefghi") for _ in range(7)) for _ in range(20))
+    rows = [(i, f"{other()} you blorg {other()}" if i % 3 == 0 else other(), 42.0, "mine") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    kept = tx.clean(docs, labels)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {x.doc_id for x in got} == {i for i in range(300) if i % 3} and {(x.score, x.toxic) for x in got} == {(42.0, "mine")}
+
+
+def test_very_long_and_repeated(spark):
+    long = "a plain word . " * 300_000
+    docs = spark.createDataFrame([(1, long), (2, long + "you blorg"), (2, "you blorg"), (2, "you blorg")], "doc_id long, text string")
+    grammar = tx.Grammar({"blorg": 1.0})
+    got = docs.select("doc_id", "text", tx.score(spark, docs["text"], grammar).alias("s")).collect()
+    assert [x.s > 0.5 for x in got] == [False, True, True, True] and got[2].s == got[3].s
+
+
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    """Better than saying 0 of everything, which is right for 88 of 100 and finds nothing."""
+    sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, sf).collect()}
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r.doc_id].held_out]
-    right = sum(got[r.doc_id].predicted == r.toxic for r in labels)
-    assert right / len(labels) > 0.9
-    assert not any(got[r.doc_id].predicted and not r.toxic for r in labels)
+    toxic = [r for r in labels if r.toxic]
+    found = [r for r in labels if got[r.doc_id].predicted]
+    right = sum(r.toxic for r in found)
+    assert len(toxic) > 50 and right / len(toxic) >= 0.75 and right / len(found) >= 0.8
+    assert sum(got[r.doc_id].predicted == r.toxic for r in labels) / len(labels) > 1 - len(toxic) / len(labels) + 0.05
