@@ -15,7 +15,7 @@ from tallyforge.llm.common import discard, settled, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5, learnt from the labels that are not held out."""
-    return toxicity.scored(docs, table(spark, sf_dir, "labels")).where("score < 0.5").select(*docs.columns)
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
