@@ -15,16 +15,30 @@ def _seconds(n) -> Column:
     return F.make_dt_interval(secs=F.lit(n) if isinstance(n, (int, float)) else n)
 
 
+# Idle workers that are broadcast; beyond, a shuffled join hands out the jobs.
+MOST_WORKERS = 100_000
+
+
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key: the first by the column ``at`` where there is one, else, and among equals, the least of its values in order."""
+    others = sorted((c for c in rows.columns if c != key), key=lambda c: (c != "at", rows.columns.index(c)))
+    return rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others])
+
+
 def claim(jobs: DataFrame, now: Column, workers: DataFrame, leases: dict[str, int]) -> DataFrame:
     """The oldest queued and due jobs of each kind, one for each idle worker (kind, worker), become running with a lease.
 
-    ``leases``: minutes by kind. Only the first ranks of a kind are kept per partition before they are shuffled.
+    ``leases``: minutes by kind; a worker of a kind without one raises, as its job's lease would never end. Only the first ranks
+    of a kind are kept per partition before they are shuffled.
     """
     order = W.partitionBy("kind").orderBy("run_after", "job_id")
-    most = workers.groupBy("kind").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    unknown = F.when(~F.coalesce(F.col("kind").isin(list(leases)), F.lit(False)), F.coalesce("kind", F.lit("null")))
+    most, idle, odd = workers.groupBy("kind").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0)), F.min(unknown)).first()
+    if odd is not None:
+        raise ValueError(f"no lease for jobs of kind {odd}")
     hands = workers.select("kind", "worker", F.row_number().over(W.partitionBy("kind").orderBy("worker")).alias("place"))
     due = jobs.where((F.col("state") == "queued") & (F.col("run_after") <= now)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= int(most))
-    taken = due.join(F.broadcast(hands), ["kind", "place"]).select("job_id", "worker")
+    taken = due.join(F.broadcast(hands) if idle <= MOST_WORKERS else hands, ["kind", "place"]).select("job_id", "worker")
     minutes = F.element_at(F.create_map(*[F.lit(x) for k, m in leases.items() for x in (k, m)]), F.col("kind"))
     out = jobs.join(taken, "job_id", "left")
     mine = F.col("worker").isNotNull()
@@ -72,8 +86,9 @@ def reap(jobs: DataFrame, now: Column, wait_s: int = 30) -> tuple[DataFrame, Dat
 
 def finish(jobs: DataFrame, results: DataFrame, wait: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Results (job_id, ok, permanent, error) of running jobs: (jobs, log, dead letters). A failure that is not permanent
-    retries at ``wait``, or dies after the last attempt; results of jobs that do not run change nothing."""
-    rows = jobs.join(results.dropDuplicates(["job_id"]), "job_id", "left")
+    retries at ``wait``, or dies after the last attempt; results of jobs that do not run change nothing. Of several results of a
+    job the first counts: by the column ``at``, or else the least of the others in order (a failure before a success)."""
+    rows = jobs.join(_first(results, "job_id").drop("at"), "job_id", "left")
     ran = F.col("state") == "running"
     last = F.col("attempt") >= F.col("max_attempts")
     event = F.when(ran & F.col("ok"), "completed").when(ran & ~F.col("ok") & F.col("permanent"), "failed").when(ran & ~F.col("ok") & last, "attempts_exhausted").when(ran & ~F.col("ok"), "failed_transiently")
@@ -93,10 +108,11 @@ def claim_notifications(notes: DataFrame, now: Column, limit: int = 100) -> Data
 
 def record_delivery(notes: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """Outcomes (note_id, went, error) of deliveries: channels that went out join those before, if they were asked for;
-    with an error the note waits 30 s, doubled per attempt up to six, or fails after its last one."""
-    rows = notes.join(outcomes.dropDuplicates(["note_id"]).withColumn("seen", F.lit(True)), "note_id", "left")
-    hit = F.col("seen").isNotNull()
-    reached = F.array_intersect(F.array_sort(F.array_distinct(F.concat("delivered", "went"))), F.col("channels"))
+    with an error the note waits 30 s, doubled per attempt up to six, or fails after its last one. A null list is an empty one. Of
+    several outcomes of a note the first counts, as with results of jobs."""
+    rows = notes.join(_first(outcomes, "note_id").drop("at").withColumn("seen", F.lit(True)), "note_id", "left")
+    hit, none = F.col("seen").isNotNull(), F.array().cast("array<string>")
+    reached = F.array_intersect(F.array_sort(F.array_distinct(F.concat(F.coalesce("delivered", none), F.coalesce("went", none)))), F.col("channels"))
     state = F.when(F.col("error").isNull(), "delivered").when(F.col("attempt") >= F.col("max_attempts"), "failed").otherwise("pending")
     wait = now + _seconds(30 * F.pow(F.lit(2), F.least("attempt", F.lit(6))))
     return rows.withColumns({

@@ -192,23 +192,32 @@ def read_documents(spark: SparkSession, path: str, most: int = MOST_BYTES) -> Da
     return pages.withColumn("text", F.when(html, strip_markup(F.col("text"))).otherwise(F.col("text"))).withColumn("why", why_unreadable(F.col("mime")))
 
 
-def statement_facts(pages: DataFrame, confidence: float = 0.95) -> DataFrame:
+# How sure a line of text is, and one that was recognised in an image.
+PARSED, RECOGNISED = 0.95, 0.45
+
+
+def statement_facts(pages: DataFrame, confidence: float = PARSED, recognised: float = RECOGNISED) -> DataFrame:
     """``pages`` (company_id, doc, page, text) to facts: a labelled line's first amount, or that of the next line if it has no label.
 
+    A fact is as sure as its page (``confidence``, or ``recognised`` where a column ``ocr`` of the pages is true) times the share of
+    its document's pages that are not blank.
+
     Cost kinds are made positive; a document that says so anywhere counts in thousands; amounts that overflow are dropped.
     Lines of one page are one array, so nothing is shuffled but the scale of each document.
     """
-    scale = pages.groupBy("company_id", "doc").agg(F.max(in_thousands(F.col("text"))).alias("thousands"))
+    read = F.avg((F.coalesce(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))), F.lit(0)) > 0).cast("double"))
+    scale = pages.groupBy("company_id", "doc").agg(F.max(in_thousands(F.col("text"))).alias("thousands"), read.alias("readable"))
     # readings of a company follow each other by document, page and line
     scale = scale.withColumn("doc_no", F.row_number().over(W.partitionBy("company_id").orderBy("doc")).cast("bigint") - 1)
-    lines = pages.select("company_id", "doc", "page", F.split("text", "\n").alias("lines"))
-    rows = lines.select("company_id", "doc", "page", "lines", F.posexplode("lines").alias("line_no", "line")).withColumn("after", F.coalesce(F.get("lines", F.col("line_no") + 1), F.lit("")))
+    base = F.when(F.coalesce("ocr", F.lit(False)), recognised).otherwise(confidence) if "ocr" in pages.columns else F.lit(confidence)
+    lines = pages.select("company_id", "doc", "page", base.alias("base"), F.split("text", "\n").alias("lines"))
+    rows = lines.select("company_id", "doc", "page", "base", "lines", F.posexplode("lines").alias("line_no", "line")).withColumn("after", F.coalesce(F.get("lines", F.col("line_no") + 1), F.lit("")))
     rows = rows.withColumn("kind", match_label(F.col("line"))).where("kind is not null")
     own, following = first_amount(F.col("line")), F.when(match_label(F.col("after")).isNull(), first_amount(F.col("after")))
     rows = rows.withColumn("amount", F.coalesce(own, following)).withColumn("source_text", F.when(own.isNull(), F.concat_ws(" ", "line", "after")).otherwise(F.col("line")))
     rows = rows.join(scale, ["company_id", "doc"]).withColumn("value_ore", F.try_multiply("amount", F.when(F.col("thousands"), 100_000).otherwise(100).cast("bigint")))
     costs = F.col("kind").isin("personnel_costs", "external_costs", "depreciation", "interest_expense", "wages")
     return rows.where("value_ore is not null").select(
-        "company_id", "kind", F.when(costs, F.abs("value_ore")).otherwise(F.col("value_ore")).alias("value_ore"), F.lit(confidence).alias("confidence"),
+        "company_id", "kind", F.when(costs, F.abs("value_ore")).otherwise(F.col("value_ore")).alias("value_ore"), (F.col("base") * F.col("readable")).alias("confidence"),
         (F.col("doc_no") * 1_000_000_000_000 + F.col("page").cast("bigint") * 1_000_000 + F.col("line_no")).alias("seq"), "doc", "page", "source_text",
     )

@@ -218,3 +218,30 @@ def test_records_are_stored_once(spark, tmp_path):
     assert all(None not in json.loads(x.item).values() for x in first)
     calc = {x.low: x.inputs for x in opportunity.calculation_rows(found).where("high > 1000").collect()}
     assert [(i.name, i.value_ore) for i in calc[0]] == [("b", 6), ("a", 5)]
+
+
+def test_facts_are_as_sure_as_their_pages(spark):
+    """Recognised pages count less, and all of a document that is half blank."""
+    from tallyforge.sources.documents import statement_facts
+
+    line = "Summa tillgångar 1 000"
+    pages = spark.createDataFrame([(1, "a", 1, line, False), (1, "a", 2, " \n\t ", False), (1, "b", 1, line, True), (1, "b", 2, "x", None), (2, "c", 1, line, None), (2, "c", 2, None, True)], "company_id int, doc string, page int, text string, ocr boolean")
+    assert {(x.company_id, x.doc): round(x.confidence, 6) for x in statement_facts(pages).collect()} == {(1, "a"): 0.475, (1, "b"): 0.45, (2, "c"): 0.475}
+    assert {round(x.confidence, 6) for x in statement_facts(pages.drop("ocr")).where("doc = 'b'").collect()} == {0.95}
+
+
+def test_queue_repeats_and_gaps(spark):
+    """The first of several results counts, kinds without a lease raise, and a null list of channels is empty."""
+    from tallyforge.operators import queue
+
+    now = F.lit("2024-01-01").cast("timestamp")
+    job = "job_id int, kind string, state string, attempt int, max_attempts int, run_after timestamp, leased_until timestamp, leased_by string"
+    jobs = spark.createDataFrame([(1, "a", "running", 1, 3, None, None, "w"), (2, "a", "running", 1, 3, None, None, "w")], job)
+    results = spark.createDataFrame([(1, True, False, None, 2), (1, False, True, "first", 1), (2, True, False, None, 5), (2, True, False, None, 5)], "job_id int, ok boolean, permanent boolean, error string, at int")
+    after, log, _ = queue.finish(jobs, results, now)
+    assert {x.job_id: x.state for x in after.collect()} == {1: "failed", 2: "succeeded"} and log.count() == 2 and after.columns == jobs.columns
+    with pytest.raises(ValueError, match="kind b"):
+        queue.claim(jobs, now, spark.createDataFrame([("b", "w")], "kind string, worker string"), {"a": 5})
+    notes = spark.createDataFrame([(1, "delivering", 1, 3, None, None, ["email", "push"]), (2, "delivering", 1, 3, None, ["email"], ["email", "push"])], "note_id int, state string, attempt int, max_attempts int, run_after timestamp, delivered array<string>, channels array<string>")
+    outcomes = spark.createDataFrame([(1, ["push"], None), (2, None, "lost")], "note_id int, went array<string>, error string")
+    assert {x.note_id: (x.delivered, x.state) for x in queue.record_delivery(notes, outcomes, now).collect()} == {1: (["push"], "delivered"), 2: (["email"], "pending")}
