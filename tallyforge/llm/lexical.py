@@ -15,13 +15,14 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,6 +38,8 @@ FIRST, GROWTH = 16, 8
 MOST_CHOSEN = 4_000_000
 # Items that are scored at once in a block.
 TILE = 256
+# Blocks that go to Python at once: a row is a block, so Spark's usual thousands of rows would be a whole file in memory.
+BATCH = 8
 
 _TERM = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -46,6 +49,18 @@ def terms(text: bytes | None) -> list[bytes]:
     return text.translate(_TERM).split() if text else []
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """What is written within goes to Python in batches of BATCH rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Index(NamedTuple):
     """``blocks``: the forward index. ``maxima``: block, its terms, the greatest impact and the documents of each.
     ``n_docs``: documents with a term; ``n_terms``: all their terms with repeats."""
@@ -123,7 +138,8 @@ def index(docs: DataFrame) -> Index:
     term are in no block; rows with equal or no ids are documents of their own. A text's terms are in one task's memory."""
     blocks = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_blocked(BLOCK_DOCS, BLOCK_POSTINGS), BLOCKS), "blocks")
     n_docs, n_terms = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    maxima = written(blocks.select("block", "lengths", "ends", "terms", "term", "tf").mapInArrow(_maxima(n_docs, n_terms), MAXIMA), "maxima")
+    with _small_batches(docs.sparkSession):
+        maxima = written(blocks.select("block", "lengths", "ends", "terms", "term", "tf").mapInArrow(_maxima(n_docs, n_terms), MAXIMA), "maxima")
     return Index(blocks, maxima, n_docs, n_terms)
 
 
@@ -250,7 +266,8 @@ def _search_part(index: Index, rows: list, k: int, count: dict | None) -> tuple[
     for item_id, t in rows:
         by_item.setdefault(item_id, []).append(vocabulary.setdefault(bytes(t), len(vocabulary)))
     words = pa.array(list(vocabulary), pa.binary())
-    held = written(index.maxima.mapInArrow(_held(words), "block bigint, term array<int>, most array<bigint>, df array<int>"), "held")
+    with _small_batches(spark):
+        held = written(index.maxima.mapInArrow(_held(words), "block bigint, term array<int>, most array<bigint>, df array<int>"), "held")
     dfs = held.select(F.explode(F.arrays_zip("term", "df")).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.sum("x.df").alias("df"))
     weighed = dfs.select("term", F.floor(1000 * F.log(F.lit(float(2 * index.n_docs + 2)) / (2 * F.col("df") + 1))).alias("w"))
     weight = np.zeros(len(vocabulary), np.int64)
@@ -283,7 +300,8 @@ def _search_part(index: Index, rows: list, k: int, count: dict | None) -> tuple[
         if pairs:
             read = index.blocks.select("block", "ids", "lengths", "ends", "terms", "term", "tf").join(F.broadcast(chosen) if pairs <= MOST_CHOSEN else chosen, "block")
             found = read.mapInArrow(_scored(items, k, least, index.n_docs, index.n_terms, TILE), FOUND)
-            previous, top = top, written(_best(found if top is None else found.union(top.drop("rank")), k), "top")
+            with _small_batches(spark):
+                previous, top = top, written(_best(found if top is None else found.union(top.drop("rank")), k), "top")
             if previous is not None:
                 discard(previous)
             least = {r.item: r.score for r in top.where(F.col("rank") == k).select("item", "score").collect()}
