@@ -154,24 +154,79 @@ def brute_dice(a, b):
     return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0
 
 
+def brute_scan(rows, templates):
+    """Dice of lines, whole texts, and windows from each line's start and each place of a template's word pair on."""
+    want = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        w = [(x, u, k == 0) for u, line in enumerate(lines) for k, x in enumerate(normal(line))]
+        for name, v in templates.items():
+            scores = [(u, brute_dice(x, v)) for u, x in [*enumerate(lines), *([(-1, t)] if len(lines) > 1 else [])]]
+            tw = normal(v)
+            of = set(zip(tw, tw[1:]))
+            for k, (x, u, first) in enumerate(w[:-1]):
+                if first or (x, w[k + 1][0]) in of:
+                    scores.append((u, brute_dice(" ".join(y for y, _, _ in w[k : k + len(tw)]), v)))
+            for u, d in scores:
+                if d >= 0.8:
+                    want[i, u, name] = max(d, want.get((i, u, name), 0))
+    return want
+
+
 def test_license_scan(spark):
     texts = [None, "", "one", "All rights reserved.", "foo bar\nALL  rights -- reserved!\nend", license.TEMPLATES["gpl-3.0"] + " x", "Licensed under the\nMIT License.", "Released under\nthe MIT License.", "word " * 20000]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(3, texts[3], "c")], "doc_id long, text string, license string")
     got = {(r.doc_id, r.unit, r.license): r.dice for r in license.scan(df).collect()}
-    want = {}
-    for i, t in enumerate(texts):
-        lines = (t or "").split("\n")
-        for u, x in [*enumerate(lines), *([(-1, t)] if len(lines) > 1 else [])]:
-            for k, v in license.TEMPLATES.items():
-                # from a line's start on, as many words as the template has
-                after = normal("\n".join(lines[u:])) if u >= 0 and normal(x) else []
-                if (d := max(brute_dice(x, v), brute_dice(" ".join(after[: len(normal(v))]), v))) >= 0.8:
-                    want[i, u, k] = d
+    want = brute_scan(enumerate(texts), license.TEMPLATES)
     assert got.keys() == want.keys() and (7, -1, "mit") in got
     assert all(got[k] == pytest.approx(want[k]) for k in got)
     assert license.scan(df.limit(0)).count() == 0 and license.scan(df, {}).count() == 0
 
 
+def random_notices(r, n):
+    """Notices after other words of their line, wrapped, with words changed or cut, several to a text."""
+    filler = "the of this software a license and to under use any is file data free".split()
+    for i in range(n):
+        out = []
+        for _ in range(r.randint(1, 3)):
+            out += r.choices(filler, k=r.randint(0, 40))
+            w = r.choice(list(license.TEMPLATES.values())).split()
+            w = [r.choice(filler) if r.random() < r.choice([0, 0.05, 0.15]) else x for x in w]
+            out += w[r.choice([0, 0, 1, 4]) :]
+        out += r.choices(filler, k=r.randint(0, 20))
+        yield i, "".join(x + r.choice([" "] * 9 + ["\n", "\n\n"]) for x in out)
+
+
+@pytest.mark.parametrize("bound", ["most", "few", "none"])
+def test_license_inside_lines(spark, monkeypatch, bound):
+    """Whatever way the bounds choose, the result is that of all windows; whole notices inside lines score 1."""
+    if bound != "most":
+        monkeypatch.setattr(license, "MOST_KEYS", 0)
+        monkeypatch.setattr(license, "MOST_PAIRS", 0)
+    if bound == "none":
+        monkeypatch.setattr(license, "MOST_LISTED", 0)
+    rows = list(random_notices(random.Random(7), 60))
+    grant = license.TEMPLATES["mit-grant"].split()
+    dozen = "here are a dozen words that come before it on its line "
+    rows += [(100, dozen + " ".join(grant)), (101, dozen + " ".join(grant[:7]) + "\n" + " ".join(grant[7:]) + " and more"), (102, "x y " * 5000 + " ".join(grant) + " z" * 9000)]
+    got = {(x.doc_id, x.unit, x.license): x.dice for x in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_scan(rows, license.TEMPLATES)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert all(got[i, 0, "mit-grant"] == 1.0 for i in (100, 101, 102))
+
+
+def test_license_full_texts(spark):
+    """Templates of the length of a whole licence text, found after other words; a text that shares a part of it is not."""
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(300)]
+    whole = {f"long-{k}": " ".join(r.choices(vocabulary, k=700)) for k in range(3)}
+    rows = [(1, "before it " * 30 + whole["long-1"] + " after it" * 50), (2, whole["long-2"].replace(" ", "\n")), (3, " ".join(whole["long-0"].split()[:300]))]
+    got = {(x.doc_id, x.unit, x.license): x.dice for x in license.scan(spark.createDataFrame(rows, "doc_id long, text string"), whole).collect()}
+    want = brute_scan(rows, whole)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert got[1, 0, "long-1"] == 1.0 and got[2, 0, "long-2"] == 1.0 and not any(i == 3 for i, _, _ in got)
+
+
 def test_queries_on_small_tables(spark):
     rows = queries.op10_chat_windows(spark, "/root/testdata/sf0.001").collect()
     odd = next(r for r in rows if r.conv_id == -1)
