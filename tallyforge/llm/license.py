@@ -40,9 +40,14 @@ MOST_LISTED = 20_000
 MOST_PAIRS = 2_000_000
 
 
+def normalised(text: Column) -> Column:
+    """The text in lower case, with one space for every run of other characters than a-z and 0-9."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+
+
 def words(text: Column) -> Column:
-    """Words of the normalised text: lower-cased, all but a-z and 0-9 are gaps."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    """Words of the normalised text."""
+    return F.filter(F.split(normalised(text), " "), lambda w: w != "")
 
 
 def pairs(w: Column) -> Column:
@@ -100,7 +105,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         both = [sorted(k.split(" "), key=len) for k in needed]
         by_first = {a: [x for x, y in both if y == a] for _, a in both}
         holds = lambda low: reduce(or_, (F.contains(low, F.lit(a)) & reduce(or_, (F.contains(low, F.lit(b)) for b in bs)) for a, bs in by_first.items()))
+        # first the words anywhere, then, in the few texts left, side by side
         docs = docs.where(F.exists(F.array(F.lower("text")), holds))
+        docs = docs.where(F.exists(F.array(normalised(F.col("text"))), lambda x: reduce(or_, (F.contains(x, F.lit(k)) for k in needed))))
     lines = F.split(F.col("text"), "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
     found = (
