@@ -17,8 +17,10 @@ This takes each sign to halve what is left; a label of tight clusters far from i
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,12 @@ def _unrounded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[:, 16:].view(np.int8).astype(np.float32) * head[:, :1].astype(np.float32), head[:, 1]
 
 
+@lru_cache(maxsize=MOST_PASSES)
+def _planes(p: int, d: int) -> np.ndarray:
+    """A pass's hyperplanes, the same in every task; a worker keeps those of one length, half a kilobyte a pass and dimension."""
+    return np.random.default_rng([p, d]).standard_normal((d, SIGNS))
+
+
 def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, grp, dims, vector, mean, n_passes) to a row per pass with its key: signs of what sets a vector apart from its label's mean."""
     for big in batches:
@@ -106,9 +114,8 @@ def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 small = pa.array(_rounded(units), pa.binary())
                 x = units - np.array(part.column(4).to_pylist())
                 for p in range(int(n_passes.max())):
-                    planes = np.random.default_rng([p, int(d)]).standard_normal((int(d), SIGNS))
                     on = np.flatnonzero(n_passes > p)
-                    bits = (x[on] @ planes > 0).astype(np.int64)
+                    bits = (x[on] @ _planes(p, int(d)) > 0).astype(np.int64)
                     key = bits @ (np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
                     take = pa.array(on)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p), pa.int32()), part.column(1).take(take), pa.array(key), part.column(0).take(take), small.take(take)], ["pass", "grp", "key", "id", "small"])
@@ -254,24 +261,28 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     are null, empty or zero, that hold null or non-finite numbers, or whose label or id is null link with nothing;
     component_id is then their own id (null without one) and they are kept. Equal vectors of a label are one vertex
     with a weight, so copies are not paired. Rows with equal ids and different vectors share a component. Other columns
-    are not read. An empty table gives no rows. Two different vectors with one 64-bit hash raise an error.
+    are not read. An empty table gives no rows. Vectors are told apart by 128 bits of their SHA-256 and by label, and
+    numbered from there on; labels by 63 bits of a hash of label and length.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     good = F.size("embedding") > 0
     good &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(good & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
-    base = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(usable, F.xxhash64("label", F.size("embedding"))).alias("grp"), F.when(usable, F.size("embedding")).alias("dims"), F.when(usable, F.xxhash64("label", v)).alias("id"), F.when(usable, v).alias("v"))
+    # labels have negative numbers and vectors others, so that both can name what is compared in full
+    grp = F.xxhash64("label", F.size("embedding")).bitwiseOR(F.lit(-(2**63)).cast("bigint"))
+    base = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), *[F.when(usable, x).alias(n) for x, n in ((grp, "grp"), (F.size("embedding"), "dims"), (v, "v"))])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = [None if x is None else np.asarray(x, dtype=np.float64).tobytes() for x in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(vectors, pa.binary())], ["vec_id", "grp", "dims", "id", "vector"])
-
-    base = written(base.mapInArrow(packed, "vec_id bigint, grp bigint, dims int, id bigint, vector binary"), "vectors")
-    live = base.where("id is not null")
-    made = live.groupBy("grp", "dims", "id").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vector").alias("vector"), F.max("vector").alias("other"))
-    made = made.withColumn("vector", F.when(F.col("vector") == F.col("other"), F.col("vector")).otherwise(F.raise_error(F.lit("two vectors share a hash"))).cast("binary"))
-    vertices = written(made.drop("other"), "vertices")
+            vectors = [None if x is None else np.asarray(x, dtype=np.float64).tobytes() for x in b.column(3).to_pylist()]
+            digests = [None if x is None else hashlib.sha256(x).digest()[:16] for x in vectors]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "grp", "dims", "digest", "vector"])
+
+    base = written(base.mapInArrow(packed, "vec_id bigint, grp bigint, dims int, digest binary, vector binary"), "vectors")
+    made = base.where("digest is not null").groupBy("grp", "digest").agg(F.min("dims").alias("dims"), F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vector").alias("vector"))
+    vertices = written(made.withColumn("id", F.monotonically_increasing_id()), "vertices")
+    members = base.select("vec_id", "grp", "digest").join(vertices.select("grp", "digest", "id", "rep", "weight"), ["grp", "digest"], "left")
+    members = written(members.select("vec_id", "id", "rep", "weight"), "members")
     labels = _labels(vertices, least)
     labels = F.broadcast(labels) if labels.count() <= MOST_BROADCAST else labels
     placed = vertices.join(labels, "grp")
@@ -291,13 +302,13 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     found = written(_paired(inside.union(whole)).mapInArrow(_counted(least), "id bigint, n bigint, a bigint, b bigint"), "found")
     counts = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
 
-    rep = vertices.select("id", "rep", "weight")
+    rep = vertices.select("id", "rep")
     across = components(
         found.where("a is not null").select("a", "b").join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a")
         .join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        .union(live.select("vec_id", "id").join(rep, "id").where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
+        .union(members.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     )
-    out = base.select("vec_id", "id").join(rep.select("id", "weight"), "id", "left").join(counts, "id", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"))
+    out = members.join(counts, "id", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"))
     out = out.join(across, out["vec_id"] == across["id"], "left")
     own = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", "n_links", own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
