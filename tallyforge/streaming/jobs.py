@@ -18,6 +18,8 @@ TRANSITIONS = [
 ]
 # Most attempts, base and longest wait (seconds), lease (minutes) by kind of job.
 POLICIES = {"analysis": (3, 30, 900, 20), "extraction": (5, 5, 300, 5), "simulation": (2, 15, 300, 15), "retention": (2, 60, 3600, 30)}
+# A piece of a log has 2 ** PIECE_BITS rows at most, whatever the partitions' sizes.
+PIECE_BITS = 13
 QUOTAS = {"analysis": (20, "1 hour"), "upload": (100, "1 hour"), "read": (600, "1 minute"), "simulation": (120, "1 hour")}
 
 
@@ -31,8 +33,9 @@ def next_state(state: Column, event: Column) -> Column:
 def fold(events: DataFrame, key: str, order: list[str], start: str = "queued") -> DataFrame:
     """Final state of each key's events in order, with how many were legal.
 
-    A range sort deals out pieces of keys' logs. Each piece becomes a map from the state before it to the state after it and
-    the legal events on the way; a key's maps, at most one per partition, are then applied in order. So no log meets whole.
+    A range sort deals out logs, which are cut into pieces of at most 2 ** PIECE_BITS rows. Each piece becomes a map from the
+    state before it to the state after it and the legal events on the way; a key's maps, a few hundred bytes each, are then
+    applied in order. So no log meets whole.
     """
     states = sorted({start} | {a for a, _, _ in TRANSITIONS} | {b for _, _, b in TRANSITIONS})
     kinds = sorted({e for _, e, _ in TRANSITIONS})
@@ -42,7 +45,10 @@ def fold(events: DataFrame, key: str, order: list[str], start: str = "queued") -
     lawful = F.array(*[ints([int((a, e) in to) for a in states]) for e in kinds])
     code = F.array_position(F.array(*map(F.lit, kinds)), F.col("event")).cast("int") - 1
     # an event of no transition changes nothing
-    pieces = events.repartitionByRange(key, *order, "event").withColumn("part", F.spark_partition_id())
+    # numbers in a partition's order begin at a multiple of 2 ** 33, so no piece goes over a partition's end
+    whole = [key, *order, "event"]
+    dealt = events.select(*dict.fromkeys(whole)).repartitionByRange(*whole).sortWithinPartitions(*whole)
+    pieces = dealt.withColumn("part", F.shiftright(F.monotonically_increasing_id(), PIECE_BITS))
     pieces = pieces.groupBy(key, "part").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(*order, "event", code.alias("code")))), lambda x: x["code"]).alias("log"))
 
     def step(m: Column, e: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import random
 import zipfile
 
 import pytest
@@ -45,6 +46,25 @@ def test_jobs_as_a_stream(spark, tmp_path):
     assert batch == {1: "succeeded", 2: "running", 3: "cancelled"}
 
 
+@pytest.mark.parametrize("bits", [0, 2, 13])
+def test_fold_in_pieces(spark, monkeypatch, bits):
+    """A job with most of all events is cut into pieces of any size; the result is that of a loop. Unknown and null events change nothing."""
+    monkeypatch.setattr(jobs, "PIECE_BITS", bits)
+    r = random.Random(bits)
+    kinds = [*sorted({e for _, e, _ in jobs.TRANSITIONS}), "claim", "claim", "release", "expire", "other", None]
+    rows = [(r.choice([1, 1, 1, 2, 3, None]), r.randint(0, 40), i, r.choice(kinds)) for i in range(400)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "job_id long, ts long, event_id long, event string")
+    got = {x.job_id: (x.state, x.n_legal, x.n_events) for x in jobs.fold(df, "job_id", ["ts", "event_id"]).collect()}
+    to = {(a, e): b for a, e, b in jobs.TRANSITIONS}
+    want = {}
+    for job, _, _, event in sorted(rows, key=lambda x: x[1:3]):
+        state, legal, n = want.get(job, ("queued", 0, 0))
+        want[job] = (to.get((state, event), state), legal + ((state, event) in to), n + 1)
+    assert got == want
+    assert jobs.fold(df.limit(0), "job_id", ["ts", "event_id"]).count() == 0
+
+
 def test_every_state_and_event(spark):
     states = sorted({s for s, _, _ in jobs.TRANSITIONS} | {s for _, _, s in jobs.TRANSITIONS})
     events = sorted({e for _, e, _ in jobs.TRANSITIONS})
