@@ -15,7 +15,7 @@ from .tables import put
 # Rules that are broadcast with their sources.
 MOST_RULES = 10_000
 # One shape for all kinds of evidence; what a kind does not have is null, and absent in JSON.
-ITEM = "kind string, name string, value_ore bigint, fact_id bigint, page int, excerpt string, source string, low bigint, high bigint, statement string"
+ITEM = "kind string, name string, value_ore bigint, fact_id bigint, page int, excerpt string, source string, low bigint, high bigint, statement string, version_id bigint"
 
 
 def _item(**have: Column) -> Column:
@@ -43,7 +43,7 @@ def records(findings: DataFrame, readings: DataFrame, rules: DataFrame, sources:
     """One row a finding, with its id, status, confidence, priority, evidence, missing and rationale.
 
     findings: company_id, tax_year, rule_id, category, effect, risk, outcome, low, high, missing, questions. readings (one a company and kind):
-    company_id, kind, value_ore, fact_id, page, source_text. rules: rule_id, version, title, description, action, referenced,
+    company_id, kind, value_ore, fact_id, page, source_text, and version_id of the document, if there is such a column. rules: rule_id, version, title, description, action, referenced,
     source_ids, method (null without an impact), effort, urgency, relevance, reviewed, note, hints. sources: source_id,
     reference, state. verdicts (one a company and rule, or none): company_id, rule_id, objection, survives, reasoning, lacks,
     corroborated. Findings of rules that are not there have no record.
@@ -57,7 +57,7 @@ def records(findings: DataFrame, readings: DataFrame, rules: DataFrame, sources:
     found = findings.join(F.broadcast(small), "rule_id").join(verdicts, ["company_id", "rule_id"], "left")
     key = ["company_id", "tax_year", "rule_id"]
     asked = found.select(*key, F.posexplode("referenced").alias("place", "kind")).join(readings, ["company_id", "kind"])
-    value = _item(kind=F.lit("document_value"), name=F.col("kind"), value_ore=F.col("value_ore"), fact_id=F.col("fact_id"), page=F.col("page"), excerpt=F.col("source_text"))
+    value = _item(kind=F.lit("document_value"), name=F.col("kind"), value_ore=F.col("value_ore"), fact_id=F.col("fact_id"), page=F.col("page"), excerpt=F.col("source_text"), version_id=F.col("version_id") if "version_id" in readings.columns else F.lit(None))
     per = asked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", value.alias("item")))).alias("read"), F.count_if(F.col("page").isNotNull() & F.col("source_text").isNotNull()).alias("traceable"))
     rows = found.join(per, key, "left")
     read = F.coalesce(F.transform("read", lambda x: x["item"]), F.array().cast(f"array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classified, variants
-from ..operators import decisions, opportunity, retention, rules
+from ..operators import audiences, decisions, opportunity, retention, rules
 from ..operators import facts as fx
 from ..operators import findings as fd
 from .adapters import facts, read
-from .catalog import query
+from .catalog import ORACLES, query
 from .statement import _FACT, evaluated
 
 _NOTE = "Regeln är inte granskad."
@@ -18,7 +18,7 @@ _NOTE = "Regeln är inte granskad."
 def rule_table(spark):
     """The rules as the small table that records take: what they cite, ask for and say."""
     rows = [
-        (r.id, "1", r.id.rpartition(".")[2], f"Regel {r.id}.", "Granska.", r.referenced(), ["s1"] + (["s2"] if r.category == "tax" else []), "formula" if r.impact else None,
+        (r.id, "1", r.id.rpartition(".")[2], f"Regel {r.id}.", f"Granska {r.category}.", r.referenced(), ["s1"] + (["s2"] if r.category == "tax" else []), "formula" if r.impact else None,
          "low", "normal", 0.8, r.category != "vat", _NOTE, [])
         for r in rules.RULES
     ]
@@ -28,7 +28,7 @@ def rule_table(spark):
 def opportunities(spark, sf):
     found = fd.findings(evaluated(spark, sf))
     best = fx.canonical(facts(spark, sf))
-    readings = best.select("company_id", "kind", "value_ore", F.col("seq").alias("fact_id"), F.lit(1).alias("page"), F.concat(F.lit("order "), F.col("seq").cast("string")).alias("source_text"))
+    readings = best.select("company_id", "kind", "value_ore", F.col("seq").alias("fact_id"), F.lit(1).alias("page"), F.concat(F.lit("order "), F.col("seq").cast("string")).alias("source_text"), F.col("seq").alias("version_id"))
     sources = spark.createDataFrame([("s1", "Lag 1", "verified"), ("s2", "Lag 2", "unretrieved")], "source_id string, reference string, state string")
     # no model has been asked for these tables
     verdicts = found.limit(0).select("company_id", "rule_id", F.lit(0.0).alias("objection"), F.lit(True).alias("survives"), F.lit("").alias("reasoning"), F.array().cast("array<string>").alias("lacks"), F.lit(False).alias("corroborated"))
@@ -58,6 +58,61 @@ def opportunity_records(spark, sf):
     )
 
 
+_RISK = " ".join(f"when '{r.id}' then {dict(high=0.9, medium=0.6).get(r.risk, 0.3)}::double" for r in rules.RULES)
+
+
+@query("audience_reports", f"""
+with z as ({ORACLES["opportunity_records"]}),
+a as (select *, split_part(rule_id, '.', 2) as category, case rule_id {_RISK} end as risk, status = 'warning' or high = 0 as at_risk from z),
+p as (
+  select *, case when at_risk then confidence / 100.0::double * risk
+    else least(greatest(least(high / 2.0::double / 20000000.0::double, 1.0::double) * (confidence / 100.0::double) * 0.8::double, 0), 1) end as priority from a),
+b as (
+  select *, split_part(rule_id, '.', -1) as title, case when confidence < 50 then 3 when at_risk then case when risk = 0.9::double then 1 else 2 end
+    when priority >= 0.5 then 1 when confidence < 75 then 3 else 2 end as band from p),
+o as (select *, row_number() over (partition by company_id order by priority desc, rule_id) as pos from b),
+f as (select *, row_number() over (partition by company_id, category order by band, high desc, pos) as r from o),
+s as (select *, row_number() over (partition by company_id order by band, high desc, pos) as step from f where r = 1),
+plan as (select company_id, string_agg(step::varchar || ' ' || category || ' ' || title, '; ' order by step) as plan from s group by 1),
+n as (
+  select company_id, count(*) as n_found, count(*) filter (where band = 1) as n_high, count(*) filter (where band = 2) as n_investigate, count(*) filter (where band = 3) as n_lacking,
+    sum(case when confidence >= 50 and not contains(rule_id, 'periodiseringsfond') then high else 0 end) as high, sum(case when confidence >= 50 and contains(rule_id, 'periodiseringsfond') then high else 0 end) as later,
+    sum(n_values) as n_values, max((category = 'vat')::int) as n_assumptions, string_agg(title, ',' order by pos) as titles,
+    count(*) filter (where status <> 'identified') as n_must_check, count(*) filter (where status = 'identified') as n_possible,
+    string_agg(title, ',' order by high desc, pos) filter (where high <> 0) as worth from o group by 1),
+c as (select company_id, count(*) as n_correct from ({ORACLES["cleared_checks"]}) group by 1)
+select c_custkey as company_id, audience, coalesce(n_found, 0)::int as n_found, coalesce(n_high, 0)::int as n_high, coalesce(n_investigate, 0)::int as n_investigate, coalesce(n_lacking, 0)::int as n_lacking,
+  coalesce(high, 0)::bigint as high, coalesce(later, 0)::bigint as later, coalesce(n_values, 0)::int as n_values, coalesce(n_found, 0)::int as n_rules, coalesce(n_assumptions, 0)::int as n_assumptions,
+  coalesce(titles, '') as titles, coalesce(plan, '') as plan,
+  case when audience = 'accountant' then coalesce(n_must_check, 0)::int end as n_must_check, case when audience = 'accountant' then coalesce(n_possible, 0)::int end as n_possible,
+  case when audience = 'accountant' then coalesce(n_correct, 0)::int end as n_correct, case when audience = 'accountant' then coalesce(worth, '') end as worth
+from customer cross join (values ('private'), ('company'), ('accountant')) x(audience)
+  left join n on n.company_id = c_custkey left join plan on plan.company_id = c_custkey left join c on c.company_id = c_custkey""")
+def audience_reports(spark, sf):
+    """The report of every company for each of three readers; of its sections how much they hold, and the order of what they list."""
+    r = reports(spark, sf)
+    titles = lambda items, name="title": F.array_join(F.transform(items, lambda x: x[name]), ",")
+    step = lambda x: F.concat_ws(" ", x["order"].cast("string"), F.regexp_extract(x["action"], r"^Granska (.*)\.$", 1), x["title"])
+    s, v, e, c = (F.col(n) for n in ("summary", "evidence", "economic_potential", "control_review"))
+    size = lambda name: F.when(c.isNotNull(), F.size(c[name]))
+    return r.select(
+        "company_id", "audience", s["found_count"].alias("n_found"), s["high_priority_count"].alias("n_high"), s["should_investigate_count"].alias("n_investigate"), s["needs_more_evidence_count"].alias("n_lacking"),
+        e["high"].alias("high"), e["deferred_high"].alias("later"), v["values_cited"].alias("n_values"), F.size(v["rules_cited"]).alias("n_rules"), F.size(v["assumptions"]).alias("n_assumptions"),
+        titles(F.col("opportunities")).alias("titles"), F.array_join(F.transform("action_plan", step), "; ").alias("plan"),
+        size("must_check").alias("n_must_check"), size("possible_improvement").alias("n_possible"), size("looks_correct").alias("n_correct"), titles(c["worth_raising"], "summary").alias("worth"),
+    )
+
+
+def reports(spark, sf):
+    rules_ = rule_table(spark)
+    cleared = fd.cleared(evaluated(spark, sf)).select("company_id", "rule_id", "category").join(F.broadcast(rules_.select("rule_id", "title", "description")), "rule_id")
+    cleared = cleared.select("company_id", "rule_id", "title", "category", F.col("description").alias("reason"))
+    states = rules_.select("rule_id", F.transform("source_ids", lambda s: F.when(s == "s1", "verified").otherwise("unretrieved")).alias("states"))
+    who = F.explode(F.array(*map(F.lit, audiences.AUDIENCES))).alias("audience")
+    readers = read(spark, sf, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"), F.lit("2025").alias("fiscal_year"), who)
+    return audiences.build(readers, opportunities(spark, sf), states, cleared)
+
+
 TABLES = {"jobs": "id", "opportunities": "id", "evidence": "id", "calculations": "id", "model_runs": "id", "budgets": "id"}
 LINKS = [
     retention.Link("evidence", "opportunity_id", "opportunities"), retention.Link("calculations", "job_id", "jobs"), retention.Link("opportunities", "job_id", "jobs"),
