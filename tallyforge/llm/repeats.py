@@ -12,12 +12,12 @@ can be repeated is sorted or counted.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HUB, MOST_HUBS, slices, utf8, written
@@ -185,19 +185,41 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = "content bigint, n_removed bigint, n_spans bigint, spans array<struct<start:int,end:int>>, sha string"
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, number: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, text, content; doc_id, n_bytes, content, sha; content, n, rep. Equal texts, and only they, share their content.
+
+    Of texts with one ``number`` 60 bits of SHA-256 are compared; where they differ, those texts are numbered anew by the whole
+    SHA-256, until no number stands for two texts. So 124 bits tell texts apart.
+    """
+    body = F.coalesce("text", F.lit(""))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", number(body).alias("content"))
+    meta = base.select("doc_id", F.octet_length(body).cast("bigint").alias("n_bytes"), "content", F.sha2(body, 256).alias("sha"))
+    part = F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint")
+    salt = 0
+    while True:
+        meta = written(meta, "meta")
+        unique = meta.groupBy("content").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.min(part).alias("lo"), F.max(part).alias("hi"))
+        unique = written(unique, "contents")
+        shared = unique.where("lo <> hi").select(F.col("content").alias("of"))
+        n = shared.count()
+        if not n:
+            return base, meta, unique.drop("lo", "hi")
+        # one in the square of the texts over 2^65; broadcast while it is no more than the other lists
+        shared = F.broadcast(shared) if n <= MOST_BROADCAST else shared
+        anew = lambda df, sha: df.join(shared, F.col("content") == F.col("of"), "left").withColumn("content", F.when(F.col("of").isNull(), F.col("content")).otherwise(F.xxhash64(sha, F.lit(salt)))).drop("of")  # noqa: B023, E731
+        base, meta, salt = anew(base, F.sha2(body, 256)), anew(meta, F.col("sha")), salt + 1
+
+
+def repeated_passages(docs: DataFrame, number: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (bytes, ends exclusive).
 
     Texts are UTF-8 bytes, null is empty; matches never cross texts. A byte goes if a string of LENGTH bytes over it also
     starts anywhere else, in the same text too; overlaps count and strings are judged on the input. Equal texts are
     worked on once and all go whole if they have LENGTH bytes. Ids may be null or repeated: a row's text alone decides.
-    Other columns are not read. An empty table gives no rows.
+    Other columns are not read. An empty table gives no rows. ``number`` gives texts a long that few share; those that share
+    one by chance are told apart. A text's work arrays take about 100 bytes a byte of it.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
-    body = F.coalesce("text", F.lit(""))
-    meta = written(base.select("doc_id", F.octet_length(body).cast("bigint").alias("n_bytes"), "content", F.sha2(body, 256).alias("sha")), "meta")
-    unique = meta.groupBy("content").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
-    unique = written(unique, "contents")
+    base, meta, unique = _numbered(docs, number)
     columns = ["anchor", "digest", "content", "start", "windows"]
     found = base.select("text", "content").where("text is not null").mapInArrow(_blocked, "anchor bigint, digest bigint, content bigint, start int, windows int")
     # copies of a text meet first; all after that are sums that are combined before they are shuffled, and joins

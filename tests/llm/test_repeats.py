@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyforge.llm import repeats, suffixes
 
@@ -51,6 +52,20 @@ def brute(texts):
     return out
 
 
+@pytest.mark.parametrize("numbers", [1, 7])
+def test_texts_that_share_a_number_stay_apart(spark, numbers):
+    """All texts have one of few numbers at first; only equal ones may go as copies."""
+    r = random.Random(numbers)
+    text = lambda n: "".join(r.choice("abcdé") for _ in range(n))
+    shared = text(350)
+    texts = [text(r.choice([0, 20, 250, 600])) + r.choice(["", shared]) + text(r.choice([0, 90])) for _ in range(25)]
+    texts += [texts[3], texts[4], texts[4], None, ""]
+    rows = [(i % 20, t) for i, t in enumerate(texts)]
+    got = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), number=lambda body: F.pmod(F.xxhash64(body), F.lit(numbers))).collect()
+    want = [(i, *w) for (i, _), w in zip(rows, brute(texts))]
+    assert sorted(tuple(x)[:5] for x in got) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_as_all_windows(spark, seed, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD", 3000)
