@@ -26,7 +26,7 @@ from .suffixes import suffix_array
 
 LENGTH, GRAM = 200, 50
 # Bytes of blocks that are sorted together, up to an anchor's end; and the most of one anchor's. Beyond, its windows are counted.
-SHARD, MOST_OF_ANCHOR = 2 << 20, 256 << 10
+SHARD, MOST_OF_ANCHOR = 1 << 20, 256 << 10
 # Lists of blocks are broadcast while texts and list items, of at most 32 bytes each, are no more than this (128 MB); beyond,
 # texts are looked up by a shuffled join.
 MOST_BROADCAST = 4 << 20
@@ -73,7 +73,7 @@ def blocks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", 1 << 19):
         offsets, data = utf8(batch.column(0))
         d, start, windows, anchor, digest = blocks(offsets, data)
         ids = batch.column(1).to_numpy()
