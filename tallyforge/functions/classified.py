@@ -50,7 +50,8 @@ def rendered(rows: DataFrame, ids: list[str], tree: Column, classes: dict[str, s
     path = F.array_join(F.transform(F.filter("keys", lambda k: k.isNotNull()), lambda k: F.replace(k, F.lit("."), F.lit("_"))), ".")
     shown = F.when(level(path, classes, default) <= F.col("_ceiling"), F.coalesce(F.col("value").cast("string"), F.lit("null"))).otherwise(REDACTED)
     lines = found.groupBy(*ids).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat(path, F.lit("="), shown).alias("t")))), lambda x: x["t"]), " ").alias("line"))
-    return rows.select(*ids).join(lines, ids, "left")
+    # a tree has a leaf at least, so only rows without one are missing; a join would broadcast lines whose files are small
+    return lines.unionByName(held.where("_tree is null").select(*ids, F.lit(None).cast("string").alias("line")))
 
 
 def admitted(name: Column, of_level: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions import classified
+from tallyforge.functions import classified, variants
 from tallyforge.operators import decisions, graph, opportunity, retention, tables
 
 
@@ -141,6 +141,15 @@ def test_rendered(spark):
     assert [x[0] for x in adm.select(classified.admitted(F.col("n"), F.col("l"))).collect()] == [True, False, False, False]
 
 
+def test_lines_are_not_joined_to_their_rows(spark):
+    """A join would broadcast all lines where the files of their leaves are small."""
+    df = spark.range(50).select("id", F.to_variant_object(F.struct(F.lit("a").alias("k"))).alias("t"))
+    made = classified.rendered(df, ["id"], F.col("t"), {"k": "public"}, F.lit("log"))
+    flat = variants.flat_lines(df.select("id", F.to_json("t").alias("t")), "id", F.col("t"))
+    for x in (made, flat):
+        assert x.count() == 50 and "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_every_role_permission_and_level(spark):
     may = {"owner": set(decisions.PERMISSIONS), "advisor": set(decisions.ADVISOR), "member": {*decisions.ADVISOR, "update_company", "delete_document"}}
     rows = [x for x in itertools.product(["owner", "member", "advisor", "guest", None], [*decisions.LEVELS, None, "odd"], [*decisions.PERMISSIONS, "fly"], [*decisions.LEVELS, None])]
