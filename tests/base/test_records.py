@@ -44,6 +44,19 @@ def test_reach_as_search(spark, seed, n, m):
     found.release()
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_starts_share_blocks(spark, kind):
+    """Ten neighbours reach each node, so its bits lie in one block or two, not in as many as there are blocks."""
+    edges = spark.range(6000).selectExpr(f"cast(100000 + id as {kind}) as src", f"cast(200000 + id div 10 as {kind}) as dst")
+    edges = edges.union(spark.range(600).selectExpr(f"cast(200000 + id as {kind})", f"cast(300000 + id as {kind})"))
+    starts = edges.where("src < '200000'" if kind == "string" else "src < 200000").select(F.col("src").alias("node"))
+    for reread in (False, True):
+        found = graph.reach(edges, starts, reread=reread)
+        assert found.bits.select("node").distinct().count() == 1200 and found.bits.count() < 1240
+        assert {tuple(map(int, x)) for x in graph.pairs(found).collect()} == {(100_000 + s, n + s // 10) for s in range(6000) for n in (200_000, 300_000)}
+        found.release()
+
+
 def test_reach_of_nothing(spark):
     none = spark.createDataFrame([], "src long, dst long")
     found = graph.reach(none, spark.createDataFrame([(1,)], "node long"))
