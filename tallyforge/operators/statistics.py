@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .tables import written
+
+# Rows that one task sorts: more rows take more tasks. Wanted ranks that are broadcast; more are joined by a shuffle.
+ROWS = 1 << 20
+MOST_WANTED = 200_000
 PERCENTS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
@@ -34,18 +39,28 @@ def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(right, cond, how).drop(*[f"{c}__r" for c in on])
 
 
+def _sorted(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` sorted over as many tasks as they need and written once, with the part and the place in it from 0. Rows that are equal
+    in ``order`` are spread, so they need not meet in one part; no task holds more than what it sorts."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS + 1)
+    ranged = rows.withColumn("_tie", F.rand(0)).repartitionByRange(tasks, *order, "_tie").sortWithinPartitions(*order).drop("_tie")
+    at = F.monotonically_increasing_id()
+    return written(ranged.select("*", F.shiftrightunsigned(at, 33).cast("int").alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_place")), "sorted")
+
+
 def percentiles(samples: DataFrame, by: list[str], x: str, percents: tuple[float, ...]) -> DataFrame:
-    """(by, q): exact type-7 percentiles per group as an array, from ranks in a distributed sort; null for groups without values."""
-    values, parts = _placed(samples, by, x)
+    """(by, q): exact type-7 percentiles per group as an array, from places in a distributed sort; null for groups without values."""
+    rows = _sorted(samples.where(F.col(x).isNotNull()).select(*by, (F.col(x).cast("double") + 0.0).alias("_x")), [*by, "_x"])
+    parts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_size"), F.min("_place").alias("_first"))
+    few = parts.count() * 2 * len(percents) <= MOST_WANTED
+    before = F.sum("_size").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.withColumn("_base", F.coalesce(before, F.lit(0))).withColumn("_n", F.sum("_size").over(W.partitionBy(*by)))
     at = F.lit(1.0) * (F.col("_n") - 1)
     want = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * at).alias("at")) for i, p in enumerate(percents)])
-    wanted = parts.withColumn("w", F.explode(want)).withColumn("r", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))))
-    wanted = wanted.where((F.col("r") >= F.col("_base")) & (F.col("r") < F.col("_base") + F.col("_size")))
-    wanted = wanted.select(*by, "_part", F.col("r").alias("_below"), F.lit(None).cast("double").alias("_x"), "w")
-    both = values.select(*by, "_part", "_below", F.col("_x").cast("double").alias("_x")).unionByName(wanted, allowMissingColumns=True)
-    # the value at a rank is the last that begins at or before it
-    order = W.partitionBy(*by, "_part").orderBy("_below", F.col("w").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("v", F.last("_x", ignorenulls=True).over(order)).where("w is not null")
+    wanted = parts.withColumn("w", F.explode(want)).withColumn("_below", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))))
+    wanted = wanted.where((F.col("_below") >= F.col("_base")) & (F.col("_below") < F.col("_base") + F.col("_size")))
+    wanted = wanted.select(*by, "_part", (F.col("_below") - F.col("_base") + F.col("_first")).alias("_place"), "_below", "w")
+    found = _same(rows.withColumnRenamed("_x", "v"), F.broadcast(wanted) if few else wanted, [*by, "_part", "_place"])
     ends = found.groupBy(*by, F.col("w.i").alias("_i"), F.col("w.at").alias("_p")).agg(F.min_by("v", "_below").alias("a"), F.max_by("v", "_below").alias("b"))
     share = F.col("_p") - F.floor("_p")
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - share) * F.col("a") + share * F.col("b"))
@@ -149,11 +164,13 @@ def sensitivity(samples: DataFrame, by: str, output: str, inputs: list[str]) ->
 
 
 def numbered(samples: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Rows of the columns ``order`` with their number from 0 in that order, without a sort in one task; equal rows follow each other."""
-    keyed = samples.select(F.lit(0).alias("_all"), F.struct(*order).alias("_row"))
-    values = _placed(keyed, ["_all"], "_row")[0]
-    numbers = F.sequence(F.col("_below"), F.col("_below") + F.col("_c") - 1)
-    return values.select("_x.*", F.explode(numbers).alias(out))
+    """Rows of the columns ``order`` with their number from 0 in that order, without a sort in one task; equal rows follow each other.
+    The number of parts, which is broadcast, is one for a million rows."""
+    rows = _sorted(samples.select(*order), order)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    bases = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    return rows.join(F.broadcast(bases), "_part").select(*order, (F.col("_base") + F.col("_place")).alias(out))
 
 
 def checkpoints(n: int) -> list[int]:

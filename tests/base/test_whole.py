@@ -57,6 +57,21 @@ def test_groups_do_not_meet_in_one_buffer(spark):
         assert "percentile(" not in plan(made) and "row_number(" not in plan(made).replace(" ", "")
 
 
+def test_more_rows_take_more_tasks(spark, monkeypatch):
+    """No task sorts many more rows than it should, ties included, and places, numbers and percentiles hold over all parts."""
+    monkeypatch.setattr(st, "ROWS", 100)
+    df = spark.range(3000).selectExpr("cast(id % 2 as string) as output", "if(id % 3 = 0, 7.5, id * 31 % 1009) as x", "id % 5 as y")
+    sizes = [x["count"] for x in st._sorted(df.select("x"), ["x"]).groupBy("_part").count().collect()]
+    assert len(sizes) > 20 and sum(sizes) == 3000 and max(sizes) < 400
+    got = [tuple(x) for x in st.numbered(df, ["x", "y"], "n").orderBy("n").collect()]
+    assert [x[2] for x in got] == list(range(3000)) and [x[:2] for x in got] == sorted(tuple(x) for x in df.select("x", "y").collect())
+    at = (0.0, 0.1, 0.333, 0.5, 1.0)
+    want = {x.output: x.q for x in df.groupBy("output").agg(F.percentile("x", F.array(*map(F.lit, at))).alias("q")).collect()}
+    for most in (st.MOST_WANTED, 0):
+        monkeypatch.setattr(st, "MOST_WANTED", most)
+        assert {x.output: x.q for x in st.percentiles(df, ["output"], "x", at).collect()} == {k: pytest.approx(q, abs=1e-9) for k, q in want.items()}
+
+
 def test_thinned_density_as_by_rows(spark):
     r = random.Random(7)
     xs = sorted(r.choice([r.random(), 0.25, 0.5]) for _ in range(1000))
