@@ -91,7 +91,7 @@ found as (
 select set_id::int as set_id, subject, field, problem, detail from found""")
 def rule_set_problems(spark, sf):
     """All defects of two sets with a rule a part."""
-    return rulesets.problems(sets(spark, sf))
+    return rulesets.problems(rulesets.kept(sets(spark, sf)))
 
 
 @query("rule_outcomes_json", ORACLES["rule_outcomes"])

@@ -101,3 +101,12 @@ def test_flat_lines(spark):
     for i, t in rows:
         want = t if t is None or i in (901, 904) else json_lines(json.dumps(json.loads(t), sort_keys=True))
         assert got[i] == want, t
+
+
+def test_sets_are_made_once(spark):
+    """All checks read the sets as they were written, so none makes them from the tables again."""
+    from tallyforge.plans import catalog
+
+    made = catalog.QUERIES["rule_set_problems"](spark, "/root/testdata/sf0.001")
+    read = made.inputFiles()
+    assert read and not [f for f in read if "/testdata/" in f]
