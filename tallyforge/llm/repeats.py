@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HUB, MOST_HUBS, slices, utf8, written
+from .common import HUB, MOST_HUBS, discard, slices, utf8, written
 from .shingles import mix
 from .suffixes import suffix_array
 
@@ -223,7 +223,7 @@ def repeated_passages(docs: DataFrame, number: Callable[[Column], Column] = F.xx
     columns = ["anchor", "digest", "content", "start", "windows"]
     found = base.select("text", "content").where("text is not null").mapInArrow(_blocked, "anchor bigint, digest bigint, content bigint, start int, windows int")
     # copies of a text meet first; all after that are sums that are combined before they are shuffled, and joins
-    found = written(found.groupBy(*columns).agg(F.lit(1).alias("one")).drop("one"), "distinct_blocks")
+    found = distinct = written(found.groupBy(*columns).agg(F.lit(1).alias("one")).drop("one"), "distinct_blocks")
     place = F.xxhash64("content", "start")
     same = found.groupBy("anchor", "digest").agg(F.count("*").alias("n_same"), F.min(place).alias("first"), F.max("windows").alias("most"))
     shared = same.groupBy("anchor").agg(F.sum("n_same").alias("n_anchor"), F.max(F.col("n_same") == 1).alias("edges"), (F.sum(F.col("most") + LENGTH) > MOST_OF_ANCHOR).alias("large")).where("n_anchor > 1")
@@ -231,6 +231,8 @@ def repeated_passages(docs: DataFrame, number: Callable[[Column], Column] = F.xx
     # one of a digest's blocks is sorted; a second one of equal hash would do no harm
     found = found.join(same, ["anchor", "digest"]).select("anchor", "content", "start", "windows", "edge", "large", (F.col("edges") & (place == F.col("first"))).alias("sort"))
     found = written(found, "blocks")
+    # nothing reads these any more, and they take room beside the shuffles that follow
+    discard(distinct)
 
     def cut(blocks: DataFrame) -> DataFrame:
         wanted = blocks.where("sort").groupBy("content").agg(F.collect_list(F.struct("anchor", "start", "windows", "edge")).alias("want"))

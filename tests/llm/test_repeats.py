@@ -161,3 +161,14 @@ def test_hot_anchor_is_no_shard(spark, monkeypatch):
 def test_counted_windows_as_sorted(spark, monkeypatch):
     monkeypatch.setattr(repeats, "MOST_OF_ANCHOR", 0)
     test_as_all_windows(spark, 4, monkeypatch)
+
+
+def test_distinct_blocks_do_not_stay(spark):
+    """They are read once, so their files do not lie beside the shuffles that follow."""
+    from tallyforge.llm import common
+
+    before = set(common._tables)
+    docs = spark.createDataFrame([(1, "ab" * 150), (2, "x" + "ab" * 150), (3, None)], "doc_id long, text string")
+    assert repeats.repeated_passages(docs).where("n_removed > 0").count() == 2
+    names = {t.rsplit("/", 1)[1].rsplit("-", 1)[0] for t in set(common._tables) - before}
+    assert "blocks" in names and "distinct_blocks" not in names
