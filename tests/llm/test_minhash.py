@@ -91,6 +91,27 @@ def test_components_with_hubs(spark, monkeypatch, hub):
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in linked)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_components_with_and_without_broadcasts(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_LOW", most, raising=False)
+    monkeypatch.setattr(common, "HUB", 20)
+    r = random.Random(11)
+    order = r.sample(range(1, 300), 60)
+    edges = [*zip(order, order[1:]), *((900, k) for k in range(500, 560)), (900, 3000), (2, 2), (None, 5)]
+    exchanges = []
+
+    def written(df, name, plain=common.written):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return plain(df, name)
+
+    monkeypatch.setattr(common, "written", written)
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {x: min(order) for x in order} | {x: 500 for x in (900, 3000, *range(500, 560))}
+    assert dict(map(tuple, got)) == want and len(got) == len(want)
+    # two readings of one grouped minimum, one of the other, and the distinct edges
+    assert not most or max(exchanges) <= 4
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert minhash.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].kept
