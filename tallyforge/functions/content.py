@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold
+from .text import fold, once
 
 _NUMBER = r"[0-9]++(?:[ \x{A0}\x{202F}.][0-9]{3}(?![0-9]))*+"
 _SIGN = r"(?:(?<=[-\x{2212}(])|(?<=[-(][ \x{A0}]))"
@@ -104,14 +104,16 @@ def source_text(html: Column) -> Column:
         t = F.replace(t, F.lit(name), F.lit(char))
 
     def decoded(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        return once(F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1), lambda digits: character(piece, digits))
+
+    def character(piece: Column, digits: Column) -> Column:
         code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).try_cast("int")
         good = (digits != "") & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
         return F.when(good, F.concat(char, F.substring(piece, F.length(digits) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&#"), piece))
 
-    pieces = F.split(t, "&#")
-    t = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+    joined = lambda p: F.concat(p[0], F.array_join(F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), decoded), ""))
+    t = once(F.split(t, "&#"), joined)
     return F.regexp_replace(F.regexp_replace(t, r"\p{IsWhite_Space}+", " "), "^ | $", "")
 
 
@@ -138,15 +140,19 @@ def locator_in(folded: Column, locator: str, span: int = 400) -> Column:
 def source_check(html: Column, locator: str, needles: list[str], document: str | None = None) -> Column:
     """struct<state, note, sha256> of a page: verified, or mismatch with what is absent, in this order: the document's number
     (where it has one in the text), the locator, the needles. The digest is of the readable text."""
-    text = source_text(html)
-    low = fold(text)
-    absent = F.filter(F.array(*[F.when(~F.contains(low, fold(F.lit(n))), F.lit(n)) for n in needles] or [F.lit(None).cast("string")]), lambda n: n.isNotNull())
-    note = F
-    if document:
-        note = note.when(~F.contains(low, fold(F.lit(document))), F.lit(f"the retrieved page does not mention SFS {document}"))
-    note = note.when(~locator_in(low, locator), F.lit(f"could not find {locator} in the retrieved text"))
-    note = note.when(F.size(absent) > 0, F.concat(F.lit("the source does not contain: "), F.array_join(absent, ", ")))
-    return F.struct(F.when(note.isNull(), "verified").otherwise("mismatch").alias("state"), note.alias("note"), F.sha2(text, 256).alias("sha256"))
+    def noted(low: Column) -> Column:
+        absent = F.filter(F.array(*[F.when(~F.contains(low, fold(F.lit(n))), F.lit(n)) for n in needles] or [F.lit(None).cast("string")]), lambda n: n.isNotNull())
+        note = F
+        if document:
+            note = note.when(~F.contains(low, fold(F.lit(document))), F.lit(f"the retrieved page does not mention SFS {document}"))
+        note = note.when(~locator_in(low, locator), F.lit(f"could not find {locator} in the retrieved text"))
+        return note.when(F.size(absent) > 0, F.concat(F.lit("the source does not contain: "), F.array_join(absent, ", ")))
+
+    def checked(text: Column, note: Column) -> Column:
+        return F.struct(F.when(note.isNull(), "verified").otherwise("mismatch").alias("state"), note.alias("note"), F.sha2(text, 256).alias("sha256"))
+
+    # the text, its folded form and the note are made once each, not for every place that names them
+    return once(source_text(html), lambda text: once(once(fold(text), noted), lambda note: checked(text, note)))
 
 
 # How reports name a missing fact.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ SPACES = "   "
 DASHES = "‑–—−"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once a row, however often ``f`` names it: a lambda's variable holds it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def fold(text: Column) -> Column:
     """For comparison: special spaces and dashes made plain, lower case, white space collapsed and trimmed."""
     plain = F.translate(text, SPACES + DASHES, " " * len(SPACES) + "-" * len(DASHES))

@@ -32,6 +32,15 @@ def test_source_text(spark):
     assert spark.range(1).select(ct.source_text(F.lit(html)).alias("t")).first().t == "Aä&auml; åä&#xD800;&#99 b"
 
 
+def test_a_source_is_read_once(spark):
+    """A plan names the readable text, which is costly, once, however many parts of the check use it."""
+    rows = spark.createDataFrame([("<p>2 kap.</p><p>7&nbsp;&sect; 25&#32;procent</p>",), ("<p>2 kap. 8 §",), ("<p>7 § 2 kap. 7 § <style>25 procent",), (None,)], "html string")
+    checked = rows.select(ct.source_check(F.col("html"), "2 kap. 7 §", ["25 procent", "kap"]).alias("c")).select("c.state", "c.note", "c.sha256")
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("<script") == 1
+    got = [(r.state, r.note) for r in checked.collect()]
+    assert got == [("verified", None), ("mismatch", "could not find 2 kap. 7 § in the retrieved text"), ("mismatch", "the source does not contain: 25 procent"), ("verified", None)]
+
+
 def test_lists_and_fences(spark):
     lists = spark.createDataFrame([(["a"],), (["a", "b"],), (["a", "b", "c"],), ([],)], "x array<string>")
     assert [r.s for r in lists.select(ct.quoted_list(F.col("x")).alias("s")).collect()] == ["”a”", "”a” och ”b”", "”a”, ”b” och ”c”", ""]
