@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,10 +35,13 @@ def first_amount(line: Column) -> Column:
     parenthesis before (one space between at most for - and parenthesis), or a minus after, makes it negative.
     """
     g = lambda k: F.regexp_extract(line, AMOUNT, k)
-    digits = F.regexp_replace(g(2), r"[^0-9]", "")
-    size = F.try_add(digits.try_cast("bigint"), F.when(F.left(g(3), F.lit(1)) >= "5", 1).otherwise(0).cast("bigint"))
-    negative = g(1).rlike(r"[-\x{2212}(]$|[-(][ \x{A0}]$") | (g(4) != "")
-    return F.when(digits == "", None).when(negative, -size).otherwise(size)
+
+    def amount(digits: Column) -> Column:
+        size = F.try_add(digits.try_cast("bigint"), F.when(F.left(g(3), F.lit(1)) >= "5", 1).otherwise(0).cast("bigint"))
+        negative = g(1).rlike(r"[-\x{2212}(]$|[-(][ \x{A0}]$") | (g(4) != "")
+        return F.when(digits == "", None).otherwise(once(size, lambda n: F.when(negative, -n).otherwise(n)))
+
+    return once(F.regexp_replace(g(2), r"[^0-9]", ""), amount)
 
 
 # Statement labels and the kind each names; among labels in a line the longest wins.
@@ -61,23 +66,20 @@ THOUSANDS = ["belopp i tkr", "belopp i tusental", "tkr)", "(tkr", "belopp anges
 
 def match_label(line: Column) -> Column:
     """Kind of the longest label (in bytes) that the line holds, the later entry on ties; null for none."""
-    labels = F.array(*[F.struct(F.lit(len(label.encode())).alias("n"), F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.lit(label).alias("label")) for i, (label, kind) in enumerate(LABELS)])
-    wrong = F.array(*map(F.lit, NOT_A_FACT))
+    labels = sorted(enumerate(LABELS), key=lambda x: (len(x[1][0].encode()), x[0]), reverse=True)
 
     def kind(low: Column) -> Column:
-        found = F.array_max(F.filter(labels, lambda x: F.contains(low, x["label"])))["kind"]
-        return F.when(~F.exists(wrong, lambda p: F.contains(low, p)), found)
+        found = F.when(reduce(or_, [F.contains(low, F.lit(p)) for p in NOT_A_FACT]), None)
+        for _, (label, name) in labels:
+            found = found.when(F.contains(low, F.lit(label)), name)
+        return found
 
-    return F.transform(F.array(fold(line)), kind)[0]  # the lambda's variable holds the folded line, which is made once
+    return once(fold(line), kind)
 
 
 def in_thousands(text: Column) -> Column:
     """Whether a text says that its amounts are in thousands."""
-    low = fold(text)
-    out = F.lit(False)
-    for mark in THOUSANDS:
-        out = out | F.contains(low, F.lit(mark))
-    return out
+    return once(fold(text), lambda low: reduce(or_, [F.contains(low, F.lit(mark)) for mark in THOUSANDS]))
 
 
 def strip_markup(html: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import first_amount, in_thousands, looks_delimited, match_label, strip_markup
+from ..functions.text import first_amount, in_thousands, looks_delimited, match_label, once, strip_markup
 from ..operators.notices import MOST_BYTES, why_unreadable
 
 # Leading bytes in hex and the type they tell.
@@ -210,11 +210,21 @@ def statement_facts(pages: DataFrame, confidence: float = PARSED, recognised: fl
     # readings of a company follow each other by document, page and line
     scale = scale.withColumn("doc_no", F.row_number().over(W.partitionBy("company_id").orderBy("doc")).cast("bigint") - 1)
     base = F.when(F.coalesce("ocr", F.lit(False)), recognised).otherwise(confidence) if "ocr" in pages.columns else F.lit(confidence)
-    lines = pages.select("company_id", "doc", "page", base.alias("base"), F.split("text", "\n").alias("lines"))
-    rows = lines.select("company_id", "doc", "page", "base", "lines", F.posexplode("lines").alias("line_no", "line")).withColumn("after", F.coalesce(F.get("lines", F.col("line_no") + 1), F.lit("")))
-    rows = rows.withColumn("kind", match_label(F.col("line"))).where("kind is not null")
-    own, following = first_amount(F.col("line")), F.when(match_label(F.col("after")).isNull(), first_amount(F.col("after")))
-    rows = rows.withColumn("amount", F.coalesce(own, following)).withColumn("source_text", F.when(own.isNull(), F.concat_ws(" ", "line", "after")).otherwise(F.col("line")))
+
+    def labelled(lines: Column) -> Column:
+        def fact(x: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(lines, i + 1), F.struct(F.lit("").alias("line"), F.lit(None).cast("string").alias("kind")))
+            return once(first_amount(x["line"]), lambda own: F.struct(
+                x["kind"].alias("kind"), i.alias("line_no"), F.coalesce(own, F.when(after["kind"].isNull(), first_amount(after["line"]))).alias("amount"),
+                F.when(own.isNull(), F.concat_ws(" ", x["line"], after["line"])).otherwise(x["line"]).alias("source_text"),
+            ))
+
+        found = F.transform(lines, lambda x, i: F.when(x["kind"].isNotNull(), fact(x, i)))
+        return F.filter(found, lambda f: f.isNotNull())
+
+    # each line meets the labels once, and only those with a label are read for amounts
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), match_label(x).alias("kind")))
+    rows = pages.select("company_id", "doc", "page", base.alias("base"), F.inline(once(lines, labelled)))
     rows = rows.join(scale, ["company_id", "doc"]).withColumn("value_ore", F.try_multiply("amount", F.when(F.col("thousands"), 100_000).otherwise(100).cast("bigint")))
     costs = F.col("kind").isin("personnel_costs", "external_costs", "depreciation", "interest_expense", "wages")
     return rows.where("value_ore is not null").select(

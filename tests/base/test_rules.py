@@ -120,3 +120,22 @@ def test_gaps_and_totals(spark):
     assert t.deferred_high == 4_377_500 and t.high == 0
     waiting = {r.item: r.n_waiting for r in fd.gaps(found).collect()}
     assert waiting["in_group"] == 2 and {r.category for r in fd.covered_areas(e).collect()} == set(fd.AREAS)
+
+
+def test_lines_are_read_once_and_rows_are_spread(spark, tmp_path):
+    """A file of few bytes is one split, but its statements are read in as many tasks as a shuffle has."""
+    from tallyforge.plans import catalog
+
+    spark.range(1, 4001).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    facts = catalog.QUERIES["statement_facts"](spark, str(tmp_path))
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    # once for the lines, and in the scale of the document not at all
+    assert plan.count("kundfordringar") == 1 and "Repartition 4, true" in plan
+    got = facts.where("company_id = 1234").collect()
+    assert sorted((r.kind, r.value_ore, r.seq) for r in got) == [("depreciation", 470_200_000, 1_000_003), ("personnel_costs", 1_457_400_000, 1_000_002), ("revenue", 4_665_800_000, 1_000_001)]
+    said = spark.createDataFrame([(name,) for name, _ in tx.LABELS] + [("Ackumulerade avskrivningar 5",), ("x",), (None,), ("Summa eget kapital och skulder, kassa och bank",)], "line string")
+    longest = lambda low: max(((len(n.encode()), i, k) for i, (n, k) in enumerate(tx.LABELS) if n in low), default=(0, 0, None))[2]
+    wrong = lambda low: any(p in low for p in tx.NOT_A_FACT)
+    for r in said.select("line", tx.match_label(F.col("line")).alias("kind")).collect():
+        low = (r.line or "").lower()
+        assert r.kind == (None if wrong(low) else longest(low))
