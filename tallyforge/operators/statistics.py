@@ -152,10 +152,13 @@ def sensitivity(samples: DataFrame, by: str, output: str, inputs: list[str]) ->
 
     Inputs are turned into rows once and ranked together, so there is one join for all of them and one for the output.
     """
+    samples = samples.where(F.col(by).isNotNull() & F.col(output).isNotNull())
     ranked = samples.join(ranks(samples, by, output, "_r_out"), [by, output])
     rows = F.inline(F.array(*[F.struct(F.lit(i).alias("input"), F.col(i).cast("double").alias("_v")) for i in inputs]))
     long = ranked.select(by, F.col(output).alias("_out"), "_r_out", rows).where("_v is not null")
-    both = _same(long, _ranks(long, [by, "input"], "_v", "_r"), [by, "input", "_v"])
+    # every sample is ranked, so the inputs are ranked from the samples and not from their join
+    values = samples.select(by, rows).where("_v is not null")
+    both = _same(long, _ranks(values, [by, "input"], "_v", "_r"), [by, "input", "_v"])
     rows = both.groupBy(by, "input").agg(pearson(F.col("_v"), F.col("_out")).alias("pearson"), pearson(F.col("_r"), F.col("_r_out")).alias("spearman"))
     square = F.coalesce(F.col("spearman") * F.col("spearman"), F.lit(0.0))
     total = F.sum(square).over(W.partitionBy(by))

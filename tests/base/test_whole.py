@@ -112,3 +112,22 @@ def test_last_checkpoint_holds_all_lines(spark, tmp_path):
     assert [(x.checkpoint, x.n) for x in rows] == [(1000, 1000), (2502, 2502)]
     # the first 1000 are three zeros and 1 to 997
     assert rows[0].mean == pytest.approx(497.503) and rows[1].mean == pytest.approx(2499 * 2500 / 2 / 2502)
+
+
+def test_inputs_are_ranked_without_the_join_of_the_output(spark, monkeypatch):
+    from tallyforge.operators import statistics as st
+
+    plans = []
+
+    def ranked(df, by, x, out, plain=st._ranks):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, by, x, out)
+
+    monkeypatch.setattr(st, "_ranks", ranked)
+    rows = [("a", 1.0, 10, 5), ("a", 2.0, 30, 5), ("a", 3.0, 20, None), ("a", None, 99, 1), (None, 4.0, 1, 2), ("a", 2.0, None, 7)]
+    got = st.sensitivity(spark.createDataFrame(rows, "o string, x double, i int, j int"), "o", "x", ["i", "j"]).collect()
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+    # i: ranks 1, 3, 2 against output ranks 1, 2.5, 4; the row without an output and that without a group count nowhere
+    assert {(r.o, r.input) for r in got} == {("a", "i"), ("a", "j")}
+    one = next(r for r in got if r.input == "i")
+    assert abs(one.spearman - 0.5) < 1e-9 and abs(one.pearson - 0.5) < 1e-9
