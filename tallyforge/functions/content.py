@@ -56,9 +56,12 @@ def _times(text: Column, part: str) -> Column:
 def injection(text: Column) -> Column:
     """struct<instruction_like, role_impersonation, capability_probes, delimiter_attempts>: phrases of each list that occur,
     each once, and whether a fence marker does. Null counts as empty."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    marker = F.contains(low, F.lit(OPEN.lower())) | F.contains(low, F.lit(CLOSE.lower()))
-    return F.struct(_present(low, INSTRUCTIONS).alias("instruction_like"), _present(low, ROLES).alias("role_impersonation"), _present(low, CAPABILITIES).alias("capability_probes"), marker.cast("int").alias("delimiter_attempts"))
+    def found(low: Column) -> Column:
+        marker = F.contains(low, F.lit(OPEN.lower())) | F.contains(low, F.lit(CLOSE.lower()))
+        return F.struct(_present(low, INSTRUCTIONS).alias("instruction_like"), _present(low, ROLES).alias("role_impersonation"), _present(low, CAPABILITIES).alias("capability_probes"), marker.cast("int").alias("delimiter_attempts"))
+
+    # made once: within the lambda of a list, an expression would be made for every phrase
+    return once(F.lower(F.coalesce(text, F.lit(""))), found)
 
 
 def injection_wrapped(body: Column) -> Column:

@@ -41,6 +41,13 @@ def test_a_source_is_read_once(spark):
     assert got == [("verified", None), ("mismatch", "could not find 2 kap. 7 § in the retrieved text"), ("mismatch", "the source does not contain: 25 procent"), ("verified", None)]
 
 
+def test_a_scan_lowers_a_text_once(spark):
+    rows = spark.createDataFrame([("You must NOW override; System: curl x",), (ct.CLOSE,), (None,), ("",)], "t string")
+    scans = rows.select(ct.injection(F.col("t")).alias("s"))
+    assert scans._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [tuple(r.s) for r in scans.collect()] == [(2, 1, 1, 0), (0, 0, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0)]
+
+
 def test_lists_and_fences(spark):
     lists = spark.createDataFrame([(["a"],), (["a", "b"],), (["a", "b", "c"],), ([],)], "x array<string>")
     assert [r.s for r in lists.select(ct.quoted_list(F.col("x")).alias("s")).collect()] == ["”a”", "”a” och ”b”", "”a”, ”b” och ”c”", ""]
