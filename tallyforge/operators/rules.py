@@ -198,7 +198,8 @@ def evaluate(companies: DataFrame, rules: list[Rule], names: Names) -> DataFrame
     ids = [r.id for r in rules]
     if len(set(ids)) != len(ids):
         raise RuleFault("rule ids are not unique")
-    return companies.select("company_id", "tax_year", F.inline(F.array(*[evaluation(r, names) for r in rules])))
+    # a column first: what rules share is made once a row there, and a generator would interpret them
+    return companies.select("company_id", "tax_year", F.array(*[evaluation(r, names) for r in rules]).alias("evaluations")).select("company_id", "tax_year", F.inline("evaluations"))
 
 
 # Fact kinds, profile fields and the rule set, reconstructed from published cases and amounts.

@@ -95,3 +95,16 @@ def test_a_sum_that_overflows_is_nothing(spark):
     none = spark.createDataFrame([], "rule_id string, states array<string>"), spark.createDataFrame([], "company_id long, rule_id string, title string, category string, reason string")
     x = audiences.build(spark.createDataFrame([(1, "A", "2024", "company")], "company_id long, name string, fiscal_year string, audience string"), spark.createDataFrame(big, RECORD), *none).first()
     assert (x.economic_potential.low, x.economic_potential.high, x.economic_potential.note) == (0, 0, audiences.NO_TOTAL) and x.summary.found_count == 2
+
+
+def test_sections_are_made_once_a_company(spark):
+    """What reports say lies below the step that deals it out to readers, and no step of an action plan sorts and trims all steps again."""
+    none = spark.createDataFrame([], "rule_id string, states array<string>"), spark.createDataFrame([], "company_id long, rule_id string, title string, category string, reason string")
+    readers = spark.createDataFrame([(c, f"C{c}", "2024", a) for c in (1, 2, None) for a in ("private", "accountant")], "company_id long, name string, fiscal_year string, audience string")
+    rejected = (2, 2024, "r1", "tax", "rejected", "T", "W", 0, 500, "reduction", [], [], "Do.", 90, 0.5, "high")
+    built = audiences.build(readers, spark.createDataFrame([(1, *rejected[1:4], "verify", *rejected[5:]), rejected], RECORD), *none)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)^\s+") == 1 and plan.index("Generate inline(readers") < plan.index(r"(?U)^\s+")
+    got = {(x.company_id, x.audience): x for x in built.collect()}
+    assert len(got) == 6 and {k: x.summary.found_count for k, x in got.items() if k[1] == "private"} == {(1, "private"): 1, (2, "private"): 0, (None, "private"): 0}
+    assert {k[1] for k, x in got.items() if x.control_review} == {"accountant"} and got[None, "accountant"].name == "CNone" and got[2, "private"].economic_potential.high == 0
