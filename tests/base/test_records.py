@@ -1,5 +1,6 @@
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -57,6 +58,47 @@ def test_near_starts_share_blocks(spark, kind):
         found.release()
 
 
+@pytest.fixture
+def in_groups(spark, monkeypatch):
+    """3000 starts in three groups of a block, whose bits are watched: rows of rounds that lie there at a time, and of all rounds."""
+    monkeypatch.setattr(graph, "GROUP_EDGES", 500)
+    there, seen, written, discard = {}, [], graph.written, graph.discard
+
+    def put(df, name, *more):
+        t = written(df, name, *more)
+        if name == "fresh":
+            there[t._tallyforge_path] = t.count()
+            seen.append((sum(there.values()), there[t._tallyforge_path]))
+        return t
+
+    monkeypatch.setattr(graph, "written", put)
+    monkeypatch.setattr(graph, "discard", lambda *tables: (discard(*tables), [there.pop(getattr(t, "_tallyforge_path", ""), None) for t in tables]))
+    starts = spark.range(3000).selectExpr("id + 100000 as src")
+    first = starts.selectExpr("src", "200000 + (src - 100000) div 10 as dst").union(starts.where("src % 1000 = 0").selectExpr("src", "400000"))
+    second = spark.range(300).selectExpr("200000 + id as src", "300000 + id as dst").union(spark.range(5).selectExpr("300000 + id", "200000 + id"))
+    found = graph.reach([first, second], starts.select(F.col("src").alias("node")), reread=True)
+    yield found, lambda: (max(x for x, _ in seen), sum(x for _, x in seen), there)
+    found.release()
+
+
+def test_counts_group_by_group(in_groups):
+    """A node that all groups reach, and cycles; one group's bits are deleted before the next is followed."""
+    found, watched = in_groups
+    got = {x.start: x.n_nodes for x in graph.start_counts(found).collect()}
+    assert got == {100_000 + s: 2 + (s % 1000 == 0) for s in range(3000)}
+    most, total, there = watched()
+    assert 600 < total and most < 0.6 * total and not there
+
+
+def test_written_leaves_no_shuffle(spark):
+    top = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for t in top for _, _, names in os.walk(t) for f in names if f.startswith("shuffle_")}
+    before = files()
+    t = tables.written(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "t")
+    assert not files() - before and t.count() == 700
+    tables.discard(t)
+
+
 def test_reach_of_nothing(spark):
     none = spark.createDataFrame([], "src long, dst long")
     found = graph.reach(none, spark.createDataFrame([(1,)], "node long"))
