@@ -90,6 +90,14 @@ def test_counts_group_by_group(in_groups):
     assert 600 < total and most < 0.6 * total and not there
 
 
+def test_classes_group_by_group(in_groups):
+    found, watched = in_groups
+    got = {(x.node, x["class"], x.n_starts) for x in graph.node_classes(found).collect()}
+    assert got == {(n + k, 200_000 + k, 10) for n in (200_000, 300_000) for k in range(300)} | {(400_000, 400_000, 3)}
+    most, total, there = watched()
+    assert 600 < total and most < 0.6 * total and not there
+
+
 def test_written_leaves_no_shuffle(spark):
     top = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
     files = lambda: {f for t in top for _, _, names in os.walk(t) for f in names if f.startswith("shuffle_")}
