@@ -98,6 +98,23 @@ def test_classes_group_by_group(in_groups):
     assert 600 < total and most < 0.6 * total and not there
 
 
+@pytest.mark.parametrize("most", [1 << 19, 0])
+def test_pairs_move_no_bits(spark, in_groups, monkeypatch, most):
+    """Lists of starts go to the bits, whatever Spark's own limit; too many are joined by a shuffle."""
+    found, _ = in_groups
+    monkeypatch.setattr(found, "few", most > 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = graph.pairs(found)
+        assert ("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        got = [tuple(x) for x in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {(100_000 + s, n + s // 10) for s in range(3000) for n in (200_000, 300_000)} | {(100_000 + s, 400_000) for s in range(0, 3000, 1000)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_written_leaves_no_shuffle(spark):
     top = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
     files = lambda: {f for t in top for _, _, names in os.walk(t) for f in names if f.startswith("shuffle_")}
