@@ -6,8 +6,8 @@ maxima bounds the score of all documents in a block. An item's blocks are taken
 that grow; a band is scored from the forward index, and what stays below the item's k-th best score so far is never
 scored. Scores are whole numbers, so a block at the threshold can still hold a tie and is scored too.
 
-Documents never move: blocks are made where their rows are read. Of a search only bounds (item, block), k best rows of
-each task and item, and the chosen blocks' numbers are shuffled.
+Documents never move: blocks are made where their rows are read, and read a few at a time. Of a search only bounds (item,
+block), k best rows of each task and item, and the chosen blocks' numbers are shuffled.
 """
 
 from __future__ import annotations
@@ -34,12 +34,13 @@ BLOCK_DOCS, BLOCK_POSTINGS = 128, 1 << 17
 MOST_TERMS = 100_000
 # Blocks of an item in the first band, and how many times as many with each further one.
 FIRST, GROWTH = 16, 8
-# Pairs of block and item that are broadcast to the forward index; beyond, the index is joined by a shuffle.
-MOST_CHOSEN = 4_000_000
+# Numbers of blocks that are broadcast to the forward index, so that only these go to Python; beyond, all do.
+MOST_CHOSEN = 1 << 20
 # Items that are scored at once in a block.
 TILE = 256
-# Blocks that go to Python at once: a row is a block, so Spark's usual thousands of rows would be a whole file in memory.
-BATCH = 8
+# Blocks that are read and go to Python at once, and that a row group holds: a row is a block, so Spark's usual thousands of rows
+# would be a whole file in memory. Texts that are read at once.
+BATCH, GROUP, TEXTS = 8, 32, 512
 
 _TERM = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -50,15 +51,22 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession):
-    """What is written within goes to Python in batches of BATCH rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH))
+def _small_batches(spark: SparkSession, rows: int):
+    """What runs within reads Parquet, and goes to Python, in batches of so many rows."""
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for n, x in zip(names, before):
+            spark.conf.set(n, x)
+
+
+def _of_blocks(df: DataFrame, name: str) -> DataFrame:
+    """``df``, whose rows are blocks, written in row groups of GROUP rows."""
+    return written(df, name, {"parquet.block.row.count.limit": str(GROUP)})
 
 
 class Index(NamedTuple):
@@ -136,10 +144,11 @@ def _maxima(n_docs: int, n_terms: int):
 def index(docs: DataFrame) -> Index:
     """The index of all rows of ``docs``, written to the shared folder. Only doc_id and text are read; documents without a
     term are in no block; rows with equal or no ids are documents of their own. A text's terms are in one task's memory."""
-    blocks = written(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_blocked(BLOCK_DOCS, BLOCK_POSTINGS), BLOCKS), "blocks")
+    with _small_batches(docs.sparkSession, TEXTS):
+        blocks = _of_blocks(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_blocked(BLOCK_DOCS, BLOCK_POSTINGS), BLOCKS), "blocks")
     n_docs, n_terms = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    with _small_batches(docs.sparkSession):
-        maxima = written(blocks.select("block", "lengths", "ends", "terms", "term", "tf").mapInArrow(_maxima(n_docs, n_terms), MAXIMA), "maxima")
+    with _small_batches(docs.sparkSession, BATCH):
+        maxima = _of_blocks(blocks.select("block", "lengths", "ends", "terms", "term", "tf").mapInArrow(_maxima(n_docs, n_terms), MAXIMA), "maxima")
     return Index(blocks, maxima, n_docs, n_terms)
 
 
@@ -202,8 +211,11 @@ def _bounds(items: Items):
 FOUND = "item int, doc_id bigint, score bigint"
 
 
-def _scored(items: Items, k: int, least: dict[int, int], n_docs: int, n_terms: int, tile: int):
-    """The task's ``k`` best documents of each item, of the blocks that were chosen for it."""
+def _scored(items: Items, k: int, limits: list[tuple], least: dict[int, int], n_docs: int, n_terms: int, tile: int):
+    """The task's ``k`` best documents of each item, of the blocks whose bound lies within the item's limits (item, low, high)."""
+    low, high = np.full(len(items.starts) - 1, 2**63 - 1), np.full(len(items.starts) - 1, 2**63 - 1)
+    for i, x, y in limits:
+        low[i], high[i] = x, high[i] if y is None else y
     order = lambda x: (-x[0], x[1] is None, x[1] or 0)
 
     def matrix(block: dict, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +241,10 @@ def _scored(items: Items, k: int, least: dict[int, int], n_docs: int, n_terms: i
             block = {n: b.column(n) for n in b.schema.names}
             for row in range(b.num_rows):
                 a, known = matrix(block, row)
-                ids, chosen = block["ids"][row].as_py(), np.sort(_values(block["items"], row))
+                most = np.zeros(len(items.weight), np.int64)
+                most[known] = a.max(axis=0, initial=0)
+                bound = np.add.reduceat((most * items.weight)[items.term], items.starts[:-1])
+                ids, chosen = block["ids"][row].as_py(), np.flatnonzero((bound >= low) & (bound < high))
                 column = np.full(len(items.weight), -1)
                 column[known] = np.arange(len(known))
                 for at in range(0, len(chosen), tile):
@@ -266,16 +281,18 @@ def _search_part(index: Index, rows: list, k: int, count: dict | None) -> tuple[
     for item_id, t in rows:
         by_item.setdefault(item_id, []).append(vocabulary.setdefault(bytes(t), len(vocabulary)))
     words = pa.array(list(vocabulary), pa.binary())
-    with _small_batches(spark):
-        held = written(index.maxima.mapInArrow(_held(words), "block bigint, term array<int>, most array<bigint>, df array<int>"), "held")
+    with _small_batches(spark, BATCH):
+        held = _of_blocks(index.maxima.mapInArrow(_held(words), "block bigint, term array<int>, most array<bigint>, df array<int>"), "held")
     dfs = held.select(F.explode(F.arrays_zip("term", "df")).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.sum("x.df").alias("df"))
     weighed = dfs.select("term", F.floor(1000 * F.log(F.lit(float(2 * index.n_docs + 2)) / (2 * F.col("df") + 1))).alias("w"))
     weight = np.zeros(len(vocabulary), np.int64)
-    for r in weighed.collect():  # the vocabulary at most
-        weight[r.term] = r.w
+    with _small_batches(spark, BATCH):
+        for r in weighed.collect():  # the vocabulary at most
+            weight[r.term] = r.w
     sizes = [len(t) for t in by_item.values()]
     items = Items(words, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([t for x in by_item.values() for t in x], np.int64), weight)
-    bounds = written(held.mapInArrow(_bounds(items), "item int, block bigint, bound bigint"), "bounds")
+    with _small_batches(spark, BATCH):
+        bounds = written(held.mapInArrow(_bounds(items), "item int, block bigint, bound bigint"), "bounds")
     discard(held)
     blocks = max(1, index.blocks.count())
     shares, n = [], FIRST
@@ -293,14 +310,16 @@ def _search_part(index: Index, rows: list, k: int, count: dict | None) -> tuple[
             break
         limit = F.broadcast(spark.createDataFrame(limits, "item int, low bigint, high bigint"))
         chosen = bounds.join(limit, "item").where((F.col("bound") >= F.col("low")) & (F.col("high").isNull() | (F.col("bound") < F.col("high"))))
-        chosen = written(chosen.groupBy("block").agg(F.collect_list("item").alias("items")), "chosen")
-        pairs = chosen.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+        chosen = written(chosen.groupBy("block").agg(F.count("*").alias("n")), "chosen")
+        pairs, most = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         if count is not None:
             count["scored"] = count.get("scored", 0) + pairs
         if pairs:
-            read = index.blocks.select("block", "ids", "lengths", "ends", "terms", "term", "tf").join(F.broadcast(chosen) if pairs <= MOST_CHOSEN else chosen, "block")
-            found = read.mapInArrow(_scored(items, k, least, index.n_docs, index.n_terms, TILE), FOUND)
-            with _small_batches(spark):
+            read = index.blocks.select("block", "ids", "lengths", "ends", "terms", "term", "tf")
+            # the index never moves: a block's items are found again from its own bounds
+            read = read.join(F.broadcast(chosen.select("block")), "block", "left_semi") if most <= MOST_CHOSEN else read
+            found = read.mapInArrow(_scored(items, k, limits, least, index.n_docs, index.n_terms, TILE), FOUND)
+            with _small_batches(spark, BATCH):
                 previous, top = top, written(_best(found if top is None else found.union(top.drop("rank")), k), "top")
             if previous is not None:
                 discard(previous)

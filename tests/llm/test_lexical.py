@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from tallyforge.llm import lexical
@@ -87,3 +88,61 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert lexical.search(lexical.index(none), items).count() == 0
     assert lexical.search(lexical.index(spark.createDataFrame([(1, "a")], "doc_id long, text string")), items.limit(0)).count() == 0
+
+
+def test_few_blocks_are_in_memory(spark, monkeypatch):
+    """A row is a block: few are in a row group, and few go to Python at once, in every step."""
+    most = lexical.BATCH
+
+    def watched(make):
+        def of(*args):
+            run = make(*args)
+
+            def watch(batches):
+                for b in batches:
+                    assert b.num_rows <= most
+                    yield b
+
+            return lambda batches: run(watch(batches))
+
+        return of
+
+    for name in ("_maxima", "_held", "_bounds", "_scored"):
+        monkeypatch.setattr(lexical, name, watched(getattr(lexical, name)))
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 1)
+    docs = [(i, f"w{i % 7} w{i % 11} x") for i in range(150)]
+    items = [(i, f"w{i} w{i + 1}") for i in range(9)]
+    before = [spark.conf.get(x) for x in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")]
+    index = lexical.index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    got = lexical.search(index, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.item_id, x.rank, x.doc_id, x.score) for x in got) == sorted(brute(docs, items))
+    for t in (index.blocks, index.maxima):
+        files = [pq.ParquetFile(f.removeprefix("file://")) for f in t.inputFiles()]
+        groups = [f.metadata.row_group(k).num_rows for f in files for k in range(f.metadata.num_row_groups)]
+        assert sum(groups) == 150 and max(groups) <= lexical.GROUP
+    lexical.drop(index)
+    assert before == [spark.conf.get(x) for x in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")]
+
+
+def test_the_index_never_moves(spark, monkeypatch):
+    """Beyond what is broadcast, all blocks go to Python; they are not shuffled to meet their items."""
+    plans, written = [], lexical.written
+
+    def put(df, name, *more):
+        if name == "top":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name, *more)
+
+    monkeypatch.setattr(lexical, "written", put)
+    monkeypatch.setattr(lexical, "MOST_CHOSEN", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, items = corpus(7, 60)
+        index = lexical.index(spark.createDataFrame(docs, "doc_id long, text string"))
+        got = lexical.search(index, spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((x.item_id, x.rank, x.score) for x in got) == sorted((i, r, s) for i, r, _, s in brute(docs, items))
+    assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+    lexical.drop(index)
